@@ -51,13 +51,13 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] ^ mix((end - start).astype(U)))
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the row it stands in. Words never cross rows."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~_SEP[buf]
+    word = ~sep[buf]
     before = np.zeros(n, bool)
     before[1:] = word[:-1]
     edges = off[:-1][off[:-1] < n]

@@ -17,6 +17,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.toxicity import scored, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return scored(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.langid import predicted, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return predicted(docs, train(docs))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.quality import scored, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return scored(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.exact_dedup import exact_groups
 
@@ -35,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_exact_dedup, op9_mixing, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op5_quality, op6_exact_dedup, op9_mixing, op10_packing)}
 
 SQL = {
     "op6_exact_dedup": """
