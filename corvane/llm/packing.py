@@ -11,7 +11,10 @@ A very long text is tokenised whole. No rows: no rows. Extra columns are ignored
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,20 +31,42 @@ MEMO = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: The pre-token pattern of the vocabulary in the standard library's terms, for texts without `_unlike` characters.
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+
+
+@lru_cache(maxsize=1)
+def _unlike() -> re.Pattern:
+    """Characters that the standard library may class otherwise than the tokenizer: numbers that are no decimal
+    digits, separators U+001C-1F and U+0085, U+180E, those unassigned or private, and all beyond the basic plane."""
+    odd = [c for c in range(0x10000) if unicodedata.category(chr(c)) in ("Nl", "No", "Cn", "Co", "Cs") or c in (*range(0x1C, 0x20), 0x85, 0x180E)]
+    odd_set, ranges = set(odd), []
+    for c in odd:
+        if c - 1 not in odd_set:
+            ranges.append([c, c])
+        ranges[-1][1] = c
+    return re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges) + "\U00010000-\U0010ffff]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class _Memo(dict):
     """Pre-token -> its ids as little-endian 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.merge, self.letters, self.odd = self.tokenizer.model.tokenize, _byte_letters(), _unlike().search
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
         if len(piece) <= 64:
             if len(self) >= MEMO:
                 self.clear()
@@ -49,14 +74,13 @@ class _Memo(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+        if self.odd(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, _SPLIT(text)))
 
 
 @lru_cache(maxsize=4)
 def _memo(path: str) -> _Memo:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return _Memo(path)
 
 
