@@ -17,6 +17,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The key of the pseudonyms that the query shows; a deployment passes its own secret to the operator.
+PII_KEY = "contract-query"
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.pii import pseudonymised
+
+    return pseudonymised(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.toxicity import scored, train
 
@@ -50,6 +60,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.suffix_dedup import deduplicated
 
@@ -68,9 +84,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op4_ngram_join, op5_quality, op6_exact_dedup, op8_suffix_dedup, op9_mixing, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_pseudonyms, op2_toxicity, op3_language_id, op4_ngram_join, op5_quality, op6_exact_dedup, op7_additive_quantisation, op8_suffix_dedup, op9_mixing, op10_packing)}
 
 SQL = {
+    "op7_additive_quantisation": """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+near AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) AS score
+  FROM good q JOIN good c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10""",
     "op4_ngram_join": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
