@@ -12,7 +12,8 @@ components are known, nodes of different components that meet in a signature are
 different components is lost, and a large group of copies gives a number of pairs linear in its size.
 
 A set may be empty (null or empty text, no words): it links with nothing. With fewer than k words the whole
-sequence is the only shingle. Null doc_ids have null components; repeated rows are equal sets. No rows: no rows.
+sequence is the only shingle. Null doc_ids have null components; repeated rows are equal sets, and rows that repeat a
+doc_id stay or go together. No rows: no rows.
 Texts of any length are read whole. Extra columns are ignored by `near_groups` and kept by `keep_rows`.
 """
 
