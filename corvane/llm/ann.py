@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as a sum of full-dimensional codewords, one from each codebook. The codebooks are learned on a bounded
-sample (residual k-means, then joint least squares over all books); a beam search codes every vector. The norm of the
+sample (residual k-means, then least squares of each book with the others held); a beam search codes every vector. The norm of the
 decoded vector is stored, so |q - x|^2 is |q|^2 - 2 (sum of table entries <q, c>) + norm: a lookup per book. Each
 query keeps the best `shortlist` rows by that score, which are then ranked by exact distance.
 
 Rows of codes stand in chunks and queries in blocks of bounded size; each pair of a chunk and a block gives a query's
-best rows of that chunk. Equal scores go to the smaller vec_id everywhere, so a vector that a third of the rows share
+best rows of that chunk. Rows are dealt to chunks by a hash, so a chunk needs to give little more than its share. Equal scores go to the smaller vec_id everywhere, so a vector that a third of the rows share
 does no harm. Vectors that are null, zero, hold a null or non-finite component, or have another dimension than most
 take no part. A null vec_id takes no part. Rows that repeat a vec_id are candidates of their own. With fewer candidates
 than `k` all are returned. No rows: no rows. Extra columns are ignored.
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from corvane.llm.common import written
 
 #: Rows that the codebooks are learned on at most, the smallest seeded hashes first.
-SAMPLE = 16_384
+SAMPLE = 8192
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 8, 2
-CHUNK, BLOCK, SHORTLIST = 16_384, 256, 300
+CHUNK, BLOCK, SHORTLIST = 4096, 64, 600
 
 
 def usable(v: str) -> Column:
@@ -70,20 +70,18 @@ def learn(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = R
             centre = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centre)
         near = (-2 * rest @ centre.T + (centre**2).sum(1)).argmin(1)
         out[i], rest = centre, rest - centre[near]
-    for _ in range(rounds):  # all books at once: least squares of the sample on its codes
-        codes, _ = encode(x, out)
-        column = codes.astype(np.int64) + np.arange(books) * words
-        gram = np.zeros((books * words, books * words), np.float64)
-        for i in range(books):
-            for j in range(i, books):
-                block = np.zeros(words * words)
-                np.add.at(block, (codes[:, i].astype(np.int64) * words + codes[:, j]), 1)
-                gram[i * words : (i + 1) * words, j * words : (j + 1) * words] = block.reshape(words, words)
-                gram[j * words : (j + 1) * words, i * words : (i + 1) * words] = block.reshape(words, words).T
-        right = np.zeros((books * words, d))
-        for i in range(books):
-            np.add.at(right, column[:, i], x)
-        out = np.linalg.solve(gram + 2.0 * np.eye(len(gram)), right + 2.0 * out.reshape(-1, d)).reshape(books, words, d).astype(np.float32)
+    for _ in range(rounds):  # least squares of the sample on its codes, book after book with the others held
+        codes = np.concatenate([encode(x[i : i + 512], out)[0] for i in range(0, n, 512)])
+        rest = x - sum(out[i][codes[:, i]] for i in range(books))
+        for _ in range(3):
+            for i in range(books):
+                own = codes[:, i]
+                rest += out[i][own]
+                count = np.bincount(own, minlength=words)
+                total = np.zeros((words, d), np.float32)
+                np.add.at(total, own, rest)
+                out[i] = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], out[i])
+                rest -= out[i][own]
     return out
 
 
@@ -117,12 +115,14 @@ def index(vectors: DataFrame, books: np.ndarray) -> DataFrame:
                 ids.append(np.asarray(part.column("vec_id")).astype(np.int64))
                 codes.append(code)
                 norms.append((decoded.astype(np.float64) ** 2).sum(1).astype(np.float32))
-                if sum(map(len, ids)) >= CHUNK:
+                if sum(map(len, ids)) >= 2 * CHUNK:
                     yield chunk()
         if ids:
             yield chunk()
 
-    return vectors.select("vec_id", "v").mapInArrow(run, "ids binary, codes binary, norms binary")
+    parts = max(1, -(-vectors.count() // CHUNK))
+    # Dealt by a hash, so that a query's neighbours are spread evenly over the chunks.
+    return vectors.select("vec_id", "v").repartition(parts, F.xxhash64("vec_id", F.lit(5))).mapInArrow(run, "ids binary, codes binary, norms binary")
 
 
 def _best(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
@@ -143,6 +143,8 @@ def search(vectors: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 1
     share = spark.sparkContext.broadcast(books)
     chunks = written(index(vectors, books), "codes")
     blocks = max(1, -(-queries.count() // BLOCK))
+    # A chunk holds its even share of a query's shortlist; it gives half more than that and 100.
+    each = min(shortlist, 3 * shortlist // (2 * max(1, chunks.count())) + 100)
     asked = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +164,7 @@ def search(vectors: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 1
                     for b in range(m):
                         score -= 2 * tables[i, b][codes[b]]
                     score[ids == who[i]] = np.inf
-                    top = _best(score, ids, shortlist)
+                    top = _best(score, ids, each)
                     top = top[np.isfinite(score[top])]
                     out_q.append(np.full(len(top), who[i]))
                     out_v.append(ids[top])
