@@ -14,6 +14,7 @@ from corvane.functions import text
 from corvane.functions.words import PARSED_LANGUAGES
 from corvane.operators import changes, evaluate, graph, impact, rank, resolve, search, select, stats
 from corvane.operators.store import Store
+from corvane.session import reachable
 from corvane.sources import config, history, scan
 from corvane.sources.ignore import compile_line
 
@@ -22,7 +23,7 @@ class Project:
     """`root` is the source tree; the index stands in `index`, by default a folder below it."""
 
     def __init__(self, spark: SparkSession, root: str, index: str | None = None) -> None:
-        self.spark, self.root = spark, str(Path(root).resolve())
+        self.spark, self.root = reachable(spark), str(Path(root).resolve())
         self.config = config.load(self.root)
         self.store = Store(spark, index or f"{self.root}/.corvane/index")
 
