@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 #: Words everywhere are maximal runs of bytes other than blank and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the vectorised kernels take at a time; a longer text is taken alone.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,11 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    With `release`, shuffle files that only this write needed are freed now and not when memory happens to be collected.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

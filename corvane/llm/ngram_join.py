@@ -7,9 +7,12 @@ many fragments the order is cut into follows from the length class; a set near i
 cut for the next one. Candidate pairs are then counted fragment by fragment, in coarser cuts of the same order of
 bounded size, and the partial overlaps are summed per pair.
 
-Equal sets are one node. Of a signature's nodes only those with the least and the greatest are paired; after
-components are known, nodes of different components that meet in a signature are paired too. So no link between
-different components is lost, and a large group of copies gives a number of pairs linear in its size.
+Equal sets are one node. There are some fragments more than that, so similar sets agree in several: a set may
+then leave out its empty fragments, and those whose signature very many documents share, if it has no more of both than there
+are spare ones. Of a signature's nodes only those with the least and the greatest are paired. After that, nodes that signatures
+connect but links do not are compared in blocks of bounded size, with their overlaps counted for all pairs of a
+block at once; only links that join different components leave a block. So no component is missed, and a large
+group of copies gives a number of rows linear in its size.
 
 A set may be empty (null or empty text, no words): it links with nothing. With fewer than k words the whole
 sequence is the only shingle. Null doc_ids have null components; repeated rows are equal sets, and rows that repeat a
@@ -32,6 +35,10 @@ from corvane.llm.kernels import U, mix, shingles, word_hashes
 
 #: Shingles that a fragment of the counting cut has on average at most.
 SEGMENT = 4096
+#: Documents that may share a signature before it counts as common.
+COMMON = 32
+#: Nodes and shingles of a block of the second round at most, on average over the blocks of a component.
+BLOCK_NODES, BLOCK_GRAMS = 2048, 2_000_000
 
 
 class Cuts:
@@ -60,7 +67,7 @@ class Cuts:
         while True:
             d = self.differ(last, last)
             if d:
-                spare = 2 + d // 25
+                spare = 2 + d // 8
                 own = self.differ(n, min(last, most))
                 out.append((i, d + 1 + spare, min(d, own) + 1 + spare, spare))
             if most <= last:
@@ -68,19 +75,24 @@ class Cuts:
             i, _, last = self.of(last + 1)
 
 
-def signatures(u: np.ndarray, cuts: Cuts) -> np.ndarray:
-    """Signatures of the fragments of the sorted shingle hashes `u` that a set enters."""
+def signatures(u: np.ndarray, cuts: Cuts) -> tuple[list[np.ndarray], list[int]]:
+    """For each class that the sorted shingle hashes `u` enter: the signatures of its fragments, and how many may be left out.
+
+    Empty fragments are left out at once as far as they may be; what is left of the allowance is for common ones.
+    """
     total = np.zeros(len(u) + 1, U)
     np.cumsum(mix(u), out=total[1:])
-    out = []
+    out, spares = [], []
     for i, fragments, enter, spare in cuts.keys(len(u)):
         cut = ((u >> U(32)) * U(fragments)) >> U(32)
         at = np.searchsorted(cut, np.arange(enter + 1, dtype=U))
         sums, size = total[at[1:]] - total[at[:-1]], np.diff(at)
         sig = mix(sums ^ mix(np.arange(enter, dtype=U) + U(i << 32)))
         empty = size == 0
-        out.append(sig if empty.sum() > spare else sig[~empty])
-    return np.concatenate(out) if out else np.zeros(0, U)
+        gone = int(empty.sum())
+        out.append(sig if gone > spare else sig[~empty])
+        spares.append(-1 if gone > spare else spare - gone)
+    return out, spares
 
 
 def _sets(part: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -99,19 +111,26 @@ def _node(u: np.ndarray) -> int:
 
 
 def _sets_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n, node, and an entry per class: the signatures and how many common ones may be left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = Cuts(percent)
         for part in blocks(batches):
-            n, node, sigs = [], [], []
+            n, node, sigs, spares, per_doc = [], [], [], [], []
             for u in _sets(part, k):
                 n.append(len(u))
                 node.append(_node(u) if len(u) else None)
-                sigs.append(signatures(u, cuts).view(np.int64))
-            at = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            flat_sigs = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), flat_sigs], names=["doc_id", "n", "node", "sigs"])
+                own, spare = signatures(u, cuts)
+                sigs += own
+                spares += spare
+                per_doc.append(len(own))
+            inner = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
+            outer = np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)))
+            entries = pa.StructArray.from_arrays([lists, pa.array(spares, pa.int32())], names=["sigs", "spare"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(outer), entries)], names=["doc_id", "n", "node", "classes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, sigs array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, classes array<struct<sigs: array<long>, spare: int>>")
 
 
 def _counting_cut(n: int) -> int:
@@ -161,55 +180,142 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return total.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b", "both", "na", "nb")
 
 
-def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, links, labels): a row per document (doc_id, n, node); links between nodes; components of linked nodes."""
+def _members(sets: DataFrame) -> DataFrame:
+    """(sig, node, n): signatures that documents of different sets may share, without the common ones that a set may leave out."""
+    rows = sets.select("node", "n", F.posexplode("classes").alias("entry", "c")).select("node", "n", "entry", "c.spare", F.explode("c.sigs").alias("sig"))
+    shared = rows.select("sig").groupBy("sig").count().filter("count > 1")
+    met = rows.join(shared.hint("shuffle_hash"), "sig")
+    met = written(met.groupBy("sig", "node").agg(F.first("n").alias("n"), F.first("entry").alias("entry"), F.first("spare").alias("spare"), F.first("count").alias("count")), "signature-members", release=True)
+    common = F.col("count") > COMMON
+    many = met.filter(common).groupBy("node", "entry").agg(F.count(F.lit(1)).alias("_n"), F.first("spare").alias("_spare")).filter("_n > _spare").select(F.col("node").alias("_node"), F.col("entry").alias("_entry"))
+    stay = met.filter(common).join(many, (F.col("node") == F.col("_node")) & (F.col("entry") == F.col("_entry")), "left_semi")
+    return met.filter(~common).unionByName(stay).select("sig", "node", "n")
+
+
+def _second_round(grouped: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different labels in each component of candidates, from rows (part, i, j, side, node, label, sigs, grams).
+
+    A group compares block i with block j of a component (the same block where i = j): pairs that share a signature.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        sigs, grams = table.column("sigs").combine_chunks(), table.column("grams").combine_chunks()
+        n = grams.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = len(node)
+        one = bool((side == 0).all())
+        left = np.flatnonzero(side == 0)
+        right = left if one else np.flatnonzero(side == 1)
+        place = np.zeros(rows, np.int64)
+        place[left] = np.arange(len(left))
+        if not one:
+            place[right] = np.arange(len(right))
+
+        def incidence(lists: pa.Array, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(column, row) pairs of values that stand in more than one row, columns numbered from 0."""
+            value, of = np.asarray(lists.flatten()), np.repeat(np.arange(rows), many)
+            _, column, count = np.unique(value, return_inverse=True, return_counts=True)
+            use = count[column] > 1
+            _, column = np.unique(column[use], return_inverse=True)
+            return column, of[use]
+
+        share = np.zeros((len(left), len(right)), bool)
+        column, of = incidence(sigs, sigs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        order = np.argsort(column, kind="stable")
+        for at in np.split(of[order], np.flatnonzero(np.diff(column[order])) + 1) if len(order) else []:
+            a = at[side[at] == 0]
+            share[np.ix_(place[a], place[a if one else at[side[at] == 1]])] = True
+        na, nb = n[left][:, None], n[right][None, :]
+        share &= label[left][:, None] != label[right][None, :]
+        share &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+        if one:
+            share &= np.tri(rows, k=-1, dtype=bool)
+        if not share.any():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        use_a, use_b = share.any(1), share.any(0)
+        column, of = incidence(grams, n)
+        both = np.zeros(share.shape, np.float32)
+        step = 4096  # columns at a time: a fragment of the order, whose partial overlaps are added
+        order = np.argsort(column, kind="stable")
+        column, of = column[order], of[order]
+        edge = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + step + 1, step))
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            c, r = column[x:y] % step, of[x:y]
+            m = np.zeros((len(left), step), np.float32)
+            s = side[r] == 0
+            m[place[r[s]], c[s]] = 1
+            o = m
+            if not one:
+                o = np.zeros((len(right), step), np.float32)
+                o[place[r[~s]], c[~s]] = 1
+            both[np.ix_(use_a, use_b)] += m[use_a] @ o[use_b].T
+        share &= 100 * both >= percent * (na + nb - both)
+        a, b = np.nonzero(share)
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        out = []
+        for x, y in zip(left[a].tolist(), right[b].tolist(), strict=True):
+            p, q = root(int(label[x])), root(int(label[y]))
+            if p != q:
+                parent[p] = q
+                out.append((int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return grouped.groupBy("part", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sets, labels): a row per document (doc_id, n, node); the components of linked nodes (node, label)."""
     sets = written(_sets_table(docs, k, percent), "shingle-sets")
-    sigs = sets.select(F.explode("sigs").alias("sig"), "node", "n")
-    shared = sigs.groupBy("sig").count().filter("count > 1").select("sig")
-    members = sigs.join(shared.hint("shuffle_hash"), "sig").groupBy("sig", "node").agg(F.first("n").alias("n"))
-    members = written(members, "signature-members")
+    members = written(_members(sets), "members", release=True)
     ends = members.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).filter("lo.node < hi.node")
     ends = written(ends, "signature-ends")
     near = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
-
-    def pair(m: DataFrame, x: str, y: str, nx: str, ny: str) -> DataFrame:
-        first = F.col(x) < F.col(y)
-        return m.select(F.when(first, F.col(x)).otherwise(F.col(y)).alias("a"), F.when(first, F.col(y)).otherwise(F.col(x)).alias("b"), F.when(first, F.col(nx)).otherwise(F.col(ny)).alias("na"), F.when(first, F.col(ny)).otherwise(F.col(nx)).alias("nb")).filter("a < b")
-
-    star = members.join(ends, "sig").select("node", "n", F.explode(F.array("lo", "hi")).alias("end")).select("node", "n", F.col("end.node").alias("e"), F.col("end.n").alias("en"))
-    pairs = written(pair(star, "node", "e", "n", "en").filter(near).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")), "pairs")
-    # The sets of nodes that stand in pairs, or may do so in the second round, are read again from one document each.
-    asked = members.join(ends.select("sig"), "sig", "left_semi").select("node").distinct()
+    first = F.col("node") < F.col("e")
+    star = members.join(ends, "sig").select("node", "n", F.explode(F.array("lo", "hi")).alias("end")).select("node", "n", F.col("end.node").alias("e"), F.col("end.n").alias("en")).filter("node <> e")
+    star = star.select(*(F.when(first, x).otherwise(y).alias(c) for c, x, y in (("a", F.col("node"), F.col("e")), ("b", F.col("e"), F.col("node")), ("na", F.col("n"), F.col("en")), ("nb", F.col("en"), F.col("n")))))
+    star = written(star.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")), "pairs")
+    pairs = star.filter(near)
+    # The sets of nodes that stand in a shared signature are read again, from one document each.
+    shared = members.join(ends.select("sig"), "sig", "left_semi")
+    asked = shared.select("node").distinct()
     ids = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(asked, "node", "left_semi").select("doc_id").filter("doc_id is not null")
-    segments = written(_segments(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text"), k, percent).dropDuplicates(["node", "cut", "fragment"]), "segments")
-    found = written(_linked(pairs, segments, percent), "links")
+    segments = written(_segments(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text"), k, percent).dropDuplicates(["node", "cut", "fragment"]), "segments", release=True)
+    found = written(_linked(pairs, segments, percent).select("a", "b"), "links")
     labels = components(found)
-    # Second round: nodes of one signature that are still in different components.
-    marked = members.join(ends.select("sig"), "sig", "left_semi").join(labels.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left").select("sig", "node", "n", F.coalesce("label", "node").alias("label"))
-    marked = written(marked, "members-marked")
-    split = marked.groupBy("sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("sig")
-    marked = marked.join(split, "sig", "left_semi")
-    kinds = marked.select("sig", F.col("label").alias("_other")).distinct()
-    other = marked.select("sig", F.col("label").alias("_other"), F.col("node").alias("_node"), F.col("n").alias("_n"))
-    cross = marked.join(kinds, "sig").filter("label < _other").join(other, ["sig", "_other"]).filter(F.lit(100) * F.least("n", "_n") >= F.lit(percent) * F.greatest("n", "_n"))
-    rest = pair(cross, "node", "_node", "n", "_n").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(_linked(written(rest, "pairs"), segments, percent), "links")
+    # Second round, for components of candidates that still hold several labels.
+    parts = components(star.select("a", "b")).select("node", F.col("label").alias("part"))
+    marked = parts.join(labels.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left").select("node", "part", F.coalesce("label", "node").alias("label"))
+    marked = written(marked, "candidates")
+    open_ = marked.groupBy("part").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("part")
+    marked = marked.join(open_, "part", "left_semi")
+    grams = segments.join(segments.groupBy("node").agg(F.min("cut").alias("cut")), ["node", "cut"]).groupBy("node").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    known = shared.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+    rows = written(marked.join(grams, "node").join(known, "node"), "candidates-open", release=True)
+    size = rows.groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(F.size("grams")) / BLOCK_GRAMS)).cast("int").alias("_b"))
+    rows = rows.join(size, "part").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_b")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    rows = rows.select("part", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), F.when(F.col("_own") <= F.col("_other"), 0).otherwise(1).alias("side"), "node", "label", "sigs", "grams")
+    more = written(_second_round(rows, percent), "links")
     if more.limit(1).count():
-        found = found.unionByName(more)
-        labels = components(found)
-    return sets.select("doc_id", "n", "node"), found, labels
+        labels = components(found.unionByName(more))
+    return sets.select("doc_id", "n", "node"), labels
 
 
 def near_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id (least doc_id reachable), class_id (its set), n_links of the set."""
-    sets, found, labels = links(docs, k, percent)
-    degree = found.select(F.explode(F.array("a", "b")).alias("_d")).groupBy("_d").agg(F.count(F.lit(1)).alias("_links"))
-    known = written(labels.join(degree, F.col("node") == F.col("_d"), "left").select(F.col("node").alias("_n"), "label", "_links"), "labels-degrees")
-    marked = sets.join(known, F.col("node") == F.col("_n"), "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label"), F.coalesce("_links", F.lit(0)).alias("n_links"))
+    """A row per document: doc_id, n_shingles, component_id (least doc_id reachable), class_id (its set)."""
+    sets, labels = links(docs, k, percent)
+    marked = sets.join(labels.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label"))
     marked = written(marked, "sets-marked")
     least = written(marked.filter("label is not null").groupBy(F.col("label").alias("_l")).agg(F.min("doc_id").alias("_least")), "least-ids")
     out = marked.join(least, F.col("label") == F.col("_l"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"), F.col("node").alias("class_id"), "n_links")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"), F.col("node").alias("class_id"))
 
 
 def keep_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
