@@ -53,6 +53,7 @@ class Project:
         report = {c: count.get(c, 0) for c in ("added", "modified", "deleted", "unchanged")}
         changed, gone = diff.filter("change in ('added', 'modified')").select("path"), diff.filter("change in ('modified', 'deleted')").select("path")
         if not (report["added"] or report["modified"] or report["deleted"]) and self.store.version() and not rebuild:
+            fresh.unpersist(), diff.unpersist()  # a later scan must not meet this listing
             return report
         rows = fresh.join(changed, "path", "left_semi")
         found = registry.extracted(rows.filter(F.col("parse_state").isin("OK") & F.col("language").isin(*PARSED_LANGUAGES))).cache()

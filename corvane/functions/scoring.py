@@ -26,7 +26,7 @@ def tier_confidence(tier: Column, n: Column) -> Column:
 def recency(last: Column, newest: Column) -> Column:
     """Halves every 30 days before the newest (both in epoch seconds); 0 where unknown."""
     days = F.greatest(F.lit(0.0), (newest - last) / 86400.0)
-    return F.coalesce(F.pow(F.lit(2.0), -days / HALF_LIFE_DAYS), F.lit(0.0))
+    return F.when(last.isNotNull() & newest.isNotNull(), F.pow(F.lit(2.0), -days / HALF_LIFE_DAYS)).otherwise(0.0)
 
 
 def weighted_score(signals: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
