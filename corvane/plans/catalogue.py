@@ -290,10 +290,10 @@ def purge_demote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.demote(edges, suppliers, paths).select("source_id", "target_id", "resolution", "confidence", "line", "file_path")
 
 
-@query("SELECT source, text_key, doc_id FROM (SELECT source, left(coalesce(text, ''), 40) AS text_key, doc_id, row_number() OVER (PARTITION BY source, left(coalesce(text, ''), 40) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+@query("SELECT lang, text_hash, doc_id FROM (SELECT lang, sha256(coalesce(text, '')) AS text_hash, doc_id, row_number() OVER (PARTITION BY lang, coalesce(text, '') ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("source", F.left(F.coalesce("text", F.lit("")), F.lit(40)).alias("text_key"), "doc_id")
-    return changes.first_wins(rows, ["source", "text_key"], ["doc_id"])
+    rows = table(spark, sf_dir, "documents").select("lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"), "doc_id")
+    return changes.first_wins(rows, ["lang", "text_hash"], ["doc_id"])
 
 
 @query(f"SELECT id, CAST(row_number() OVER (PARTITION BY file_path, type, qualified_name ORDER BY token_estimate, id) - 1 AS INTEGER) AS ordinal FROM ({ENTITIES_SQL})")
@@ -353,9 +353,9 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("path_confidence", F.round("path_confidence", 6))
 
 
-@query(_walk_sql(HIERARCHY_SQL, "SELECT 'C' || c_custkey AS id FROM customer WHERE c_custkey % 50 = 0", 3))
+@query(_walk_sql(HIERARCHY_SQL, "SELECT 'C' || c_custkey AS id FROM customer", 3))
 def neighbors_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"))
+    seeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"))
     return _rounded(graph.neighbors(views.hierarchy(spark, sf_dir), seeds, 3, "OUT"))
 
 
@@ -377,14 +377,14 @@ def neighbors_typed_min_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.neighbors(views.hierarchy(spark, sf_dir), seeds, 2, "BOTH", ["CALLS", "IMPORTS"], 0.5))
 
 
-@query(f"""WITH e AS ({EDGES_SQL}), s AS (SELECT 'P' || p_partkey AS id FROM part WHERE p_partkey % 100 = 0 UNION ALL SELECT 'S1')
+@query(f"""WITH e AS ({EDGES_SQL}), s AS (SELECT 'P' || p_partkey AS id FROM part WHERE p_size = 50 UNION ALL SELECT 'S1')
   SELECT target_id AS id FROM e WHERE type = 'CALLS' AND source_id IN (SELECT id FROM s) UNION SELECT source_id FROM e WHERE type = 'CALLS' AND target_id IN (SELECT id FROM s)""")
 def direct_call_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.direct_partners(views.edges(spark, sf_dir), _part_seeds(spark, sf_dir))
 
 
 def _part_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").filter("p_partkey % 100 = 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
+    parts = table(spark, sf_dir, "part").filter("p_size = 50").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
     return parts.unionByName(spark.createDataFrame([("S1",)], "id string"))
 
 
@@ -397,18 +397,16 @@ def test_linked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _name_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unresolved edges: order lines that name a part, some as member calls with a receiver."""
-    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    named = l.filter("l_orderkey % 8 = 1").join(p, F.col("l_partkey") == F.col("p_partkey"))
-    member = F.when(F.col("l_linenumber") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("obj."), F.col("p_name")).alias("expression"))))
-    return named.select(
-        F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("source_id"), F.lit(None).cast("string").alias("target_id"), F.col("p_name").alias("target_hint"), F.lit("CALLS").alias("type"),
-        F.col("p_brand").alias("file_path"), F.col("l_linenumber").alias("line"), member.alias("metadata"),
+    """Unresolved edges: each part's supplier order names the part, some as member calls with a receiver."""
+    member = F.when(F.col("p_size") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("obj."), F.col("p_name")).alias("expression"))))
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("O"), F.col("p_partkey").cast("string")).alias("source_id"), F.lit(None).cast("string").alias("target_id"), F.col("p_name").alias("target_hint"), F.lit("CALLS").alias("type"),
+        F.col("p_brand").alias("file_path"), F.col("p_size").alias("line"), member.alias("metadata"),
     )
 
 
 @query(f"""WITH ent AS ({ENTITIES_SQL}),
-  edge AS (SELECT 'O' || l_orderkey AS source_id, p_name AS target_hint, p_brand AS file_path, l_linenumber AS line, l_linenumber % 3 = 0 AS member FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 8 = 1),
+  edge AS (SELECT 'O' || p_partkey AS source_id, p_name AS target_hint, p_brand AS file_path, p_size AS line, p_size % 3 = 0 AS member FROM part),
   c AS (SELECT e.*, ent.id, ent.exported, ent.file_path = e.file_path AS local FROM edge e JOIN ent ON ent.name = e.target_hint OR ent.qualified_name = e.target_hint),
   k AS (SELECT *, count(*) OVER w AS n, sum(local::INT) OVER w AS locals FROM c WINDOW w AS (PARTITION BY source_id, target_hint, line, file_path)),
   r AS (SELECT *, CASE WHEN NOT member AND local AND locals = 1 THEN 5 WHEN NOT member AND n = 1 THEN 6 WHEN member AND local THEN 7 ELSE 8 END AS rule FROM k)
@@ -463,16 +461,16 @@ def affinity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("kind", "type", scoring.affinity(F.col("kind"), F.col("type")).cast("double").alias("affinity"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(100 * (0.25 * l_discount * 10 + 0.20 * l_tax * 10 + 0.20 / (1 + l_linenumber)), 6) AS score FROM lineitem WHERE l_orderkey % 4 = 1")
+@query("SELECT l_orderkey, l_linenumber, round(100 * (0.25 * l_discount * 10 + 0.20 * l_tax * 10 + 0.20 / (1 + l_linenumber)), 6) AS score FROM lineitem")
 def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = {"lexical": F.col("l_discount") * 10, "symbol_match": F.col("l_tax") * 10, "graph_proximity": 1.0 / (1 + F.col("l_linenumber")), "semantic": F.lit(1.0)}
-    return table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 1").select("l_orderkey", "l_linenumber", F.round(scoring.weighted_score(signals), 6).alias("score"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(scoring.weighted_score(signals), 6).alias("score"))
 
 
 def _code_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Documents as one entity a file, conversations' turns as calls between them."""
     d = views.paths(table(spark, sf_dir, "documents"))
-    line = F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(60)), r"\s+", " ")
+    line = F.split(F.coalesce("text", F.lit("")), "\n")[0]
     kind = F.when(F.col("doc_id") % 3 == 0, "FUNCTION").when(F.col("doc_id") % 3 == 1, "CLASS").otherwise("FILE")
     e = d.select(
         F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), kind.alias("type"), F.split("text", r"[^A-Za-z]+")[0].alias("name"), F.concat_ws(".", "source", F.split("text", r"[^A-Za-z]+")[0]).alias("qualified_name"), F.col("path").alias("file_path"),
@@ -567,13 +565,13 @@ def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as commits: the priority is the subject, the parts are the files."""
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     ending = F.when(F.col("l_linenumber") % 2 == 0, ".ts").otherwise(".md")
-    files = l.filter("l_linenumber <= 3").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.concat(F.lit("p"), F.col("l_partkey").cast("string"), ending))).alias("files"))
+    files = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.concat(F.lit("p"), F.col("l_partkey").cast("string"), ending))).alias("files"))
     subject = F.when(F.col("o_orderkey") % 11 == 0, "WIP on things").when(F.col("o_orderkey") % 5 == 0, "fix").otherwise(F.concat(F.lit("Order with priority "), F.col("o_orderpriority")))
     joined = o.join(files, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select(F.col("o_orderkey").alias("sha"), subject.alias("subject"), F.coalesce("files", F.array().cast("array<string>")).alias("files"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("ts"))
 
 
-_COMMITS_SQL = """WITH f AS (SELECT l_orderkey, list_sort(list('p' || l_partkey || CASE WHEN l_linenumber % 2 = 0 THEN '.ts' ELSE '.md' END)) AS files FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey),
+_COMMITS_SQL = """WITH f AS (SELECT l_orderkey, list_sort(list('p' || l_partkey || CASE WHEN l_linenumber % 2 = 0 THEN '.ts' ELSE '.md' END)) AS files FROM lineitem GROUP BY l_orderkey),
   c AS (SELECT o_orderkey AS sha, CASE WHEN o_orderkey % 11 = 0 THEN 'WIP on things' WHEN o_orderkey % 5 = 0 THEN 'fix' ELSE 'Order with priority ' || o_orderpriority END AS subject, coalesce(files, []) AS files, epoch_us(o_orderdate) AS ts FROM orders LEFT JOIN f ON l_orderkey = o_orderkey),
   r AS (SELECT *, CASE WHEN regexp_matches(trim(subject), '(?i)^(wip|merge|revert|bump|chore|lint|format)|^(fix(es|ed)?|ajustes?|update|atualiza(ndo|cao|ção)?|primeiro commit|initial commit)$') THEN 'subject' WHEN len(list_filter(regexp_split_to_array(trim(subject), '\\s+'), lambda w: w <> '')) < 3 THEN 'short message'
     WHEN len(files) = 0 THEN 'no files' WHEN len(files) > 20 THEN 'too many files' WHEN len(list_filter(files, lambda p: regexp_matches(p, '\\.ts$'))) = 0 THEN 'no code' END AS reason FROM c)"""
@@ -590,13 +588,13 @@ def commit_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.counts(_commits(spark, sf_dir).select(F.coalesce(reason, F.lit("case")).alias("reason")), "reason")
 
 
-_CASES_SQL = """WITH g AS (SELECT DISTINCT l_orderkey AS case_id, l_suppkey AS path FROM lineitem WHERE l_orderkey % 4 = 0), s AS (SELECT DISTINCT l_orderkey AS case_id, l_suppkey AS path FROM lineitem WHERE l_orderkey % 4 = 0 AND l_quantity > 25),
+_CASES_SQL = """WITH g AS (SELECT DISTINCT l_orderkey AS case_id, l_suppkey AS path FROM lineitem), s AS (SELECT DISTINCT l_orderkey AS case_id, l_suppkey AS path FROM lineitem WHERE l_quantity > 25),
   x AS (SELECT g.case_id, count(s.path) AS hits, count(*) AS n_expected FROM g LEFT JOIN s USING (case_id, path) GROUP BY g.case_id), y AS (SELECT case_id, count(*) AS n_selected FROM s GROUP BY case_id),
   z AS (SELECT case_id, coalesce(n_selected, 0) AS n_selected, n_expected, hits, hits / n_expected AS recall, CASE WHEN coalesce(n_selected, 0) = 0 THEN 0 ELSE hits / n_selected END AS precision FROM x LEFT JOIN y USING (case_id))"""
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("case_id"), F.col("l_suppkey").alias("path"), "l_quantity")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_suppkey").alias("path"), "l_quantity")
     return evaluate.case_results(l.filter("l_quantity > 25"), l)
 
 
