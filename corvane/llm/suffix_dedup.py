@@ -2,7 +2,7 @@
 
 Every window of `length` bytes has one anchor: its least GRAM-byte string by hash, the first of equals. Equal windows have
 equal anchors at equal places, so the suffixes that begin at anchors stand for all. They are range-partitioned by
-their leading tokens (the GRAM bytes at the anchor, as four big-endian words) with splitters that Spark samples;
+their leading tokens (the GRAM bytes at the anchor, as big-endian words) with splitters that Spark samples;
 each bucket sorts its suffixes by multikey quicksort and compares neighbours; runs at the ends of buckets are
 compared across boundaries. So each bucket holds a bounded share even if a third of all suffixes are equal.
 
@@ -23,16 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import blocks, flat, partitions, written
+from corvane.llm.common import blocks, discard, flat, partitions, written
 from corvane.llm.kernels import U, mix, prefix_hash, span_hash
 
-LENGTH, GRAM = 400, 32
+LENGTH, GRAM = 400, 64
 #: Windows per span, level by level.
 WIDTHS = (128, 16, 4, 1)
-_KEYS = ["k0", "k1", "k2", "k3"]
+_KEYS = [f"k{i}" for i in range(GRAM // 8)]
+_ANCHOR = "uid long, pos int, lo short, hi short, " + ", ".join(f"{k} long" for k in _KEYS)
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,11 +77,11 @@ def _anchor_table(docs: DataFrame, length: int) -> DataFrame:
             buf, off = flat(part.column("_text"))
             row, anchor, first, last = anchors(buf, off, length)
             uid = np.asarray(part.column("_uid"))[row] if len(row) else np.zeros(0, np.int64)
-            words = _words(buf, anchor) if len(row) else [np.zeros(0, np.int64)] * 4
+            words = _words(buf, anchor) if len(row) else [np.zeros(0, np.int64)] * len(_KEYS)
             columns = [uid, (anchor - off[row]).astype(np.int32), (anchor - last).astype(np.int16), (anchor - first).astype(np.int16), *words]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "pos", "lo", "hi", *_KEYS])
 
-    return docs.mapInArrow(run, "uid long, pos int, lo short, hi short, k0 long, k1 long, k2 long, k3 long")
+    return docs.mapInArrow(run, _ANCHOR)
 
 
 def multikey_order(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,12 +116,15 @@ def _repeated_anchors(table: DataFrame) -> DataFrame:
         edge = (group == 0) | (group == group[-1])
         use = equal | edge
         kept = whole.take(pa.array(order[use]))
+        for name in _KEYS:  # the tokens are needed across boundaries only
+            at = kept.schema.get_field_index(name)
+            kept = kept.set_column(at, name, pc.if_else(pa.array(edge[use]), kept.column(name), pa.scalar(None, pa.int64())))
         # A run at an end of the bucket is told once, by its first suffix, to the buckets beside it.
         tells = edge & np.concatenate([[True], group[1:] != group[:-1]])
         kept = kept.append_column("equal", pa.array(equal[use])).append_column("edge", pa.array(edge[use])).append_column("tells", pa.array(tells[use]))
         yield from kept.to_batches(max_chunksize=50_000)
 
-    marked = written(dealt.mapInArrow(run, "uid long, pos int, lo short, hi short, k0 long, k1 long, k2 long, k3 long, equal boolean, edge boolean, tells boolean"), "suffixes")
+    marked = written(dealt.mapInArrow(run, _ANCHOR + ", equal boolean, edge boolean, tells boolean"), "suffixes", release=True)
     across = marked.filter("tells").groupBy(*_KEYS).count().filter("count > 1").drop("count")  # at most two rows a bucket
     over = marked.filter("edge and not equal").join(F.broadcast(across), _KEYS, "left_semi")
     names = ["uid", "pos", "lo", "hi"]
@@ -142,7 +147,7 @@ def _context_table(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(part.column("_uid"))[row]), pa.array(pos.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16)), pa.array(data, pa.binary())], names=["uid", "pos", "lo", "hi", "bytes"])
 
     joined = docs.join(by_doc, F.col("_uid") == F.col("uid")).select("_uid", "_text", "_at")
-    return written(joined.mapInArrow(run, "uid long, pos int, lo short, hi short, bytes binary"), "contexts")
+    return written(joined.mapInArrow(run, "uid long, pos int, lo short, hi short, bytes binary"), "contexts", release=True)
 
 
 def _spans(context: DataFrame, level: int, length: int) -> DataFrame:
@@ -184,23 +189,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(uid, start, end): byte spans whose union is what is covered by repeated windows. `docs` has _uid and _text."""
     table = written(_anchor_table(docs, length), "anchors")
     found = _repeated_anchors(table)
+    discard(table)
     context = _context_table(docs, found, length)
     out, rest = [], context
     for level, width in enumerate(WIDTHS):
-        spans = written(_spans(rest, level, length), f"spans-{width}")
-        hashes = F.explode(F.array("common", "whole") if width > 1 else F.array("whole")).alias("_h")
-        again = written(spans.select(hashes).groupBy("_h").count().filter("count > 1").select("_h"), "repeated-strings")
-        all_of = again.select(F.col("_h").alias("_w"))
-        full = spans.join(all_of, F.col("whole") == F.col("_w"), "left_semi")
+        spans = written(_spans(rest, level, length), f"spans-{width}", release=True)
+        # What spans cover: how often, and one of each kind. Both counts are pre-aggregated before the shuffle.
+        kinds = spans.groupBy("whole").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("uid", "pos", "first", "common")).alias("_one")).filter("_n > 1")
+        kinds = written(kinds.select(F.col("whole").alias("_w"), "_one"), "repeated-wholes")
+        full = spans.join(kinds.select("_w"), F.col("whole") == F.col("_w"), "left_semi")
         out.append(full.select("uid", (F.col("pos") - F.col("b")).alias("start"), (F.col("pos") - F.col("a") + length).alias("end")))
         if width == 1:
             break
-        some = written(spans.join(all_of, F.col("whole") == F.col("_w"), "left_anti").join(again, F.col("common") == F.col("_h"), "left_semi").select("uid", "pos", "first", "common"), "spans-open")
+        again = spans.groupBy("common").count().filter("count > 1").select(F.col("common").alias("_h"))
+        some = spans.join(kinds.select("_w"), F.col("whole") == F.col("_w"), "left_anti").join(written(again, "repeated-parts"), F.col("common") == F.col("_h"), "left_semi")
+        some = written(some.select("uid", "pos", "first", "common"), "spans-open")
         # Of those settled as repeated, one of each kind goes on where an open span may share some of its windows.
-        one = full.groupBy("whole").agg(F.min(F.struct("uid", "pos", "first", "common")).alias("_one")).select("_one.*")
-        one = one.join(some.select(F.col("common").alias("_c")).distinct(), F.col("common") == F.col("_c"), "left_semi")
+        one = kinds.select("_one.*").join(some.select(F.col("common").alias("_c")).distinct(), F.col("common") == F.col("_c"), "left_semi")
         cut = written(some.unionByName(one).groupBy("uid", "pos").agg(F.collect_set("first").alias("of")), "spans-cut")  # few per anchor
-        rest = context.join(cut, ["uid", "pos"])
+        # Later levels cut only what this one leaves open, so the other bytes are not moved again.
+        rest, before = written(rest.drop("of").join(cut.hint("shuffle_hash"), ["uid", "pos"]), "contexts", release=True), rest
+        discard(before)
     spans = out[0]
     for more in out[1:]:
         spans = spans.unionByName(more)
@@ -210,7 +219,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def deduplicated(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes if asked)."""
     texts = docs.select(F.monotonically_increasing_id().alias("_uid"), F.coalesce("text", F.lit("")).alias("_text"), "doc_id")
-    spans = written(repeated_spans(texts.select("_uid", "_text"), length), "repeated-spans")
+    spans = written(repeated_spans(texts.select("_uid", "_text"), length), "repeated-spans", release=True)
     by_doc = written(spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("_cut")), "cuts")  # bounded by the text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
