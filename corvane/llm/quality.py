@@ -17,8 +17,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corvane.llm.common import blocks, crc_mod, flat
 from corvane.llm.kernels import LOWER, U, mix, prefix_hash, shingles, span_hash, word_spans
@@ -106,23 +107,24 @@ def train(docs: DataFrame, labels: DataFrame, mark: str = "quality", mod: int =
     return fit(np.stack(got["x"].to_numpy()), got["y"].to_numpy())
 
 
-def _scorer(model: Model, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "_text"):
-            score = model.score(features(*flat(part.column("_text"))))
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(score)], names=[*names, "score"])
+def score_of(text: Column, model: Model) -> Column:
+    """The score of a text; null counts as empty. Only the text goes to Python, the row stays where it is."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            part = pa.RecordBatch.from_arrays([batch], names=["text"])
+            yield pa.array(np.concatenate([np.zeros(0), *(model.score(features(*flat(b.column("text")))) for b in blocks(iter([part])))]))
 
-    return run
+    return F.arrow_udf(run, DoubleType(), F.ArrowUDFType.SCALAR_ITER)(text)
 
 
 def scored(docs: DataFrame, model: Model, mod: int = HELD_MOD, held: int = HELD) -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted."""
-    out = docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(_scorer(model, ["doc_id"]), "doc_id long, score double")
+    out = docs.select("doc_id", score_of(F.col("text"), model).alias("score"))
     return out.select("doc_id", (crc_mod("doc_id", mod) == held).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def accepted_rows(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` that the classifier accepts, with their columns as they came."""
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
-    out = rows.mapInArrow(_scorer(model, ["_row"]), f"_row {rows.schema['_row'].dataType.simpleString()}, score double")
-    return out.filter(F.col("score") >= CUT).select("_row.*")
+    rows = docs.select(F.struct("*").alias("_row"), score_of(F.col("text"), model).alias("_score"))
+    return rows.filter(F.col("_score") >= CUT).select("_row.*")
