@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import blocks, flat, written
+from corvane.llm.common import blocks, discard, flat, written
 from corvane.llm.components import components
 from corvane.llm.kernels import U, mix, shingles, word_hashes
 
@@ -75,7 +75,7 @@ class Cuts:
             i, _, last = self.of(last + 1)
 
 
-def signatures(u: np.ndarray, cuts: Cuts) -> tuple[list[np.ndarray], list[int]]:
+def signatures(u: np.ndarray, cuts: Cuts) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
     """For each class that the sorted shingle hashes `u` enter: the signatures of its fragments, and how many may be left out.
 
     Empty fragments are left out at once as far as they may be; what is left of the allowance is for common ones.
@@ -87,11 +87,12 @@ def signatures(u: np.ndarray, cuts: Cuts) -> tuple[list[np.ndarray], list[int]]:
         cut = ((u >> U(32)) * U(fragments)) >> U(32)
         at = np.searchsorted(cut, np.arange(enter + 1, dtype=U))
         sums, size = total[at[1:]] - total[at[:-1]], np.diff(at)
-        sig = mix(sums ^ mix(np.arange(enter, dtype=U) + U(i << 32)))
+        # The last bit tells the class's parity, and so which of a set's two classes a signature is of.
+        sig = mix(sums ^ mix(np.arange(enter, dtype=U) + U(i << 32))) >> U(1) << U(1) | U(i & 1)
         empty = size == 0
         gone = int(empty.sum())
         out.append(sig if gone > spare else sig[~empty])
-        spares.append(-1 if gone > spare else spare - gone)
+        spares.append((i & 1, -1 if gone > spare else spare - gone))
     return out, spares
 
 
@@ -127,10 +128,10 @@ def _sets_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
             inner = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
             outer = np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)))
-            entries = pa.StructArray.from_arrays([lists, pa.array(spares, pa.int32())], names=["sigs", "spare"])
+            entries = pa.StructArray.from_arrays([lists, pa.array([x for x, _ in spares], pa.int32()), pa.array([x for _, x in spares], pa.int32())], names=["sigs", "entry", "spare"])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(outer), entries)], names=["doc_id", "n", "node", "classes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, classes array<struct<sigs: array<long>, spare: int>>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, classes array<struct<sigs: array<long>, entry: int, spare: int>>")
 
 
 def _counting_cut(n: int) -> int:
@@ -182,14 +183,19 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 def _members(sets: DataFrame) -> DataFrame:
     """(sig, node, n): signatures that documents of different sets may share, without the common ones that a set may leave out."""
-    rows = sets.select("node", "n", F.posexplode("classes").alias("entry", "c")).select("node", "n", "entry", "c.spare", F.explode("c.sigs").alias("sig"))
-    shared = rows.select("sig").groupBy("sig").count().filter("count > 1")
-    met = rows.join(shared.hint("shuffle_hash"), "sig")
-    met = written(met.groupBy("sig", "node").agg(F.first("n").alias("n"), F.first("entry").alias("entry"), F.first("spare").alias("spare"), F.first("count").alias("count")), "signature-members", release=True)
+    shared = written(sets.select(F.explode(F.flatten("classes.sigs")).alias("sig")).groupBy("sig").count().filter("count > 1"), "shared-signatures", release=True)
+    # Only signature and node move for every row; what belongs to a node's class is joined to the few rows that are left.
+    rows = sets.select("node", F.explode(F.flatten("classes.sigs")).alias("sig"))
+    met = written(rows.join(shared.hint("shuffle_hash"), "sig").select("sig", "node", "count").distinct(), "signature-members", release=True)
+    discard(shared)
+    about = sets.select("node", "n", F.explode("classes").alias("c")).groupBy("node", "c.entry").agg(F.first("n").alias("n"), F.first("c.spare").alias("spare"))
+    met = written(met.withColumn("entry", F.col("sig").bitwiseAND(F.lit(1)).cast("int")).join(about, ["node", "entry"]), "signature-members", release=True)
     common = F.col("count") > COMMON
     many = met.filter(common).groupBy("node", "entry").agg(F.count(F.lit(1)).alias("_n"), F.first("spare").alias("_spare")).filter("_n > _spare").select(F.col("node").alias("_node"), F.col("entry").alias("_entry"))
     stay = met.filter(common).join(many, (F.col("node") == F.col("_node")) & (F.col("entry") == F.col("_entry")), "left_semi")
-    return met.filter(~common).unionByName(stay).select("sig", "node", "n")
+    out = written(met.filter(~common).unionByName(stay).select("sig", "node", "n"), "members", release=True)
+    discard(met)
+    return out
 
 
 def _second_round(grouped: DataFrame, percent: int) -> DataFrame:
@@ -272,8 +278,9 @@ def _second_round(grouped: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(sets, labels): a row per document (doc_id, n, node); the components of linked nodes (node, label)."""
-    sets = written(_sets_table(docs, k, percent), "shingle-sets")
-    members = written(_members(sets), "members", release=True)
+    wide = written(_sets_table(docs, k, percent), "shingle-sets")
+    sets, members = written(wide.select("doc_id", "n", "node"), "sets"), _members(wide)
+    discard(wide)
     ends = members.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).filter("lo.node < hi.node")
     ends = written(ends, "signature-ends")
     near = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
@@ -305,7 +312,7 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     more = written(_second_round(rows, percent), "links")
     if more.limit(1).count():
         labels = components(found.unionByName(more))
-    return sets.select("doc_id", "n", "node"), labels
+    return sets, labels
 
 
 def near_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
