@@ -2,13 +2,15 @@
 
 A vector is coded as a sum of full-dimensional codewords, one from each codebook. The codebooks are learned on a bounded
 sample (residual k-means, then least squares of each book with the others held); a beam search codes every vector. The norm of the
-decoded vector is stored, so |q - x|^2 is |q|^2 - 2 (sum of table entries <q, c>) + norm: a lookup per book. Each
-query keeps the best `shortlist` rows by that score, which are then ranked by exact distance.
+decoded vector is stored, so |q - x|^2 is |q|^2 - 2 (sum of table entries <q, c>) + norm: a lookup per book. The coding
+error |x - decoded| is stored too: a row is no nearer than its decoded distance less its error. The best rows by codes
+give a distance that k rows keep within; every row whose bound is not above it is then ranked by exact distance. So the
+k nearest are found whatever the codes are worth; poor codes only rule out fewer rows.
 
-Rows of codes stand in chunks and queries in blocks of bounded size; each pair of a chunk and a block gives a query's
-best rows of that chunk. Rows are dealt to chunks by a hash, so a chunk needs to give little more than its share. Equal scores go to the smaller vec_id everywhere, so a vector that a third of the rows share
+Rows of codes and vectors stand in chunks and queries in blocks of bounded size; each pair of a chunk and a block gives a
+query's k nearest rows of that chunk. Rows are dealt to chunks by a hash. Equal scores go to the smaller vec_id everywhere, so a vector that a third of the rows share
 does no harm. Vectors that are null, zero, hold a null or non-finite component, or have another dimension than most
-take no part. A null vec_id takes no part. Rows that repeat a vec_id are candidates of their own. With fewer candidates
+take no part. A null vec_id takes no part. Rows that repeat a vec_id are candidates and queries of their own. With fewer candidates
 than `k` all are returned. No rows: no rows. Extra columns are ignored.
 """
 
@@ -20,13 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from corvane.llm.common import written
 
 #: Rows that the codebooks are learned on at most, the smallest seeded hashes first.
 SAMPLE = 8192
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 8, 2
-CHUNK, BLOCK, SHORTLIST = 4096, 64, 600
+CHUNK, BLOCK = 4096, 512
+#: Bytes of vectors from which a chunk is closed early.
+CHUNK_BYTES = 1 << 24
 
 
 def usable(v: str) -> Column:
@@ -95,92 +100,114 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, d)
 
 
+def _kind(vectors: DataFrame) -> str:
+    """How a chunk holds the components: exactly."""
+    return "<f4" if isinstance(vectors.schema["v"].dataType.elementType, FloatType) else "<f8"
+
+
 def index(vectors: DataFrame, books: np.ndarray) -> DataFrame:
-    """Chunks of codes: ids, codes and norms of up to CHUNK rows, as bytes. Every row is coded."""
+    """Chunks: ids, codes, norms, coding errors and vectors of up to 2 x CHUNK rows, as bytes. Every row is coded."""
     share = vectors.sparkSession.sparkContext.broadcast(books)  # BOOKS x WORDS x dimension floats
+    kind = _kind(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = share.value
-        ids, codes, norms = [], [], []
+        words, d = books.astype(np.float64), books.shape[2]
+        ids, codes, norms, errors, own = kept = [], [], [], [], []
 
         def chunk() -> pa.RecordBatch:
-            i, c, n = np.concatenate(ids), np.concatenate(codes), np.concatenate(norms)
-            ids.clear(), codes.clear(), norms.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (i, c, n)], names=["ids", "codes", "norms"])
+            out = pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in kept], names=["ids", "codes", "norms", "errors", "own"])
+            for x in kept:
+                x.clear()
+            return out
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                code, decoded = encode(_matrix(part.column("v"), books.shape[2]).astype(np.float32), books)
+                x = _matrix(part.column("v"), d)
+                code = encode(x.astype(np.float32), books)[0]
+                decoded = sum(words[b][code[:, b]] for b in range(len(words)))
                 ids.append(np.asarray(part.column("vec_id")).astype(np.int64))
                 codes.append(code)
-                norms.append((decoded.astype(np.float64) ** 2).sum(1).astype(np.float32))
-                if sum(map(len, ids)) >= 2 * CHUNK:
+                norms.append((decoded**2).sum(1))
+                errors.append(np.sqrt(((x - decoded) ** 2).sum(1)))
+                own.append(x.astype(kind))
+                if sum(map(len, ids)) >= 2 * CHUNK or sum(x.nbytes for x in own) >= CHUNK_BYTES:
                     yield chunk()
         if ids:
             yield chunk()
 
     parts = max(1, -(-vectors.count() // CHUNK))
-    # Dealt by a hash, so that a query's neighbours are spread evenly over the chunks.
-    return vectors.select("vec_id", "v").repartition(parts, F.xxhash64("vec_id", F.lit(5))).mapInArrow(run, "ids binary, codes binary, norms binary")
+    return vectors.select("vec_id", "v").repartition(parts, F.xxhash64("vec_id", F.lit(5))).mapInArrow(run, "ids binary, codes binary, norms binary, errors binary, own binary")
+
+
+def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact distances of the rows of x from q, components summed in order."""
+    total = np.zeros(len(x))
+    for i in range(len(q)):
+        total += (q[i] - x[:, i]) ** 2
+    return np.sqrt(total)
 
 
-def _best(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n least scores, ties to the smaller id."""
-    if len(score) > n:
-        cut = np.partition(score, n - 1)[n - 1]
-        low, tied = np.flatnonzero(score < cut), np.flatnonzero(score == cut)
-        need = n - len(low)
-        if len(tied) > need:
-            tied = tied[np.argpartition(ids[tied], need - 1)[:need]]
-        return np.concatenate([low, tied])
-    return np.arange(len(score))
+def _first(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least scores in order, ties to the smaller id."""
+    if len(score) > k:
+        within = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1])
+        return within[np.lexsort((ids[within], score[within]))][:k]
+    return np.lexsort((ids, score))
 
 
-def search(vectors: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 10, shortlist: int = SHORTLIST) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each query (vec_id, v), by exact distance."""
-    spark, d = vectors.sparkSession, books.shape[2]
+def _candidates(q: np.ndarray, x: np.ndarray, square: np.ndarray, there: np.ndarray, decoded: np.ndarray, errors: np.ndarray, k: int) -> np.ndarray:
+    """Places among `there` that hold the k rows nearest to q, ties included. decoded: distances of the decoded rows."""
+    if len(there) <= k:
+        return there
+    # Rounding is far below this share of the lengths; what is not a number is no reason to leave a row out.
+    scale = np.sqrt(q @ q) + np.sqrt(square[there].max())
+    best = there[np.argpartition(decoded[there], k - 1)[:k]]
+    bound = _distances(q, x[best]).max() + 1e-6 * scale
+    there = there[~(decoded[there] - errors[there] > bound)]
+    rough = square[there] - 2 * ((x @ q)[there] if 4 * len(there) > len(x) else x[there] @ q)
+    return there[~(rough > np.partition(rough, k - 1)[k - 1] + 1e-9 * scale**2)]
+
+
+def search(vectors: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 10) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest of each query (vec_id, v), by exact distance."""
+    spark, d, kind = vectors.sparkSession, books.shape[2], _kind(vectors)
     share = spark.sparkContext.broadcast(books)
     chunks = written(index(vectors, books), "codes")
     blocks = max(1, -(-queries.count() // BLOCK))
-    # A chunk holds its even share of a query's shortlist; it gives half more than that and 100.
-    each = min(shortlist, 3 * shortlist // (2 * max(1, chunks.count())) + 100)
-    asked = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
+    asked = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
+    asked = written(asked.select("asked"), "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = share.value
-        m = len(books)
+        words = share.value.astype(np.float64)
+        m = len(words)
         for batch in batches:
             for r in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[r].as_py(), np.int64)
+                ids, norms, errors = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("ids", np.int64), ("norms", np.float64), ("errors", np.float64)))
                 codes = np.frombuffer(batch.column("codes")[r].as_py(), np.uint8).reshape(-1, m).T.astype(np.int64)
-                norms = np.frombuffer(batch.column("norms")[r].as_py(), np.float32)
+                x = np.frombuffer(batch.column("own")[r].as_py(), kind).reshape(-1, d).astype(np.float64)
+                square = (x**2).sum(1)
                 asked = batch.column("asked")[r].values
                 who, q = np.asarray(asked.field("vec_id")), _matrix(asked.field("v"), d)
-                tables = np.einsum("qd,mkd->qmk", q, books).astype(np.float32)
                 out_q, out_v, out_s = [], [], []
                 for i in range(len(who)):
-                    score = norms.copy()
+                    table = words @ q[i]
+                    decoded = norms + q[i] @ q[i]
                     for b in range(m):
-                        score -= 2 * tables[i, b][codes[b]]
-                    score[ids == who[i]] = np.inf
-                    top = _best(score, ids, each)
-                    top = top[np.isfinite(score[top])]
+                        decoded -= 2 * table[b][codes[b]]
+                    there = _candidates(q[i], x, square, np.flatnonzero(ids != who[i]), np.sqrt(np.maximum(decoded, 0)), errors, k)
+                    score = _distances(q[i], x[there])
+                    top = _first(score, ids[there], k)
                     out_q.append(np.full(len(top), who[i]))
-                    out_v.append(ids[top])
+                    out_v.append(ids[there][top])
                     out_s.append(score[top])
                 if out_q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["query_id", "vec_id", "approx"])
-
-    met = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block").select("ids", "codes", "norms", "asked")
-    found = met.mapInArrow(run, "query_id long, vec_id long, approx float")
-    rough = F.row_number().over(Window.partitionBy("query_id").orderBy("approx", "vec_id"))
-    short = written(found.withColumn("_n", rough).filter(F.col("_n") <= shortlist).select("query_id", "vec_id").distinct(), "shortlist")
-    exact = short.join(vectors.select("vec_id", "v"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"]), "query_id")
-    square = F.aggregate(F.zip_with("q", "v", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
+
+    found = chunks.crossJoin(asked).mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    out = exact.select("query_id", "vec_id", F.sqrt(square).alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(table: DataFrame, every: int = 100, k: int = 10, vector: str = "embedding") -> DataFrame:

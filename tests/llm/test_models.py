@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import col as spark_col
 
 from corvane.llm import ann, langid, quality, toxicity
 
@@ -147,6 +148,19 @@ def test_neighbours(spark):
     assert hits / total >= 0.9
 
 
+def test_neighbours_do_not_depend_on_the_codes(spark):
+    draw = np.random.default_rng(5)
+    x = np.concatenate([draw.normal(size=(2500, 8)), np.tile(draw.normal(size=8), (1000, 1)), draw.normal(size=(1500, 8))]).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    want, got = exact(rows), {}
+    table = vectors(spark, rows).select("vec_id", spark_col("embedding").alias("v"))
+    books = draw.normal(size=(2, 2, 8)).astype(np.float32)  # four codes for all rows
+    for r in ann.search(table, table.filter("vec_id % 100 = 0"), books).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    assert {q: [i for _, _, i in sorted(f)] for q, f in got.items()} == {q: [i for _, i in f] for q, f in want.items()}
+    assert all(abs(a[1] - b[0]) < 1e-9 for q in got for a, b in zip(sorted(got[q]), want[q], strict=True))
+
+
 def test_neighbours_of_few_and_none(spark):
     assert ann.nearest(vectors(spark, [])).count() == 0
     got = ann.nearest(vectors(spark, [(100, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [1.0, 1.0], 0)])).orderBy("rank").collect()
