@@ -6,6 +6,12 @@ permuted there by a keyed Feistel network with cycle walking, and written back i
 Equal values therefore get equal pseudonyms in every document, however they are punctuated, and different values
 different ones. The key is a parameter; with it `reveal` inverts every pseudonym.
 
+A card number or IBAN may be followed by groups that are not its own (a security code, an expiry date, a word in
+capitals): the longest reading is tried first, then the same without its last groups, then what starts later. Dates
+are numeric (parts of one or two digits, a time of day may follow) or with an English month name. A pseudonym must be
+read as its value was, so the permutation walks on where an earlier reading would validate in the pseudonym's place or
+where a date would have other digits or an ambiguous name (May); only there the pseudonym depends on how the value is written.
+
 Only values that validate are replaced; other text stays as it is, byte for byte. A null text stays null; an empty one
 is empty. Values are found whole (not inside longer runs of letters or digits). Repeated rows and ties get equal
 results. No rows: no rows. A very long text is scanned whole. Extra columns are ignored.
@@ -74,7 +80,7 @@ def _refill(shape: str, digits: str) -> str:
 Permutation = Callable[[int, int, str], int]
 
 
-def _card(m: re.Match, p: Permutation) -> str | None:
+def _card(m: re.Match | list[str], p: Permutation) -> str | None:
     digits = re.sub(r"\D", "", m[0])
     if not 13 <= len(digits) <= 19 or digits[0] not in "23456" or len(set(digits)) == 1:
         return None
@@ -119,10 +125,10 @@ def _ipv4(m: re.Match, p: Permutation) -> str | None:
     return ".".join(map(str, y.to_bytes(4, "big")))
 
 
-def _iban(m: re.Match, p: Permutation) -> str | None:
+def _iban(m: re.Match | list[str], p: Permutation) -> str | None:
     raw = m[0].replace(" ", "").upper()
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if not 15 <= len(raw) <= 34 or number(raw[4:] + raw[:4]) % 97 != 1:
+    if not 15 <= len(raw) <= 34 or not 2 <= int(raw[2:4]) <= 98 or number(raw[4:] + raw[:4]) % 97 != 1:
         return None
     body, size, value = raw[4:], 1, 0
     for c in body:  # mixed radix: a digit stays a digit and a letter a letter
@@ -140,34 +146,59 @@ def _iban(m: re.Match, p: Permutation) -> str | None:
 _FIRST, _DAYS = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal() - date(1900, 1, 1).toordinal() + 1
 
 
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_MONTH = {name: i for i, full in enumerate(_MONTHS, 1) for name in (full, full[:3])} | {"sept": 9}
+
+
+def _suffix(day: int) -> str:
+    return {1: "st", 2: "nd", 3: "rd"}.get(day % 10 if day not in (11, 12, 13) else 0, "th")
+
+
+def _like(text: str, shape: str) -> str:
+    return text.upper() if shape.isupper() else text.title() if shape.istitle() else text
+
+
 def _date(m: re.Match, p: Permutation) -> str | None:
-    y, mo, d, sep = (m["y1"], m["m1"], m["d1"], m["s1"]) if m["y1"] else (m["y2"], m["m2"], m["d2"], m["s2"])
-    month_first = not m["y1"] and sep == "/"  # 12/31/1999; with other marks the day stands first
-    if month_first:
-        mo, d = d, mo
-        if int(mo) > 12:
-            mo, d, month_first = d, mo, False
+    n = next(i for i in "1234" if m["y" + i])
+    year, month, day = "y" + n, "m" + n, "d" + n
+    slashed = n == "2" and m["s2"] == "/"
+    if month_first := slashed and int(m[day]) <= 12:  # 12/31/1999; with other marks the day stands first
+        month, day = day, month
+    name = m[month].lower() if n in "34" else ""
+    if name and not (m[month].isupper() or m[month].islower() or m[month].istitle()):
+        return None
     try:
-        day = date(int(y), int(mo), int(d)).toordinal() - _FIRST
+        old = date(int(m[year]), _MONTH[name] if name else int(m[month]), int(m[day]))
     except ValueError:
         return None
-    if not 0 <= day < _DAYS:
+    ordinal = "o" + n if name and m["o" + n] else ""
+    if not 0 <= old.toordinal() - _FIRST < _DAYS or ordinal and m[ordinal].lower() != _suffix(old.day):
         return None
-    if month_first or (not m["y1"] and sep == "/"):
-        # Which part is the month must be readable from the pseudonym as from the value: keep to its own class.
-        new = date.fromordinal(_FIRST + _walk_date(day, p, month_first))
-    else:
-        new = date.fromordinal(_FIRST + p(day, _DAYS, "date"))
-    text = (f"{new.month:02d}", f"{new.day:02d}") if month_first else (f"{new.day:02d}", f"{new.month:02d}")
-    return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}" if m["y1"] else f"{text[0]}{sep}{text[1]}{sep}{new.year:04d}"
+    short = not name and min(len(m[month]), len(m[day])) == 1
 
+    def fits(new: date) -> bool:
+        """Which part is the month, how many digits a part has and how a name is written must be readable as from the value."""
+        if slashed and not month_first and new.day <= 12:
+            return False
+        if (name or short) and (new.day < 10) != (old.day < 10) or short and (new.month < 10) != (old.month < 10):
+            return False
+        return not name or (new.month == old.month if name in ("may", "sept") else new.month != 5)
 
-def _walk_date(day: int, p: Permutation, month_first: bool) -> int:
-    """Day-first slashed dates have days over 12; the permutation walks within that class, or within all dates."""
+    at = old.toordinal() - _FIRST
     while True:
-        day = p(day, _DAYS, "date" if month_first else "date-day-first")
-        if month_first or date.fromordinal(_FIRST + day).day > 12:
-            return day
+        at = p(at, _DAYS, "date-day-first" if slashed and not month_first else "date")
+        if fits(new := date.fromordinal(_FIRST + at)):
+            break
+    full = _MONTHS[new.month - 1]
+    called = name if name in ("may", "sept") else full if name in _MONTHS else full[:3]
+    parts = {year: f"{new.year:04d}", month: _like(called, m[month]) if name else str(new.month).zfill(len(m[month])), day: str(new.day).zfill(len(m[day]))}
+    if ordinal:
+        parts[ordinal] = _like(_suffix(new.day), m[ordinal] if m[ordinal].isupper() else "")
+    out, end = [], m.start()
+    for part in sorted(parts, key=m.start):
+        out += [m.string[end : m.start(part)], parts[part]]
+        end = m.end(part)
+    return "".join([*out, m.string[end : m.end()]])
 
 
 def _email(m: re.Match, p: Permutation) -> str | None:
@@ -189,17 +220,26 @@ def _email(m: re.Match, p: Permutation) -> str | None:
     return "".join(reversed(out)) + "@" + m["domain"]
 
 
+_NAME, _ORDINAL = f"(?i:{'|'.join(sorted(_MONTH, key=len, reverse=True))})", "(?i:st|nd|rd|th)"
 _PATTERNS: dict[str, tuple[str, Callable[[re.Match, Permutation], str | None]]] = {
     "email": (r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63})@(?P<domain>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})(?![A-Za-z0-9])", _email),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ipv4),
-    "date": (r"(?<![\w./-])(?:(?P<y1>(?:19|20)\d\d)(?P<s1>[-/.])(?P<m1>\d\d)(?P=s1)(?P<d1>\d\d)|(?P<d2>\d\d)(?P<s2>[-/.])(?P<m2>\d\d)(?P=s2)(?P<y2>(?:19|20)\d\d))(?![\w/-]|\.\d)", _date),
+    "date": (
+        r"(?<![\w./-])(?:(?P<y1>(?:19|20)\d\d)(?P<s1>[-/.])(?P<m1>\d\d?)(?P=s1)(?P<d1>\d\d?)|(?P<d2>\d\d?)(?P<s2>[-/.])(?P<m2>\d\d?)(?P=s2)(?P<y2>(?:19|20)\d\d)"
+        rf"|(?P<d3>\d\d?)(?P<o3>{_ORDINAL})?(?:\s|-|\.\s|\sof\s)(?P<m3>{_NAME})(?:\.?\s|-|,\s)(?P<y3>(?:19|20)\d\d)|(?P<m4>{_NAME})(?:\.?\s|-)(?P<d4>\d\d?)(?P<o4>{_ORDINAL})?(?:,?\s|,|-)(?P<y4>(?:19|20)\d\d))"
+        r"(?:(?=[Tt]\d\d)|(?![\w/-]|\.\d))",
+        _date,
+    ),
     "ssn": (r"(?<![\w-])(?P<a>\d{3})-(?P<g>\d\d)-(?P<s>\d{4})(?![\w-])", _ssn),
     "phone": (r"(?<![\w+.-])(?P<cc>\+?1[ .-]?)?(?P<body>\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-]|\.\d)", _phone),
-    "card": (r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]|\.\d)", _card),
+    "card": (r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3}(?!/\d))?|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]|\.\d)", _card),
 }
 _COMPILED = {k: (re.compile(p, re.ASCII), f) for k, (p, f) in _PATTERNS.items()}
+_GAP = re.compile("[ -]")
 _MAYBE = re.compile(r"[0-9@]")
+#: Kinds whose last groups may not be their own. Their pseudonyms have the length of the value.
+_GROUPED = ("iban", "card")
 
 
 def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, str, str]]]:
@@ -208,16 +248,31 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[t
     if not _MAYBE.search(text):
         return text, done
     taken: list[tuple[int, int, str]] = []
+    failed: list[tuple[Callable, int, int]] = []  # readings that don't validate, and mustn't in the result
+    p = lambda x, size, what: permute(x, size, what, key, back)
     for kind, (pattern, f) in _COMPILED.items():
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _ in taken):
+        m = pattern.search(text)
+        while m:
+            start, new = m.start(), None
+            for end in (m.end(), *(start + x.start() for x in reversed([*_GAP.finditer(m[0])]) if kind in _GROUPED)):
+                if any(a < end and start < b for a, b, _ in taken):
+                    continue
+                new = f(m if end == m.end() else [text[start:end]], p)
+                if new is not None:
+                    break
+                if kind in _GROUPED:
+                    failed.append((f, start, end))
+            if new is None:
+                m = pattern.search(text, start + 1)
                 continue
-            new = f(m, lambda x, size, what: permute(x, size, what, key, back))
-            if new is not None:
-                taken.append((m.start(), m.end(), new))
-                done.append((kind, m[0], new))
+            if kind in _GROUPED and (near := [x for x in failed if x[1] < end and start < x[2]]):
+                while any(g([(text[min(a, start) : start] + new + text[end : max(b, end)])[max(0, a - start) :][: b - a]], p) is not None for g, a, b in near):
+                    new = f([new], p)
+            taken.append((start, end, new))
+            done.append((kind, text[start:end], new))
+            m = pattern.search(text, end)
     out, at = [], 0
     for a, b, new in sorted(taken):
         out += [text[at:a], new]
