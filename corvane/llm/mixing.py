@@ -2,7 +2,8 @@
 
 A source's target T is met by floor(T / S) whole passes over it (S: its words) and a remaining budget below S. The
 budget is filled by document counts per exact length: every length gives the same share of its documents, then
-the largest lengths that still fit, and the last words are fitted by bounded-knapsack dynamic programming. Which
+the largest lengths that still fit, and the last words are fitted by bounded-knapsack dynamic programming over every
+length that has documents left. Which
 documents of a length are taken is settled by a seeded hash of (doc_id, text): the count-th smallest hash is
 found by histogram bins, so a length that holds a third of all rows is never one task.
 
@@ -24,8 +25,8 @@ from pyspark.sql import Window
 from corvane.llm.common import WORD, written
 
 WEIGHTS, CAP = (5.0, 2.0, 1.0), 3
-#: Budget in words below which the knapsack is exact; also the bound of its table.
-DP_WORDS = 1 << 15
+#: Words of the knapsack's table, which is exact for what is left then; where that falls short, twice the longest document.
+DP_WORDS, DP_MOST = 1 << 15, 1 << 22
 #: Hash bins of a length: a bin with the boundary hash is ranked, the others are taken or left whole.
 BINS = 1024
 
@@ -51,30 +52,28 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length to take so that their sum is as large as possible, at most `budget`."""
     best = np.full(budget + 1, -1, np.int64)  # the item by which a sum was first reached
     best[0] = len(lengths)
-    used: list[np.ndarray | None] = []
+    steps = np.zeros(budget + 1, np.int64)  # and how many of it
     for i, (length, count) in enumerate(zip(lengths, counts, strict=True)):
         reach = best >= 0
         if reach[budget]:
             break
         # For each residue, a sum is reached by at most `count` steps from the last sum reached before.
-        new = np.zeros(budget + 1, np.int64)
         for step in range(1, min(count, budget // length) + 1):
             fresh = np.zeros(budget + 1, bool)
             fresh[length * step :] = reach[: budget + 1 - length * step]
             fresh &= best < 0
             if not fresh.any() and step > 1:
                 break
-            best[fresh], new[fresh] = i, step
-        used.append(new)
+            best[fresh], steps[fresh] = i, step
     take, at = [0] * len(lengths), int(np.flatnonzero(best >= 0).max())
     while at:
         i = int(best[at])
-        take[i] = int(used[i][at])
+        take[i] = int(steps[at])
         at -= take[i] * lengths[i]
     return take
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, spare: int = 64) -> np.ndarray:
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each exact length fill `budget` words; lengths ascending and positive."""
     total = int((lengths * counts).sum())
     take = np.zeros(len(lengths), np.int64)
@@ -84,17 +83,30 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, spare: int = 64) -
         return counts.copy()
     take = (counts * (budget / total)).astype(np.int64)
     left = budget - int((take * lengths).sum())
+    more = _fill(lengths, counts - take, left, DP_WORDS)
+    wide = min(DP_MOST, 2 * int(lengths[counts > take].max()))
+    if wide > DP_WORDS and (more * lengths).sum() < left:  # long documents: the knapsack must hold two of any length
+        more = max(more, _fill(lengths, counts - take, left, wide), key=lambda x: int((x * lengths).sum()))
+    return take + more
+
+
+def _fill(lengths: np.ndarray, counts: np.ndarray, left: int, table: int) -> np.ndarray:
+    """Documents for `left` words: the largest lengths, then a knapsack of at most `table` words."""
+    take = np.zeros(len(lengths), np.int64)
     for i in range(len(lengths) - 1, -1, -1):  # the largest first, while more is open than the knapsack takes
-        if left <= DP_WORDS:
+        if left <= table:
             break
-        more = min(int(counts[i] - take[i]), max(0, (left - DP_WORDS // 2) // int(lengths[i])))
+        more = min(int(counts[i]), max(0, (left - table // 2) // int(lengths[i])))
         take[i] += more
         left -= more * int(lengths[i])
-    if left > 0 and left <= DP_WORDS:
-        free = np.flatnonzero((counts - take > 0) & (lengths <= left))
-        part = np.unique(np.concatenate([free[:spare], free[:: max(1, len(free) // (4 * spare))], free[-spare:]])) if len(free) > 6 * spare else free
-        got = knapsack([int(lengths[i]) for i in part], [int(counts[i] - take[i]) for i in part], left)
-        take[part] += got
+    if left > table:  # no more than one document fits: each length still open is over half of what is left
+        fits = np.flatnonzero((counts > take) & (lengths <= left))
+        if len(fits):
+            take[fits[-1]] += 1
+            left -= int(lengths[fits[-1]])
+    free = np.flatnonzero((counts > take) & (lengths <= left))
+    if len(free) and left <= table:
+        take[free] += knapsack([int(lengths[i]) for i in free], [int(counts[i] - take[i]) for i in free], left)
     return take
 
 

@@ -114,6 +114,15 @@ def test_fit_comes_near():
         assert (take <= counts).all() and 0 <= budget - int((take * lengths).sum()) <= 2
 
 
+def test_fit_of_long_documents_and_of_many_lengths():
+    for lengths, counts, budget, best in (
+        ([40_000, 40_001], [1, 1], 48_000, 40_001), ([30_000, 50_000, 50_001], [1, 1, 1], 66_000, 50_001), ([20, 30_000, 50_000, 50_001], [1, 1, 1, 1], 66_000, 50_021),
+        (sorted([*range(1000, 3000, 2), 1501]), [1] * 1001, 3001, 3001),
+    ):
+        take = mixing.fit(np.array(lengths), np.array(counts), budget)
+        assert (take <= counts).all() and int((take * lengths).sum()) == best
+
+
 def test_mix(docs):
     rows = [(i, " ".join(["w"] * (i % 40 + 1)), "en", f"s{i % 5}" if i % 7 else None) for i in range(700)]
     rows += [(900, None, None, "s0"), (901, "", None, "s1"), (902, "a b", None, "only"), (903, " ", None, "void"), (1, " ".join(["w"] * 2), "en", "s1")]
