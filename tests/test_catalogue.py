@@ -29,3 +29,8 @@ def test_query(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_candidates_are_two_steps_deep(spark):
+    hops = {r["hop_distance"] for r in catalogue.rank_candidates(spark, SF).select("hop_distance").distinct().collect()}
+    assert hops == {0, 1, 2}
