@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
+_SEED = U(0xA0761D6478BD642F)
+#: Spans up to so many bytes are hashed eight bytes at a time over all spans at once, longer ones by a keyed digest.
+SHORT = 64
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers = [np.ones(1, U), np.ones(1, U)]
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(n, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: The prime 2**31 - 1 and two bases: string hashes are polynomials modulo the prime, one for each base.
+PRIME, BASES = (1 << 31) - 1, (1_498_217_663, 902_653_009)
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, grown on demand."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        _powers[:] = [_power(_BASE, size), _power(pow(_BASE, -1, 1 << 64), size)]
-    return _powers[0][:n], _powers[1][:n]
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo PRIME, grown on demand."""
+    out = _powers.get(base, np.ones(1, U))
+    while len(out) < n:
+        out = np.concatenate([out, out * U(pow(base, len(out), PRIME)) % U(PRIME)])
+        _powers[base] = out
+    return out[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,18 +38,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] standing for bytes i..j-1; see `span_hash`."""
-    up, _ = powers(len(buf) + 1)
-    out = np.zeros(len(buf) + 1, U)
-    np.cumsum((buf.astype(U) + U(1)) * up[: len(buf)], out=out[1:])
+def rolling(buf: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` bytes at every place, for choosing places only: unlike strings may well be equal under it."""
+    base = 0x9E3779B97F4A7C15
+    up, down = (np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(len(buf), x, U)])) for x in (base, pow(base, -1, 1 << 64)))
+    total = np.zeros(len(buf) + 1, U)
+    np.cumsum((buf.astype(U) + U(1)) * up[:-1], out=total[1:])
+    return mix((total[size:] - total[:-size]) * down[: len(total) - size])
+
+
+def prefix_hash(buf: np.ndarray) -> list[np.ndarray]:
+    """For each base the running sums that `span_hash` takes differences of."""
+    out = []
+    for base in BASES:
+        term = (buf.astype(U) + U(1)) * powers(base, len(buf))
+        total = np.zeros(len(buf) + 1, U)
+        np.cumsum((term & U(PRIME)) + (term >> U(31)), out=total[1:])  # each term is below 2**32
+        out.append(total)
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, equal for equal bytes wherever they stand."""
-    _, down = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] ^ mix((end - start).astype(U)))
+def span_hash(prefix: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of long byte spans, equal for equal bytes wherever they stand."""
+    h = mix((end - start).astype(U) + _SEED)
+    for base, total in zip(BASES, prefix, strict=True):
+        inverse = powers(pow(base, -1, PRIME), len(total))
+        value = (total[end] - total[start]) % U(PRIME) * inverse[start] % U(PRIME)
+        h = mix(h ^ value)
+    return h
+
+
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans, eight bytes after eight; made for words."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    h = mix(size.astype(U) + _SEED)
+    h = mix(h ^ (eight[start] & _LOW[np.minimum(size, 8)]))
+    live = np.flatnonzero((size > 8) & (size <= SHORT))
+    at = 8
+    while len(live):
+        left = size[live] - at
+        h[live] = mix(h[live] ^ (eight[start[live] + at] & _LOW[np.minimum(left, 8)]))
+        live = live[left > 8]
+        at += 8
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, key=b"span").digest(), "little")
+    return h
 
 
 def word_spans(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +110,7 @@ def word_hashes(buf: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[n
     if lower:
         buf = LOWER[buf]
     starts, ends, row = word_spans(buf, off)
-    return span_hash(prefix_hash(buf), starts, ends), row
+    return hash_spans(buf, starts, ends), row
 
 
 def shingles(words: np.ndarray, row: np.ndarray, k: int, rows: int) -> tuple[np.ndarray, np.ndarray]:

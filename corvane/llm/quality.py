@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from corvane.llm.common import blocks, crc_mod, flat
-from corvane.llm.kernels import LOWER, U, mix, prefix_hash, shingles, span_hash, word_spans
+from corvane.llm.kernels import LOWER, U, hash_spans, mix, shingles, word_spans
 from corvane.llm.learning import TRAIN_ROWS, learning_rows, logistic, sigmoid
 
 CUT, PAIRS, HELD_MOD, HELD = 0.7, 100_000, 4, 2
@@ -49,7 +49,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     share = np.bincount(byte_row * _N + _OF[buf], minlength=rows * _N).reshape(rows, _N) / np.maximum(size, 1)[:, None]
     low = LOWER[buf]
     starts, ends, row = word_spans(low, off)
-    words = span_hash(prefix_hash(low), starts, ends)
+    words = hash_spans(low, starts, ends)
     n = np.bincount(row, minlength=rows)
     many = np.maximum(n, 1)
     length = np.bincount(row, weights=ends - starts, minlength=rows) / many

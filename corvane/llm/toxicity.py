@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import blocks, crc_mod, flat, written
-from corvane.llm.kernels import LOWER, mix, prefix_hash, span_hash, word_spans
+from corvane.llm.kernels import LOWER, hash_spans, mix, word_spans
 from corvane.llm.learning import TRAIN_ROWS, learning_rows, logistic, sigmoid
 
 CUT, HELD_MOD, HELD = 0.5, 5, 0
@@ -41,13 +41,12 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarr
     """Hashes of each token and of its leading parts (the token's own where it is no longer), and row, start and end."""
     low = LOWER[buf]
     starts, ends, row = word_spans(low, off, _SEP)
-    prefix = prefix_hash(low)
-    own = span_hash(prefix, starts, ends)
+    own = hash_spans(low, starts, ends)
     parts = []
     for n in PARTS:
         h = own.copy()
         longer = np.flatnonzero(ends - starts > n)
-        h[longer] = span_hash(prefix, starts[longer], starts[longer] + n) ^ np.uint64(n << 32 | 0x5A17)
+        h[longer] = hash_spans(low, starts[longer], starts[longer] + n) ^ np.uint64(n << 32 | 0x5A17)
         parts.append(h)
     return [own, *parts], row, starts, ends
 
