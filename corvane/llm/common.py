@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -17,29 +15,36 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the vectorised kernels take at a time; a longer text is taken alone.
 BLOCK_BYTES = 1 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share. Only a session on one machine may leave it unset; it gets one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("corvane.shared.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("corvane.shared.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
-    With `release`, shuffle files that only this write needed are freed now and not when memory happens to be collected.
+    Spark is told to delete the write's shuffle files at its end, since nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for _ in range(2 * release):  # what the write itself held is free only the second time
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

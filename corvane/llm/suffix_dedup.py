@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import blocks, discard, flat, partitions, written
-from corvane.llm.kernels import U, mix, prefix_hash, span_hash
+from corvane.llm.kernels import U, mix, prefix_hash, rolling, span_hash
 
 LENGTH, GRAM = 400, 64
 #: Windows per span, level by level.
@@ -44,8 +44,7 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.
     if not len(size) or size.max() < length:
         return none, none, none, none
     n = len(buf) - GRAM + 1
-    at = np.arange(n)
-    key = (span_hash(prefix_hash(buf), at, at + GRAM) & U(0xFFFFFFFF00000000)) | at.astype(U)
+    key = (rolling(buf, GRAM) & U(0xFFFFFFFF00000000)) | np.arange(n, dtype=U)
     w = length - GRAM + 1
     padded = np.full(-(-n // w) * w + w, np.iinfo(np.uint64).max, U)
     padded[:n] = key
@@ -124,7 +123,7 @@ def _repeated_anchors(table: DataFrame) -> DataFrame:
         kept = kept.append_column("equal", pa.array(equal[use])).append_column("edge", pa.array(edge[use])).append_column("tells", pa.array(tells[use]))
         yield from kept.to_batches(max_chunksize=50_000)
 
-    marked = written(dealt.mapInArrow(run, _ANCHOR + ", equal boolean, edge boolean, tells boolean"), "suffixes", release=True)
+    marked = written(dealt.mapInArrow(run, _ANCHOR + ", equal boolean, edge boolean, tells boolean"), "suffixes")
     across = marked.filter("tells").groupBy(*_KEYS).count().filter("count > 1").drop("count")  # at most two rows a bucket
     over = marked.filter("edge and not equal").join(F.broadcast(across), _KEYS, "left_semi")
     names = ["uid", "pos", "lo", "hi"]
@@ -147,7 +146,7 @@ def _context_table(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(part.column("_uid"))[row]), pa.array(pos.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16)), pa.array(data, pa.binary())], names=["uid", "pos", "lo", "hi", "bytes"])
 
     joined = docs.join(by_doc, F.col("_uid") == F.col("uid")).select("_uid", "_text", "_at")
-    return written(joined.mapInArrow(run, "uid long, pos int, lo short, hi short, bytes binary"), "contexts", release=True)
+    return written(joined.mapInArrow(run, "uid long, pos int, lo short, hi short, bytes binary"), "contexts")
 
 
 def _spans(context: DataFrame, level: int, length: int) -> DataFrame:
@@ -193,7 +192,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     context = _context_table(docs, found, length)
     out, rest = [], context
     for level, width in enumerate(WIDTHS):
-        spans = written(_spans(rest, level, length), f"spans-{width}", release=True)
+        spans = written(_spans(rest, level, length), f"spans-{width}")
         # What spans cover: how often, and one of each kind. Both counts are pre-aggregated before the shuffle.
         kinds = spans.groupBy("whole").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("uid", "pos", "first", "common")).alias("_one")).filter("_n > 1")
         kinds = written(kinds.select(F.col("whole").alias("_w"), "_one"), "repeated-wholes")
@@ -208,7 +207,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         one = kinds.select("_one.*").join(some.select(F.col("common").alias("_c")).distinct(), F.col("common") == F.col("_c"), "left_semi")
         cut = written(some.unionByName(one).groupBy("uid", "pos").agg(F.collect_set("first").alias("of")), "spans-cut")  # few per anchor
         # Later levels cut only what this one leaves open, so the other bytes are not moved again.
-        rest, before = written(rest.drop("of").join(cut.hint("shuffle_hash"), ["uid", "pos"]), "contexts", release=True), rest
+        rest, before = written(rest.drop("of").join(cut.hint("shuffle_hash"), ["uid", "pos"]), "contexts"), rest
         discard(before)
     spans = out[0]
     for more in out[1:]:
@@ -219,7 +218,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def deduplicated(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes if asked)."""
     texts = docs.select(F.monotonically_increasing_id().alias("_uid"), F.coalesce("text", F.lit("")).alias("_text"), "doc_id")
-    spans = written(repeated_spans(texts.select("_uid", "_text"), length), "repeated-spans", release=True)
+    spans = written(repeated_spans(texts.select("_uid", "_text"), length), "repeated-spans")
     by_doc = written(spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("_cut")), "cuts")  # bounded by the text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
