@@ -84,14 +84,11 @@ def _card(m: re.Match | list[str], p: Permutation) -> str | None:
     digits = re.sub(r"\D", "", m[0])
     if not 13 <= len(digits) <= 19 or digits[0] not in "23456" or len(set(digits)) == 1:
         return None
-    checked = luhn(digits[:-1]) == int(digits[-1])
-    if not checked and len(digits) != 16:
+    if luhn(digits[:-1]) != int(digits[-1]):
         return None
-    # The network's first digit stays; a number of card shape whose check digit is wrong stays wrong by as much.
-    n = len(digits) - 2
+    n = len(digits) - 2  # the network's first digit stays
     body = digits[0] + str(p(int(digits[1:-1]), 10**n, f"card{n}")).zfill(n)
-    off = (int(digits[-1]) - luhn(digits[:-1])) % 10
-    return _refill(m[0], body + str((luhn(body) + off) % 10))
+    return _refill(m[0], body + str(luhn(body)))
 
 
 def _ssn(m: re.Match, p: Permutation) -> str | None:
@@ -186,7 +183,7 @@ def _date(m: re.Match, p: Permutation) -> str | None:
 
     at = old.toordinal() - _FIRST
     while True:
-        at = p(at, _DAYS, "date-day-first" if slashed and not month_first else "date")
+        at = p(at, _DAYS, "date")
         if fits(new := date.fromordinal(_FIRST + at)):
             break
     full = _MONTHS[new.month - 1]
