@@ -16,11 +16,11 @@ length are scanned whole. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import blocks, crc_mod, flat, written
@@ -28,8 +28,6 @@ from corvane.llm.kernels import LOWER, hash_spans, mix, word_spans
 from corvane.llm.learning import TRAIN_ROWS, learning_rows, logistic, sigmoid
 
 CUT, HELD_MOD, HELD = 0.5, 5, 0
-#: Tokens kept at most, by the size of their score: bounds what is broadcast.
-VOCABULARY = 50_000
 #: Prior counts: so many of any token, and so many more in proportion to its rate in both kinds of documents.
 FLOOR, PRIOR, ERRORS, DRIFT = 0.5, 200.0, 2.0, -0.7
 PARTS = (5, 6, 7)
@@ -135,44 +133,46 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "h long, a long, b long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def fit_tokens(h: np.ndarray, a: np.ndarray, b: np.ndarray, total_a: float, total_b: float) -> tuple[np.ndarray, np.ndarray, float, float, float]:
-    """Sorted token hashes, scores, the score of other tokens, and lambda and K of the extreme-value law."""
+def token_score(a: Column | np.ndarray, b: Column | np.ndarray, total_a: float, total_b: float, log: Callable, sqrt: Callable) -> Column | np.ndarray:
+    """Lower bound of a token's log-odds, from the documents of both kinds that have it."""
     prior = FLOOR + PRIOR * (a + b) / max(1.0, total_a + total_b)
-    odds = np.log((a + prior) / (total_a + PRIOR)) - np.log((b + prior) / (total_b + PRIOR))
-    low = odds - ERRORS * np.sqrt(1 / (a + prior) + 1 / (b + prior))
-    value = np.where(low > 0, low, DRIFT)
-    rate = (b + 0.5) / (total_b + 0.5 * len(b) + 1)
+    odds = log((a + prior) / (total_a + PRIOR)) - log((b + prior) / (total_b + PRIOR))
+    return odds - ERRORS * sqrt(1 / (a + prior) + 1 / (b + prior))
+
+
+def extreme_value(value: np.ndarray, rate: np.ndarray) -> tuple[float, float]:
+    """lambda and K of the extreme-value law, from the positive scores and their rates in clean text; other tokens score DRIFT.
+
+    lambda is where the mean of exp(lambda score) over a clean text's tokens is 1; segments begin at positive tokens only.
+    """
+    rest = max(0.0, 1 - float(rate.sum()))
+
+    def mean(lam: float) -> float:
+        return float((rate * np.exp(np.minimum(lam * value, 500))).sum()) + rest * np.exp(lam * DRIFT)
+
     lo, hi = 1e-3, 1.0
-    for _ in range(60):  # lambda: sum of rate x exp(lambda score) is 1
+    while mean(hi) < 1 and hi < 20:
+        hi *= 2
+    for _ in range(60):
         lam = (lo + hi) / 2
-        if float((rate * np.exp(np.minimum(lam * value, 500))).sum()) + max(0.0, 1 - float(rate.sum())) > 1:
-            hi = lam
-        else:
-            lo = lam
-            if hi - lam < 1e-6 and hi < 20:
-                break
-            if lam > 0.99 * hi:
-                hi = min(20.0, hi * 2)
-    up = value > 0
-    k = max(1e-6, float(rate[up].sum())) if up.any() else 1e-6  # segments begin at positive tokens only
-    order = np.argsort(h)
-    return h[order], value[order], DRIFT, lo, k
+        lo, hi = (lo, lam) if mean(lam) > 1 else (lam, hi)
+    return lo, max(1e-6, float(rate.sum()))
 
 
-def train(docs: DataFrame, labels: DataFrame, mark: str = "toxic", limit: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> Model:
-    """The model from at most `limit` marked rows outside the held-out part."""
+def train(docs: DataFrame, labels: DataFrame, mark: str = "toxic", limit: int = TRAIN_ROWS) -> Model:
+    """The model from at most `limit` marked rows outside the held-out part. Every token of theirs with a positive score is in it."""
     rows = written(learning_rows(docs, labels, mark, HELD_MOD, HELD, limit), "toxic-learning")
     marks = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not marks[0] or marks[1] in (0, marks[0]):
         return Model(np.zeros(0, np.uint64), np.zeros(0), DRIFT, 1.0, 1.0, np.zeros(0), (marks[1] or 0) / marks[0] if marks[0] else 0.5)
     counts = written(_counts(rows), "toxic-tokens")
-    total = counts.agg(F.sum("a"), F.sum("b")).first()
-    # The most telling tokens by a normal deviate; their number is bounded.
-    a, b = F.col("a") / F.lit(float(total[0])), F.col("b") / F.lit(float(total[1]))
-    telling = F.abs(a - b) / F.sqrt(a / F.lit(float(total[0])) + b / F.lit(float(total[1])) + F.lit(1e-18))
-    top = counts.orderBy(telling.desc(), "h").limit(vocabulary).toPandas()
-    key, value, unknown, lam, k = fit_tokens(top["h"].to_numpy(np.int64).view(np.uint64), top["a"].to_numpy(float), top["b"].to_numpy(float), float(total[0]), float(total[1]))
-    model = Model(key, value, unknown, lam, k, np.zeros(0), 0.5)
+    total_a, total_b, kinds = counts.agg(F.sum("a").cast("double"), F.sum("b").cast("double"), F.count(F.lit(1))).first()
+    score = token_score(F.col("a"), F.col("b"), total_a, total_b, F.ln, F.sqrt)
+    top = counts.withColumn("value", score).filter("value > 0").toPandas().sort_values("h")  # tokens of at most `limit` documents
+    key = top["h"].to_numpy(np.int64).view(np.uint64)
+    order, value = np.argsort(key), top["value"].to_numpy(float)
+    lam, k = extreme_value(value, (top["b"].to_numpy(float) + 0.5) / (total_b + 0.5 * kinds + 1))
+    model = Model(key[order], value[order], DRIFT, lam, k, np.zeros(0), 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
