@@ -2,8 +2,9 @@
 
 The letters of a text (A-Z lower-cased, everything that is no letter a blank) give byte 4-grams. A bit-sliced
 Bloom filter has a 64-bit mask in each slot, a bit for each language; a language's bit is set in the slots of every n-gram that
-is typical of it. The AND of an n-gram's slots returns all languages that contain it at once. A text's popcounts
-per language, less the false positives that the filter's fill lets expect, decide.
+its learning texts contain. The AND of an n-gram's slots returns all languages that contain it at once. An n-gram's
+hit is shared among its languages, so one that all contain tells nothing. A text's popcounts per language, less the
+false positives that the filter's fill lets expect, decide.
 
 Nulls: rows with null lang are not learned from; a null text, or one without a letter, is `und` with score 0. A
 text none of whose n-grams is known gets the commonest language with score 0; ties go to the smaller name.
@@ -26,8 +27,6 @@ from corvane.llm.learning import TRAIN_ROWS
 HELD_MOD, HELD = 4, 2
 #: Slots of the filter (8 bytes each) and hash functions; languages beyond 64 take further 64-bit slices.
 SLOTS, HASHES = 1 << 20, 2
-#: An n-gram is typical of a language if its rate there is at least this share of its highest rate, and it was met so often.
-TYPICAL, LEAST = 0.2, 3
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = LOWER[97:123]
 _FOLD[65:91] = LOWER[65:91]
@@ -62,18 +61,19 @@ class Model:
         self.chance = fill**HASHES
 
     def counts(self, g: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """N-grams of each text, and for each language those that it contains, corrected for false positives."""
-        n = np.bincount(row, minlength=rows)
-        hits = np.zeros((rows, len(self.languages)))
+        """N-grams of each text by their shares, and for each language those that it contains, corrected for false positives."""
         at = slots(g)
-        for s, masks in enumerate(self.slices):
-            found = masks[at[0]]
+        found = []
+        for masks in self.slices:
+            own = masks[at[0]]
             for x in at[1:]:
-                found &= masks[x]
-            some = np.flatnonzero(found)
-            found, of = found[some], row[some]
-            for i in range(64 * s, min(64 * s + 64, len(self.languages))):
-                hits[:, i] = np.bincount(of[(found >> U(i - 64 * s)) & U(1) == 1], minlength=rows)
+                own = own & masks[x]
+            found.append(own)
+        share = 1 / np.maximum(sum(np.bitwise_count(x).astype(np.int64) for x in found), 1)
+        n, hits = np.bincount(row, weights=share, minlength=rows), np.zeros((rows, len(self.languages)))
+        for i in range(len(self.languages)):
+            has = np.flatnonzero((found[i // 64] >> U(i % 64)) & U(1))
+            hits[:, i] = np.bincount(row[has], weights=share[has], minlength=rows)
         return n, (hits - self.chance * n[:, None]) / np.maximum(1 - self.chance, 1e-9)
 
     def predict(self, buf: np.ndarray, off: np.ndarray, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -114,21 +114,14 @@ def train(docs: DataFrame, limit: int = TRAIN_ROWS, mod: int = HELD_MOD, held: i
         for part in blocks(batches):
             g, row = grams(*flat(part.column("text")))
             of = np.array([code[x] for x in part.column("lang").to_pylist()], np.int64)[row]
-            kind, n = np.unique(of.astype(np.int64) << 32 | g, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kind & 0xFFFFFFFF), pa.array((kind >> 32).astype(np.int32)), pa.array(n)], names=["g", "i", "n"])
-
-    counts = rows.mapInArrow(run, "g long, i int, n long").groupBy("g", "i").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
-    got = counts.toPandas()  # from at most `limit` documents
-    g, i, n = got["g"].to_numpy(), got["i"].to_numpy(), got["n"].to_numpy(float)
-    rate = n / np.maximum(np.bincount(i, weights=n, minlength=len(languages)), 1)[i]
-    kinds, inverse = np.unique(g, return_inverse=True)
-    highest = np.zeros(len(kinds))
-    np.maximum.at(highest, inverse, rate)
-    typical = rate >= TYPICAL * highest[inverse]
+            kind = np.unique(of.astype(np.int64) << 32 | g)
+            yield pa.RecordBatch.from_arrays([pa.array(kind & 0xFFFFFFFF), pa.array((kind >> 32).astype(np.int32))], names=["g", "i"])
+
+    got = rows.mapInArrow(run, "g long, i int").distinct().toPandas()  # from at most `limit` documents
+    g, i = got["g"].to_numpy(), got["i"].to_numpy()
     slices = np.zeros(((len(languages) + 63) // 64, SLOTS), U)
     for x in np.unique(i):
-        own = g[typical & (i == x)].astype(np.uint32)
-        for at in slots(own):
+        for at in slots(g[i == x].astype(np.uint32)):
             slices[x // 64][at] |= U(1) << U(x % 64)
     return Model(languages, slices, str(sizes.sort_values(["count", "lang"], ascending=[False, True])["lang"].iloc[0]))
 
