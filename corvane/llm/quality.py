@@ -6,7 +6,8 @@ coefficients minimise the logistic loss of the pairs' feature differences. The t
 learning rows' scores: the share of documents marked 0. Scores are given on a scale where it stands at 0.7.
 
 Nulls: a null text is an empty one, with the features of no words; marks that are null are not learned from.
-Without marks of both kinds every score is the share of marks 1 (0.5 without any). Ties and repeated rows get
+Without marks of both kinds every score is the share of marks 1 (0.5 without any), and `accepted_rows`, which then has
+nothing to reject by, keeps every row. Ties and repeated rows get
 equal scores. No rows: no rows. Texts of any length are read whole. Extra columns are ignored by `scored` and
 kept by `accepted_rows`.
 """
@@ -125,6 +126,8 @@ def scored(docs: DataFrame, model: Model, mod: int = HELD_MOD, held: int = HELD)
 
 
 def accepted_rows(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs` that the classifier accepts, with their columns as they came."""
+    """The rows of `docs` that the classifier accepts, with their columns as they came; all if it learned nothing."""
+    if not len(model.coef):
+        return docs
     rows = docs.select(F.struct("*").alias("_row"), score_of(F.col("text"), model).alias("_score"))
     return rows.filter(F.col("_score") >= CUT).select("_row.*")
