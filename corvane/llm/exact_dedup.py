@@ -8,7 +8,8 @@ range of buckets, and chains texts whose keys collide, which compares their byte
 
 Nulls: a null text counts as empty; a null doc_id sorts below all others. Repeated rows: of rows with equal text
 and equal doc_id one stays, the last in the order of the input files. No rows: no rows. Texts of any length are
-compared whole. Other columns are kept by `keep_rows`, whatever their names.
+compared whole. Other columns are kept by `keep_rows`, whatever their names. Rows are numbered once, in a written
+table that every step reads, so it doesn't matter where `docs` comes from and whether Spark computes it again.
 """
 
 from __future__ import annotations
@@ -40,12 +41,17 @@ def directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH)
     return out
 
 
-def index(docs: DataFrame, text: str = "text", order: str = "doc_id", capacity: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _numbered(docs: DataFrame, text: str, order: str, rows: bool = False) -> DataFrame:
+    """_text, _order, _uid (and the row itself as _row) of each row, written."""
+    own = [F.coalesce(F.col(text), F.lit("")).alias("_text")] if not rows else [F.struct("*").alias("_row")]
+    out = written(docs.select(*own, F.coalesce(F.col(order), F.lit(-(1 << 63))).cast("long").alias("_order"), F.monotonically_increasing_id().alias("_uid")), "numbered")
+    return out.withColumn("_text", F.coalesce(F.col("_row")[text], F.lit(""))) if rows else out
+
+
+def index(numbered: DataFrame, capacity: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(digests, entries): a digest row per document (uid, order, key, sha) and an index entry per distinct text."""
-    spark, parts = docs.sparkSession, partitions(docs.sparkSession)
-    full = docs.select(
-        F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(order), F.lit(-(1 << 63))).cast("long").alias("_order"), F.monotonically_increasing_id().alias("_uid")
-    ).withColumn("_key", F.xxhash64("_text"))
+    spark, parts = numbered.sparkSession, partitions(numbered.sparkSession)
+    full = numbered.select("_text", "_order", "_uid").withColumn("_key", F.xxhash64("_text"))
     prefix = F.shiftrightunsigned("_key", 64 - MAX_DEPTH).cast("int")
     counts = {r[0]: r[1] for r in full.groupBy(prefix.alias("p")).count().collect()}  # at most 2**MAX_DEPTH rows
     rows = sum(counts.values())
@@ -83,7 +89,7 @@ def index(docs: DataFrame, text: str = "text", order: str = "doc_id", capacity:
 
 def exact_groups(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
     """A row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests, entries = index(docs, text, order)
+    digests, entries = index(_numbered(docs, text, order))
     null = F.lit(-(1 << 63)).cast("long")
     out = digests.join(entries, ["_key", "_sha"], "left")
     return out.select(
@@ -93,9 +99,9 @@ def exact_groups(docs: DataFrame, text: str = "text", order: str = "doc_id") ->
 
 
 def keep_rows(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that stay, with their columns as they came. `docs` must be a table read from files."""
-    _, entries = index(docs, text, order)
-    body = F.coalesce(F.col(text), F.lit(""))
-    wide = docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_uid"), F.xxhash64(body).alias("_key"), F.sha2(body, 256).alias("_sha"))
+    """The rows of `docs` that stay, with their columns as they came."""
+    numbered = _numbered(docs, text, order, rows=True)
+    _, entries = index(numbered)
+    wide = numbered.select("_row", "_uid", F.xxhash64("_text").alias("_key"), F.sha2("_text", 256).alias("_sha"))
     out = wide.join(entries.select("_key", "_sha", "_keep_uid"), ["_key", "_sha"], "left")
     return out.filter(F.col("_keep_uid").isNull() | (F.col("_keep_uid") == F.col("_uid"))).select("_row.*")
