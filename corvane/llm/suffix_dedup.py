@@ -13,7 +13,8 @@ single windows, together with one of each kind of settled span that may share wi
 
 Bytes are the text's UTF-8; a null text is empty. Matches never cross documents; texts under `length` bytes lose
 nothing. Repeated rows are documents of their own, so all their windows repeat. A very long text is
-one row. No rows: no rows. `docs` must be a table read from files (rows are known by their place in them).
+one row. No rows: no rows. Texts are numbered once, in a written table that every step reads, so it doesn't matter where
+`docs` comes from and whether Spark computes it again. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -217,7 +218,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes if asked)."""
-    texts = docs.select(F.monotonically_increasing_id().alias("_uid"), F.coalesce("text", F.lit("")).alias("_text"), "doc_id")
+    texts = written(docs.select(F.monotonically_increasing_id().alias("_uid"), F.coalesce("text", F.lit("")).alias("_text"), "doc_id"), "texts")
     spans = written(repeated_spans(texts.select("_uid", "_text"), length), "repeated-spans")
     by_doc = written(spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("_cut")), "cuts")  # bounded by the text
 
