@@ -5,7 +5,7 @@ budget is filled by document counts per exact length: every length gives the sam
 the largest lengths that still fit, and the last words are fitted by bounded-knapsack dynamic programming over every
 length that has documents left. Which
 documents of a length are taken is settled by a seeded hash of (doc_id, text): the count-th smallest hash is
-found by histogram bins, so a length that holds a third of all rows is never one task.
+found by histogram bins within bins, so a length that holds a third of all rows is never one task.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order. A document of size 0 is never
 taken. Sources without words have target 0. Repeated rows are documents of their own. No rows: no rows. Extra
@@ -27,7 +27,7 @@ from corvane.llm.common import WORD, written
 WEIGHTS, CAP = (5.0, 2.0, 1.0), 3
 #: Words of the knapsack's table, which is exact for what is left then; where that falls short, twice the longest document.
 DP_WORDS, DP_MOST = 1 << 15, 1 << 22
-#: Hash bins of a length: a bin with the boundary hash is ranked, the others are taken or left whole.
+#: Hash bins of a length: bins before the boundary hash are taken whole. Its own bin has as many inner ones, of which one is ranked.
 BINS = 1024
 
 
@@ -141,21 +141,34 @@ def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP,
     lengths = histogram.join(plan, histogram["_source"].eqNullSafe(plan["_source"])).select(histogram["_source"], "size", "n", "source_size", "target")
     lengths = lengths.groupBy("_source").applyInPandas(fill, "_source string, size long, source_size long, target double, _passes long, _extra long")
     lengths = written(lengths, "mix-counts")
-    # The _extra-th smallest hash of each length: bins below it are taken whole, its own bin is ranked.
+    # The _extra-th smallest hash of each length: bins below it are taken whole, then the inner bins of its own bin, then ranks.
+    inner = F.pmod(F.shiftright("_hash", 40), F.lit(BINS)).cast("int")
+    same = (F.col("_z") == F.col("size")) & F.col("_s").eqNullSafe(F.col("_source"))
+    wanted = lengths.filter("_extra > 0").select(F.col("_source").alias("_s"), F.col("size").alias("_z"), F.col("_extra").alias("_want"))
     binned = sized.groupBy("_source", "size", bins.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
-    pick = binned.join(lengths.filter("_extra > 0").withColumnsRenamed({"_source": "_s", "size": "_z"}), (F.col("_z") == F.col("size")) & F.col("_s").eqNullSafe(F.col("_source")))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy("_source", "size").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = pick.withColumn("_below", below).filter("_below <= _extra and _below + _n > _extra").select(F.col("_s").alias("_cs"), F.col("_z").alias("_cz"), F.col("_bin").alias("_cut"), (F.col("_extra") - F.col("_below")).alias("_rest"))
-    lengths = lengths.join(cut, (F.col("_cz") == F.col("size")) & F.col("_cs").eqNullSafe(F.col("_source")), "left").select("_source", "size", "source_size", "target", "_passes", "_extra", F.coalesce("_cut", F.lit(BINS)).alias("_cut"), F.coalesce("_rest", F.lit(0)).alias("_rest"))
+    outer = written(_boundary(binned.join(wanted, same)), "mix-bins")
+    asked = outer.select(F.col("_source").alias("_s"), F.col("size").alias("_z"), F.col("_bin").alias("_at"), F.col("_rest").alias("_want"))
+    within = sized.withColumn("_bin", bins).join(asked, same & (F.col("_bin") == F.col("_at"))).groupBy("_source", "size", "_want", inner.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    fine = _boundary(within).select(F.col("_source").alias("_fs"), F.col("size").alias("_fz"), F.col("_bin").alias("_cut2"), F.col("_rest").alias("_rest2"))
+    cut = outer.join(fine, (F.col("_fz") == F.col("size")) & F.col("_fs").eqNullSafe(F.col("_source")), "left").select(F.col("_source").alias("_cs"), F.col("size").alias("_cz"), F.col("_bin").alias("_cut"), F.coalesce("_cut2", F.lit(0)).alias("_cut2"), F.coalesce("_rest2", F.lit(0)).alias("_rest"))
+    lengths = lengths.join(cut, (F.col("_cz") == F.col("size")) & F.col("_cs").eqNullSafe(F.col("_source")), "left").select("_source", "size", "source_size", "target", "_passes", "_extra", F.coalesce("_cut", F.lit(BINS)).alias("_cut"), F.coalesce("_cut2", F.lit(0)).alias("_cut2"), F.coalesce("_rest", F.lit(0)).alias("_rest"))
     lengths = written(lengths.withColumnsRenamed({"_source": "_s", "size": "_z"}), "mix-cuts")
-    joined = sized.withColumn("_bin", bins).join(lengths, (F.col("_z") == F.col("size")) & F.coalesce(F.col("_s"), F.lit("")).eqNullSafe(F.coalesce(F.col("_source"), F.lit(""))) & (F.col("_s").isNull() == null))
-    edge = (F.col("_bin") == F.col("_cut")) & (F.col("_rest") > 0)
-    ranked = F.row_number().over(Window.partitionBy("_source", "size", "_bin").orderBy("_hash", "doc_id"))
-    sure = joined.filter(~edge).withColumn("_more", F.when((F.col("_extra") > 0) & (F.col("_bin") < F.col("_cut")), 1).otherwise(0))
+    joined = sized.withColumns({"_bin": bins, "_inner": inner}).join(lengths, (F.col("_z") == F.col("size")) & F.coalesce(F.col("_s"), F.lit("")).eqNullSafe(F.coalesce(F.col("_source"), F.lit(""))) & (F.col("_s").isNull() == null))
+    edge = (F.col("_bin") == F.col("_cut")) & (F.col("_inner") == F.col("_cut2")) & (F.col("_rest") > 0)
+    before = (F.col("_bin") < F.col("_cut")) | ((F.col("_bin") == F.col("_cut")) & (F.col("_inner") < F.col("_cut2")))
+    ranked = F.row_number().over(Window.partitionBy("_source", "size").orderBy("_hash", "doc_id"))
+    sure = joined.filter(~edge).withColumn("_more", F.when((F.col("_extra") > 0) & before, 1).otherwise(0))
     rest = joined.filter(edge).withColumn("_more", F.when(ranked <= F.col("_rest"), 1).otherwise(0))
     return sure.unionByName(rest).select(*(["_row"] if keep else []), "doc_id", "size", "source_size", "target", (F.col("_passes") + F.col("_more")).alias("copies"))
 
 
+def _boundary(binned: DataFrame) -> DataFrame:
+    """Of each (_source, size) the bin in which its _want-th row lies, and how many rows of that bin (_rest) that takes."""
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy("_source", "size").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = binned.withColumn("_below", below).filter("_below <= _want and _below + _n > _want")
+    return cut.select("_source", "size", "_bin", (F.col("_want") - F.col("_below")).alias("_rest"))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, seed: int = 17) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken."""
     return copies(docs, weights, cap, seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
