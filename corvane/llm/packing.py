@@ -5,6 +5,9 @@ padding. A document of T ids has T // max_len pieces of `max_len` and one piece
 those of the tokenizers library followed by one end id. Pre-tokens are met again and again, so their ids are
 remembered in a bounded table per worker; byte-level BPE never merges across pre-tokens, so the ids are the same.
 
+The name of a special token in a text is ordinary text, as the vocabulary's description has it (`encode_special_tokens`):
+a document must not be able to write a control id. With `special_as_text=False` such names become their ids.
+
 Nulls: a null text is empty and has only the end id; a null doc_id stays null. Repeated rows are packed one by one.
 A very long text is tokenised whole. No rows: no rows. Extra columns are ignored.
 """
@@ -58,12 +61,13 @@ def _byte_letters() -> dict[int, str]:
 class _Memo(dict):
     """Pre-token -> its ids as little-endian 32-bit bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.merge, self.letters, self.odd = self.tokenizer.model.tokenize, _byte_letters(), _unlike().search
+        self.added = () if special_as_text else tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def __missing__(self, piece: str) -> bytes:
         ids = array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
@@ -74,14 +78,14 @@ class _Memo(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        if self.odd(text):
+        if self.odd(text) or any(x in text for x in self.added):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, _SPLIT(text)))
 
 
 @lru_cache(maxsize=4)
-def _memo(path: str) -> _Memo:
-    return _Memo(path)
+def _memo(path: str, special_as_text: bool = True) -> _Memo:
+    return _Memo(path, special_as_text)
 
 
 def cuts(total: int, max_len: int = MAX_LEN) -> list[int]:
@@ -90,12 +94,12 @@ def cuts(total: int, max_len: int = MAX_LEN) -> list[int]:
     return [max_len] * (total // max_len) + [1 << b for b in range(max_len.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: int = END_ID, with_ids: bool = False, special_as_text: bool = True) -> DataFrame:
     """A row per piece; with `with_ids` also the piece's ids as little-endian 32-bit bytes."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(tokenizer_path)
+        memo = _memo(tokenizer_path, special_as_text)
         for part in blocks(batches):
             out: list[list] = [[], [], [], [], [], []]
             doc, start, length, crc, tokens, raw = out
@@ -118,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
 
 
-def packed(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: int = END_ID, with_ids: bool = False, special_as_text: bool = True) -> DataFrame:
     """The pieces with the sequence each one is (numbered over all buckets), its place there and its bucket."""
-    out = pieces(docs, tokenizer_path, max_len, end_id, with_ids)
+    out = pieces(docs, tokenizer_path, max_len, end_id, with_ids, special_as_text)
     return out.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.col("length").cast("int")})
