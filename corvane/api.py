@@ -127,11 +127,15 @@ class Project:
         found, lengths = self._postings()
         files, relations = self.store.read("files"), self.store.read("relations")
         commits = history.touched(history.commits(self.spark, self.root))
-        ranked = rank.rank(tasks, self.store.read("entities"), relations, files, found, lengths, commits, hops if hops is not None else own["max_hops"], weights)
-        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.root)
-        where = scan.listing(self.spark, self.root).select("path", "url").join(files.select("path"), "path", "left_semi")
-        sources = where.join(raw.select(F.col("path").alias("url"), F.decode("content", "UTF-8").alias("content")), "url").select("path", "content")
-        costed = select.rendered(rank.score_floor(ranked), relations, sources).cache()
+        entities = self.store.read("entities")
+        ranked = rank.score_floor(rank.rank(tasks, entities, relations, files, found, lengths, commits, hops if hops is not None else own["max_hops"], weights)).cache()
+        wanted = [r[0] for r in ranked.select("file_path").distinct().collect()]  # of one task's candidates, at most 3,000
+        raw = [f"{self.root}/{p}" for p in wanted if (Path(self.root) / p).is_file()] if "://" not in self.root else [f"{self.root}/{p}" for p in wanted]
+        if raw:
+            read = scan.contents(self.spark, self.root, raw)
+        else:
+            read = self.spark.createDataFrame([], "path string, content string")
+        costed = select.rendered(ranked, relations, read, entities).cache()
         decisions = select.greedy(costed, budgets).cache()
         total = files.agg(F.coalesce(F.sum("token_estimate"), F.lit(0)).alias("total_tokens"))
         out = {
@@ -139,7 +143,7 @@ class Project:
             "omitted": [r.asDict() for r in decisions.filter("detail is null").orderBy(F.desc("score"), "id").collect()], "metrics": [r.asDict() for r in select.metrics(decisions, budgets, total).collect()],
             "package": select.package(decisions, costed, tasks).first()["package"],
         }
-        costed.unpersist(), decisions.unpersist()
+        costed.unpersist(), decisions.unpersist(), ranked.unpersist()
         return out
 
     def impact(self, symbol: str, hops: int = impact.HOPS, min_confidence: float = impact.EDGE_CONFIDENCE) -> dict:

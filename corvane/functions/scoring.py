@@ -88,3 +88,8 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def is_test(kind: Column, path: Column) -> Column:
     return (kind == "TEST") | path.rlike(r"\.(test|spec)\.[jt]sx?$|(^|/)test_|_test\.py$")
+
+
+def is_container(kind: Column) -> Column:
+    """The entity holds others rather than doing something itself."""
+    return kind.isin("FILE", "DIRECTORY", "PROJECT", "MODULE")

@@ -67,6 +67,9 @@ DEFAULT_EXCLUDES = (
 # Edge types that impact follows backwards.
 IMPACT_TYPES = ("CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS", "REFERENCES", "USES", "RENDERS", "QUERIES", "TESTS")
 
-# Commit subjects that no evaluation case is made of.
-REJECTED_SUBJECT = r"(?i)^(wip|merge|revert|bump|chore|lint|format)|^(fix(es|ed)?|ajustes?|update|atualiza(ndo|cao|ção)?|primeiro commit|initial commit)$"
+# Commit subjects that no evaluation case is made of, whatever their case.
+REJECTED_SUBJECTS = (
+    r"^wip\b", r"^fix(es|ed)?$", r"^ajustes?$", r"^update$", r"^atualiza(ndo|cao|ção)?$", r"^merge\b", r"^revert\b", r"^bump\b", r"^chore", r"^lint", r"^format", r"^primeiro commit$",
+    r"^initial commit$",
+)
 CASE_EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "py")

@@ -25,13 +25,14 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
 
 
-def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+def first_wins(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """One row per key, the first by `order`."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
 def dedup_relations(relations: DataFrame) -> DataFrame:
-    return relations.dropDuplicates(RELATION_KEY)
+    """One row per key: a resolved one first, then by metadata and target, so that reruns agree."""
+    return first_wins(relations, RELATION_KEY, [F.col("target_id").isNull(), F.col("metadata").asc_nulls_last(), F.col("target_id")])
 
 
 def demote(relations: DataFrame, entities: DataFrame, paths: DataFrame) -> DataFrame:

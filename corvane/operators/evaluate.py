@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.scoring import ratio
-from corvane.functions.words import CASE_EXTENSIONS, REJECTED_SUBJECT
+from corvane.functions.words import CASE_EXTENSIONS, REJECTED_SUBJECTS
 
 MAX_FILES, MIN_WORDS = 20, 3
 
@@ -15,8 +15,11 @@ def reject_reason(subject: Column, files: Column) -> Column:
     """Why a commit makes no case, null if it makes one; the first reason holds."""
     words = F.size(F.filter(F.split(F.trim(subject), r"\s+"), lambda w: w != ""))
     code = F.exists(files, lambda p: F.lower(F.regexp_extract(p, r"\.([^./]+)$", 1)).isin(*CASE_EXTENSIONS))
+    generic = F.lit(False)
+    for pattern in REJECTED_SUBJECTS:
+        generic = generic | F.trim(subject).rlike("(?i)" + pattern)
     return (
-        F.when(F.trim(subject).rlike(REJECTED_SUBJECT), "subject").when(words < MIN_WORDS, "short message").when(F.size(files) == 0, "no files")
+        F.when(generic, "subject").when(words < MIN_WORDS, "short message").when(F.size(files) == 0, "no files")
         .when(F.size(files) > MAX_FILES, "too many files").when(~code, "no code")
     )
 
@@ -43,9 +46,20 @@ def percentile(values: Column, f: float) -> Column:
     return F.try_element_at(F.sort_array(values), F.least(F.size(values), F.floor(F.lit(f) * F.size(values)).cast("int") + 1))
 
 
+def place(n: int, f: float) -> float:
+    """The share of n ascending values that picks the one at floor(f n), the last at most, as a discrete percentile."""
+    return (min(n - 1, int(f * n)) + 0.5) / n if n else 0.5
+
+
 def report(results: DataFrame, time: str | None = None) -> DataFrame:
-    """One row over all cases: means, misses, and median and 95th percentile of `time`."""
+    """One row over all cases: means, misses, and median and 95th percentile of `time`, which are picked from counts per value."""
     aggs = [F.count(F.lit(1)).alias("cases"), F.avg("recall").alias("mean_recall"), F.avg("precision").alias("mean_precision"), F.count_if(F.col("recall") == 0).alias("misses")]
     if time:
-        aggs += [percentile(F.collect_list(time), 0.5).alias("median"), percentile(F.collect_list(time), 0.95).alias("p95")]
+        n = results.filter(F.col(time).isNotNull()).count()
+        aggs += [F.expr(f"percentile_disc({place(n, f)!r}D) WITHIN GROUP (ORDER BY `{time}`)").cast(results.schema[time].dataType).alias(name) for name, f in (("median", 0.5), ("p95", 0.95))]
     return results.agg(*aggs)
+
+
+def worst(results: DataFrame, k: int = 8) -> DataFrame:
+    """The k cases of least recall, ties to the smaller case."""
+    return results.orderBy("recall", "case_id").limit(k)

@@ -21,6 +21,13 @@ def targets(entities: DataFrame, asked: DataFrame) -> DataFrame:
     return met.filter("_n = 1").select("query_id", "id", "exported", "alternatives")
 
 
+def alternatives(entities: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, id): the other entities that an asked target (query_id, target) names, beside the chosen one."""
+    forms = entities.select(F.explode(F.array_distinct(F.array("id", "name", "qualified_name"))).alias("target"), "id")
+    chosen = targets(entities, asked).select("query_id", "id")
+    return asked.join(forms, "target").select("query_id", "id").distinct().join(chosen, ["query_id", "id"], "left_anti")
+
+
 def reached(entities: DataFrame, relations: DataFrame, chosen: DataFrame, hops: int = HOPS, min_confidence: float = EDGE_CONFIDENCE) -> DataFrame:
     """(query_id, id, reach, hop_distance, path_confidence, ...): direct at hop 1, indirect beyond; the target itself is left out."""
     near = graph.neighbors(relations, chosen.select("query_id", "id"), hops, "IN", IMPACT_TYPES, min_confidence, by=["query_id"]).filter("hop_distance > 0")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import scoring, text
 from corvane.functions.words import SIGNAL_WEIGHTS
 from corvane.operators import graph, search
+from corvane.session import kept
 
 LEXICAL_SEEDS, LEXICAL_HITS, PATH_FILES, RECENT_FILES, CANDIDATES, EDGE_CONFIDENCE = 40, 500, 6, 8, 3000, 0.2
 
@@ -30,8 +31,7 @@ def seeds(tasks: DataFrame, entities: DataFrame, files: DataFrame, scores: DataF
     cited = tasks.select("query_id", F.explode("symbols").alias("symbol"))
     by_name = [entities.select("id", F.col(c).alias("symbol")).join(cited, "symbol").select("query_id", "id", F.concat(F.lit("symbol "), F.col("symbol")).alias("reason"), F.lit(1).alias("o")) for c in ("name", "qualified_name")]
     paths = tasks.select("query_id", F.explode(F.concat("paths", "includes")).alias("_cited"))
-    hit = F.col("file_path").endswith(F.col("_cited"))
-    by_path = entities.join(paths, hit).select("query_id", "id", F.concat(F.lit("path "), F.col("_cited")).alias("reason"), F.lit(2).alias("o"))
+    by_path = entities.join(paths.distinct(), F.col("file_path") == F.col("_cited")).select("query_id", "id", F.concat(F.lit("path "), F.col("_cited")).alias("reason"), F.lit(2).alias("o"))
     near = search.paths_with_terms(files, tasks.select("query_id", text.path_terms(F.col("terms")).alias("terms")), PATH_FILES)
     by_term = entities.join(near.select("query_id", F.col("path").alias("file_path")), "file_path").select("query_id", "id", F.lit("path term").alias("reason"), F.lit(3).alias("o"))
     lexical = search.top(scores, LEXICAL_SEEDS).select("query_id", "id", F.lit("text").alias("reason"), F.lit(4).alias("o"))
@@ -45,8 +45,9 @@ def seeds(tasks: DataFrame, entities: DataFrame, files: DataFrame, scores: DataF
 def rank(tasks: DataFrame, entities: DataFrame, relations: DataFrame, files: DataFrame, postings: DataFrame, lengths: DataFrame, commits: DataFrame, hops: int = 2, weights: dict[str, float] | None = None) -> DataFrame:
     """Scored candidates of each task: query_id, id, hop_distance, the nine signals, score, reasons."""
     tasks = analysed(tasks)
-    scores = search.bm25(postings, lengths, search.clauses(tasks))
-    start = seeds(tasks, entities, files, scores, commits)
+    # Sums of doubles depend on their order in the last digits: ties are told at nine.
+    scores = kept(search.bm25(postings, lengths, search.clauses(tasks)).withColumn("score", F.round("score", 9)))
+    start = kept(seeds(tasks, entities, files, scores, commits))
     near = graph.neighbors(relations, start.select("query_id", "id"), hops, "BOTH", min_confidence=EDGE_CONFIDENCE, by=["query_id"])
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("hop_distance", F.desc("path_confidence"), "entity_id"))
     near = near.withColumn("_n", order).filter((F.col("_n") <= CANDIDATES) | (F.col("hop_distance") == 0)).select("query_id", F.col("entity_id").alias("id"), "hop_distance")
@@ -72,7 +73,7 @@ def rank(tasks: DataFrame, entities: DataFrame, relations: DataFrame, files: Dat
         F.when(F.col("s_call_relationship") > 0, F.array(F.lit("calls or is called by a seed"))).otherwise(F.array().cast("array<string>")), F.when(F.col("s_recent_changes") > 0.5, F.array(F.lit("changed lately"))).otherwise(F.array().cast("array<string>")),
     )
     score = scoring.weighted_score({k: F.col(f"s_{k}") for k in signals}, weights or SIGNAL_WEIGHTS)
-    return rows.select("query_id", "id", "type", "name", "qualified_name", "file_path", "start_line", "start_byte", "end_byte", "signature", "documentation", "token_estimate", "hop_distance", *(f"s_{k}" for k in signals), score.alias("score"), F.array_distinct(reasons).alias("reasons"))
+    return rows.select("query_id", "id", "type", "name", "qualified_name", "file_path", "start_line", "start_byte", "end_byte", "signature", "documentation", "token_estimate", "hop_distance", *(f"s_{k}" for k in signals), F.round(score, 9).alias("score"), F.array_distinct(reasons).alias("reasons"))
 
 
 def score_floor(ranked: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from corvane.functions.scoring import ambiguous_confidence
 from corvane.schemas import RELATION_KEY, RELATION_METADATA
 
 # Endings that an import without one may stand for, and the files of a package folder.
-ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py")
+ENDINGS = (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".py")
 
 
 def import_candidates(file_path: Column, hint: Column) -> Column:
@@ -24,7 +24,7 @@ def import_candidates(file_path: Column, hint: Column) -> Column:
     probes = [base, bare]
     for stem in (bare, base):
         probes += [F.concat(stem, F.lit(e)) for e in ENDINGS]
-    probes += [F.concat(base, F.lit("/index" + e)) for e in ENDINGS[:-1]] + [F.concat(base, F.lit("/__init__.py"))]
+    probes += [F.concat(stem, F.lit("/index" + e)) for stem in (bare, base) for e in ENDINGS[:-1]] + [F.concat(base, F.lit("/__init__.py"))]
     return F.array_distinct(F.array_compact(F.array(*probes)))
 
 

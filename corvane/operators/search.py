@@ -20,13 +20,22 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame, columns: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of docs (id and the columns): (term, id, f) with f weighted, and (id, length) unweighted."""
+def postings(docs: DataFrame, columns: dict[str, float] | None = None, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of docs (id and the columns): (term, id, f) with f weighted, and (id, length) unweighted.
+
+    With `asked` (clauses) the postings are those that its terms and prefixes need: others go before they are counted.
+    """
     columns = columns or WEIGHTS
     parts = [docs.select("id", F.explode(tokens(F.col(c))).alias("term"), F.lit(w).alias("w")) for c, w in columns.items()]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
+    if asked is not None:
+        kinds = asked.select("term", "is_prefix").distinct()
+        whole = kinds.filter("not is_prefix").select("term", F.lit(True).alias("_whole"))
+        begun = kinds.filter("is_prefix").select(F.col("term").alias("_p"), F.lit(True).alias("_begun"))
+        every = every.withColumn("_p", F.when(F.length("term") >= PREFIX, F.substring("term", 1, PREFIX)))
+        every = every.join(whole, "term", "left").join(begun, "_p", "left").filter("_whole or _begun")
     found = every.groupBy("term", "id").agg(F.sum("w").alias("f"))
     length = sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0))
     return found, docs.select("id", length.alias("length"))
@@ -72,9 +81,16 @@ def normalised(scores: DataFrame, k: int = 500) -> DataFrame:
 
 
 def paths_with_terms(files: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, path): the k shortest paths that contain a term of `asked` (query_id, terms), case-free."""
-    hit = F.exists("terms", lambda t: F.lower("path").contains(F.lower(t)))
-    met = files.select("path").join(asked, hit)  # queries are few: a broadcast loop over one scan of the paths
+    """(query_id, path): the k shortest paths that contain a term of `asked` (query_id, terms), case-free.
+
+    A path that contains a term contains its first letters: the paths' pieces of that length meet them in an equi-join.
+    """
+    terms = asked.select("query_id", F.explode("terms").alias("_t")).select("query_id", F.lower("_t").alias("_t")).filter("_t <> ''").distinct()
+    size = terms.agg(F.min(F.length("_t"))).first()[0] or 1  # of the shortest term
+    low = F.lower("path")
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - size + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(size))))
+    paths = files.select("path").distinct().select("path", F.explode(pieces).alias("_piece"))
+    met = paths.join(terms.withColumn("_piece", F.substring("_t", 1, size)), "_piece").filter(F.lower("path").contains(F.col("_t"))).select("query_id", "path").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.length("path"), "path"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "path", "rank")
 

@@ -13,20 +13,26 @@ FULL_SCORE, REFERENCE_COST, MAX_FILES = 55.0, 12, 12
 LEVELS = ("FULL", "SIGNATURE", "REFERENCE")
 
 
-def rendered(ranked: DataFrame, relations: DataFrame, sources: DataFrame) -> DataFrame:
-    """Candidates with their text at each level (null where there is none) and its token cost."""
+def rendered(ranked: DataFrame, relations: DataFrame, sources: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Candidates with their text at each level (null where there is none) and its token cost.
+
+    Texts and costs are made once per entity, not per task; with `entities` the tasks' rows needn't be searched for them.
+    """
+    columns = ["id", "type", "qualified_name", "file_path", "start_line", "start_byte", "end_byte", "signature", "documentation"]
+    items = ranked.select(*columns).dropDuplicates(["id"]) if entities is None else entities.select(*columns).join(ranked.select("id").distinct(), "id", "left_semi")
     first = lambda c: F.split(F.col(c), "\n")[0]
     calls = relations.filter("type = 'CALLS'").groupBy(F.col("source_id").alias("id"), "target_hint").agg(F.min("line").alias("l"))
     calls = calls.groupBy("id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("l", "target_hint"))), lambda x: x["target_hint"]), 1, 12), ", ").alias("_calls"))
     base = relations.filter("type = 'EXTENDS'").groupBy(F.col("source_id").alias("id")).agg(F.min_by("target_hint", F.struct("line", "target_hint")).alias("_extends"))
-    rows = ranked.join(calls, "id", "left").join(base, "id", "left").join(sources.select(F.col("path").alias("file_path"), "content"), "file_path", "left")
+    rows = items.join(calls, "id", "left").join(base, "id", "left").join(sources.select(F.col("path").alias("file_path"), "content"), "file_path", "left")
     place = F.concat_ws(":", "file_path", "start_line")
     reference = F.concat(F.col("type"), F.lit(" "), F.col("qualified_name"), F.lit("  ("), place, F.lit(")"))
     signature = F.concat_ws("\n", reference, F.concat(F.lit("  "), F.col("signature")), F.concat(F.lit("  DOC: "), first("documentation")), F.concat(F.lit("  CALLS: "), F.col("_calls")), F.concat(F.lit("  EXTENDS: "), F.col("_extends")))
     code = F.substring(F.col("content"), F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte"))
     full = F.when(F.trim(code) != "", F.concat_ws("\n", F.concat(F.lit("// "), place, F.lit(" — "), F.col("type"), F.lit(" "), F.col("qualified_name")), F.concat(F.lit("// "), first("documentation")), code))
     rows = rows.withColumns({"t_full": full, "t_signature": signature, "t_reference": reference})
-    return rows.withColumns({f"n_{x.lower()}": F.when(F.col(f"t_{x.lower()}").isNotNull(), estimate_tokens(F.col(f"t_{x.lower()}"))) for x in LEVELS}).drop("content", "_calls", "_extends")
+    rows = rows.withColumns({f"n_{x.lower()}": F.when(F.col(f"t_{x.lower()}").isNotNull(), estimate_tokens(F.col(f"t_{x.lower()}"))) for x in LEVELS})
+    return ranked.join(rows.select("id", *(f"{k}_{x.lower()}" for k in "tn" for x in LEVELS)), "id")
 
 
 def greedy(ranked: DataFrame, budgets: DataFrame, max_files: int = MAX_FILES) -> DataFrame:

@@ -26,3 +26,9 @@ def counts(table: DataFrame, column: str, k: int | None = None) -> DataFrame:
 
 def resolution_report(relations: DataFrame) -> DataFrame:
     return counts(relations, "resolution")
+
+
+def skip_reasons(files: DataFrame) -> DataFrame:
+    """(reason, n) of the files that were not read, most first; the reason is the one in their pseudo-hash."""
+    reason = F.regexp_extract("content_hash", r"^skipped:([A-Z_]+):", 1)
+    return files.filter(F.col("content_hash").startswith("skipped:")).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))

@@ -16,8 +16,9 @@ TABLES = {"files": schemas.FILES, "entities": schemas.ENTITIES, "relations": sch
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, on_mismatch: str = "error") -> None:
+        """`on_mismatch`: what an index of another schema version is taken for: an error, or (recreate) no index."""
+        self.spark, self.root, self.on_mismatch = spark, root.rstrip("/"), on_mismatch
 
     def _file(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -30,9 +31,11 @@ class Store:
         return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest.json").collect()))
 
     def version(self) -> str | None:
-        """The current version; an index of another schema version is refused."""
+        """The current version; an index of another schema version is refused, or left behind by the next commit."""
         m = self.manifest()
         if m and m["schema_version"] != schemas.SCHEMA_VERSION:
+            if self.on_mismatch == "recreate":
+                return None
             raise ValueError(f"index has schema version {m['schema_version']}, expected {schemas.SCHEMA_VERSION}: rebuild it")
         return m["version"] if m else None
 
@@ -62,3 +65,18 @@ class Store:
 
     def meta(self) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self.read("meta").collect()}
+
+    def set_meta(self, values: dict[str, str]) -> None:
+        """Writes a version whose meta rows have these values, the last to write a key winning; other tables stay."""
+        meta = self.meta() | values
+        tables = {t: self.read(t) for t in TABLES}
+        self.commit(tables | {"meta": self.spark.createDataFrame(list(meta.items()), schemas.META)})
+
+    def versions(self) -> list[str]:
+        """Every version that was committed and is still there."""
+        path, fs = self._file("")
+        return sorted(f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory() and f.getPath().getName().startswith("v-")) if fs.exists(path) else []
+
+    def as_of(self, version: str, table: str) -> DataFrame:
+        """A table as an earlier version has it."""
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{version}/{table}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import ids, scoring, text, words
 from corvane.operators import changes, evaluate, graph, impact, rank, resolve, search, select, stats
 from corvane.plans import views
+from corvane.session import kept
 from corvane.plans.views import EDGES_SQL, ENTITIES_SQL, HIERARCHY_SQL, PATHS_SQL, table
 from corvane.sources import ignore, secrets
 
@@ -204,10 +205,11 @@ _ONE, _TWO = {"literals": 1.0}, {"terms": 4.0, "literals": 1.0}
 
 
 def _scores(spark: SparkSession, sf_dir: str, columns: dict[str, float], prefix: bool) -> DataFrame:
-    found, lengths = search.postings(views.documents(spark, sf_dir), columns)
     tasks = views.tasks(spark, sf_dir).withColumn("f", text.strip_accents("task")).select("query_id", text.query_terms(F.col("f")).alias("clauses"))
     asked = search.clauses(tasks)
-    return search.bm25(found, lengths, asked if prefix else asked.filter("not is_prefix"))
+    asked = asked if prefix else asked.filter("not is_prefix")
+    found, lengths = search.postings(views.documents(spark, sf_dir), columns, asked)
+    return search.bm25(found, lengths, asked)
 
 
 def _top10(scores: DataFrame) -> DataFrame:
@@ -478,7 +480,7 @@ def _code_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
     near = d.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("source_id"), F.concat(F.lit("D"), ((F.col("doc_id") * 7 + 3) % F.lit(500)).cast("string")).alias("target_id"), F.lit("CALLS").alias("type"), F.lit("x").alias("target_hint"), F.lit(1).alias("line"), F.lit(0.75).alias("confidence"), F.col("path").alias("file_path"))
     commits = d.select("path", (F.col("doc_id") % 100 * 86400).alias("ts"))
-    found, lengths = search.postings(e.withColumn("terms", F.coalesce("name", F.lit(""))))
+    found, lengths = search.postings(e.withColumn("terms", F.coalesce("name", F.lit(""))), asked=search.clauses(rank.analysed(views.tasks(spark, sf_dir))))
     return {"entities": e.drop("literals"), "relations": near, "files": d.select("path"), "postings": found, "lengths": lengths, "commits": commits, "sources": d.select("path", F.col("text").alias("content"))}
 
 
@@ -501,8 +503,8 @@ def score_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def context_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _code_index(spark, sf_dir)
-    ranked = rank.score_floor(_ranked(spark, sf_dir, x))
-    costed = select.rendered(ranked, x["relations"], x["sources"])
+    ranked = kept(rank.score_floor(_ranked(spark, sf_dir, x)))
+    costed = select.rendered(ranked, x["relations"], x["sources"], x["entities"])
     return select.greedy(costed, select.budgets(views.tasks(spark, sf_dir), 20_000)).withColumn("score", F.round("score", 6))
 
 
@@ -566,14 +568,16 @@ def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     ending = F.when(F.col("l_linenumber") % 2 == 0, ".ts").otherwise(".md")
     files = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.concat(F.lit("p"), F.col("l_partkey").cast("string"), ending))).alias("files"))
-    subject = F.when(F.col("o_orderkey") % 11 == 0, "WIP on things").when(F.col("o_orderkey") % 5 == 0, "fix").otherwise(F.concat(F.lit("Order with priority "), F.col("o_orderpriority")))
+    subject = F.when(F.col("o_orderkey") % 11 == 0, "WIP on things").when(F.col("o_orderkey") % 5 == 0, "fix").when(F.col("o_orderkey") % 7 == 0, "Merged the report tables").when(F.col("o_orderkey") % 13 == 0, "Bumper stock page")
+    subject = subject.when(F.col("o_orderkey") % 17 == 0, "Format: all files").otherwise(F.concat(F.lit("Order with priority "), F.col("o_orderpriority")))
     joined = o.join(files, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select(F.col("o_orderkey").alias("sha"), subject.alias("subject"), F.coalesce("files", F.array().cast("array<string>")).alias("files"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("ts"))
 
 
 _COMMITS_SQL = """WITH f AS (SELECT l_orderkey, list_sort(list('p' || l_partkey || CASE WHEN l_linenumber % 2 = 0 THEN '.ts' ELSE '.md' END)) AS files FROM lineitem GROUP BY l_orderkey),
-  c AS (SELECT o_orderkey AS sha, CASE WHEN o_orderkey % 11 = 0 THEN 'WIP on things' WHEN o_orderkey % 5 = 0 THEN 'fix' ELSE 'Order with priority ' || o_orderpriority END AS subject, coalesce(files, []) AS files, epoch_us(o_orderdate) AS ts FROM orders LEFT JOIN f ON l_orderkey = o_orderkey),
-  r AS (SELECT *, CASE WHEN regexp_matches(trim(subject), '(?i)^(wip|merge|revert|bump|chore|lint|format)|^(fix(es|ed)?|ajustes?|update|atualiza(ndo|cao|ção)?|primeiro commit|initial commit)$') THEN 'subject' WHEN len(list_filter(regexp_split_to_array(trim(subject), '\\s+'), lambda w: w <> '')) < 3 THEN 'short message'
+  c AS (SELECT o_orderkey AS sha, CASE WHEN o_orderkey % 11 = 0 THEN 'WIP on things' WHEN o_orderkey % 5 = 0 THEN 'fix' WHEN o_orderkey % 7 = 0 THEN 'Merged the report tables' WHEN o_orderkey % 13 = 0 THEN 'Bumper stock page' WHEN o_orderkey % 17 = 0 THEN 'Format: all files' ELSE 'Order with priority ' || o_orderpriority END AS subject, coalesce(files, []) AS files, epoch_us(o_orderdate) AS ts FROM orders LEFT JOIN f ON l_orderkey = o_orderkey),
+  r AS (SELECT *, CASE WHEN regexp_matches(lower(trim(subject)), '^(wip|merge|revert|bump)([^a-z0-9_]|$)') OR starts_with(lower(trim(subject)), 'chore') OR starts_with(lower(trim(subject)), 'lint') OR starts_with(lower(trim(subject)), 'format')
+      OR lower(trim(subject)) IN ('fix', 'fixes', 'fixed', 'ajuste', 'ajustes', 'update', 'atualiza', 'atualizando', 'atualizacao', 'atualização', 'primeiro commit', 'initial commit') THEN 'subject' WHEN len(list_filter(regexp_split_to_array(trim(subject), '\\s+'), lambda w: w <> '')) < 3 THEN 'short message'
     WHEN len(files) = 0 THEN 'no files' WHEN len(files) > 20 THEN 'too many files' WHEN len(list_filter(files, lambda p: regexp_matches(p, '\\.ts$'))) = 0 THEN 'no code' END AS reason FROM c)"""
 
 
@@ -629,3 +633,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.sum("tokens").over(Window.partitionBy("query_id"))
     every = cost.agg(F.sum("tokens").alias("all_tokens"))
     return top.join(cost, "id").crossJoin(F.broadcast(every)).select("query_id", "id", "source", "rank", "score", "tokens", (1 - total / F.col("all_tokens")).alias("reduction"))
+
+
+from corvane.plans import lookups  # noqa: E402,F401  its queries register themselves here

@@ -15,12 +15,20 @@ MAX_BYTES, BINARY_SNIFF = 1 << 20, 8000
 ALWAYS = (".git/", "node_modules/")
 
 
+def _relative(root: str) -> Column:
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
+    return F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), "^/*" + _quoted(base.lstrip("/")) + "/", "")
+
+
+def contents(spark: SparkSession, root: str, files: list[str]) -> DataFrame:
+    """(path, content) of the given files under the root, as text; no other file is opened."""
+    return spark.read.format("binaryFile").load(files).select(_relative(root).alias("path"), F.decode("content", "UTF-8").alias("content"))
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, url, mtime_ms, size_bytes) of all files under the root; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), "^/*" + _quoted(base.lstrip("/")) + "/", "")
-    return files.select(relative.alias("path"), F.col("path").alias("url"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), F.col("length").alias("size_bytes"))
+    return files.select(_relative(root).alias("path"), F.col("path").alias("url"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), F.col("length").alias("size_bytes"))
 
 
 def _quoted(s: str) -> str:
