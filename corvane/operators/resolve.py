@@ -78,7 +78,8 @@ def resolve_symbols(edges: DataFrame, entities: DataFrame, bound: DataFrame) ->
     m = m.withColumn("_locals", F.count_if("_local").over(per_edge))
     member = F.col("_expr").isNotNull()
     inside = member & F.col("_receiver").isin("this", "self") & (F.col("c.file_path") == F.col("_class_file")) & (F.col("c.qualified_name") == F.concat_ws(".", "_class", "target_hint"))
-    made = member & (F.col("c.qualified_name") == F.concat_ws(".", F.nullif(F.regexp_extract("_receiver", r"^new\s+([A-Za-z_$][\w$]*)", 1), F.lit("")), "target_hint"))
+    constructed = F.nullif(F.regexp_extract("_receiver", r"^new\s+([A-Za-z_$][\w$]*)", 1), F.lit(""))
+    made = member & (F.col("c.qualified_name") == F.concat(constructed, F.lit("."), F.col("target_hint")))  # null without a constructed class
     rule = (
         F.when(F.col("c.file_path") == F.col("_bound"), 1).when(inside, 2).when(made, 3).when(member & (F.col("c.file_path") == F.col("_base_bound")), 4)
         .when(~member & F.col("_local") & (F.col("_locals") == 1), 5).when(~member & (F.col("_n") == 1), 6).when(member & F.col("_local"), 7).otherwise(8)

@@ -52,8 +52,8 @@ def names_and_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS_OF = "list_distinct(list_append(list_transform(" + _SPLIT + ", lambda p: lower(p)), lower({0})))"
 
 
-@query(f"""SELECT p_partkey, array_to_string(list_sort(list_distinct(flatten([{_TERMS_OF.format('p_name')}, {_TERMS_OF.format("(p_type || '.' || p_name)")},
-  flatten(list_transform(list_filter(regexp_split_to_array(p_brand, '[^A-Za-z0-9_$]+'), lambda w: length(w) >= 2), lambda w: {_TERMS_OF.format('w')}))]))), ' ') AS terms FROM part""")
+@query(f"""SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(array_to_string(flatten([{_TERMS_OF.format('p_name')}, {_TERMS_OF.format("(p_type || '.' || p_name)")},
+  flatten(list_transform(list_filter(regexp_split_to_array(p_brand, '[^A-Za-z0-9_$]+'), lambda w: length(w) >= 2), lambda w: {_TERMS_OF.format('w')}))]), ' '), ' '))), ' ') AS terms FROM part""")
 def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.search_terms(F.col("p_name"), F.concat_ws(".", "p_type", "p_name"), F.col("p_brand"), F.lit(None).cast("string"))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(F.split(found, " ")), " ").alias("terms")).withColumn("terms", F.array_join(F.array_sort(F.array_distinct(F.split("terms", " "))), " "))
@@ -237,8 +237,8 @@ def updates_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- extraction ----------------------------------------------------------------------------------------------------
 
-_PYTHON_SQL = f"""SELECT path || '#' || kind || ':' || replace(q, '@', CASE kind WHEN 'FILE' THEN path ELSE doc_id::VARCHAR END) AS id, kind AS type, replace(q, '@', CASE kind WHEN 'FILE' THEN path ELSE doc_id::VARCHAR END) AS qualified_name, exported, at AS start_line
-  FROM ({PATHS_SQL}), (VALUES ('FILE', '@', true, 1), ('CLASS', 'C@', true, 2), ('METHOD', 'C@.run', true, 3), ('METHOD', 'C@._hidden', false, 5), ('FUNCTION', 'f@', true, 7), ('FUNCTION', '_g@', false, 9)) v(kind, q, exported, at)"""
+_PYTHON_SQL = f"""SELECT path || '#' || kind || ':' || replace(q, '@', CASE kind WHEN 'FILE' THEN path ELSE doc_id::VARCHAR END) AS id, kind AS type, replace(q, '@', CASE kind WHEN 'FILE' THEN path ELSE doc_id::VARCHAR END) AS qualified_name, exported, first_line AS start_line
+  FROM ({PATHS_SQL}), (VALUES ('FILE', '@', true, 1), ('CLASS', 'C@', true, 2), ('METHOD', 'C@.run', true, 3), ('METHOD', 'C@._hidden', false, 5), ('FUNCTION', 'f@', true, 7), ('FUNCTION', '_g@', false, 9)) v(kind, q, exported, first_line)"""
 
 
 @query(_PYTHON_SQL)
@@ -254,8 +254,8 @@ def extracted_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.entities(registry.extracted(rows)).select("id", "type", "qualified_name", "exported", "start_line")
 
 
-_SCRIPT_SQL = f"""SELECT kind AS type, replace(q, '@', CASE kind WHEN 'FILE' THEN path ELSE doc_id::VARCHAR END) AS qualified_name, exported, at AS start_line, path AS file_path
-  FROM ({PATHS_SQL}), (VALUES ('FILE', '@', true, 1), ('CLASS', 'C@', true, 2), ('METHOD', 'C@.run', true, 3), ('FUNCTION', 'f@', true, 5), ('INTERFACE', 'I@', false, 6), ('TYPE', 'T@', true, 7), ('CONSTANT', 'K@', true, 8), ('VARIABLE', 'v@', false, 9), ('FUNCTION', 'g@', false, 10)) v(kind, q, exported, at)"""
+_SCRIPT_SQL = f"""SELECT kind AS type, replace(q, '@', CASE kind WHEN 'FILE' THEN path ELSE doc_id::VARCHAR END) AS qualified_name, exported, first_line AS start_line, path AS file_path
+  FROM ({PATHS_SQL}), (VALUES ('FILE', '@', true, 1), ('CLASS', 'C@', true, 2), ('METHOD', 'C@.run', true, 3), ('FUNCTION', 'f@', true, 5), ('INTERFACE', 'I@', false, 6), ('TYPE', 'T@', true, 7), ('CONSTANT', 'K@', true, 8), ('VARIABLE', 'v@', false, 9), ('FUNCTION', 'g@', false, 10)) v(kind, q, exported, first_line)"""
 
 
 def _script(i: F.Column) -> F.Column:
