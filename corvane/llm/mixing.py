@@ -3,8 +3,8 @@
 A source's target T is met by floor(T / S) whole passes over it (S: its words) and a remaining budget below S. The
 budget is filled by document counts per exact length: every length gives the same share of its documents, then
 the largest lengths that still fit, and the last words are fitted by bounded-knapsack dynamic programming over every
-length that has documents left. Which
-documents of a length are taken is settled by a seeded hash of (doc_id, text): the count-th smallest hash is
+length that has documents left. Where no document left fits but one more of the shortest ends nearer to the target, it is
+taken too, so a source of one long document is not left out. Which documents of a length are taken is settled by a seeded hash of (doc_id, text): the count-th smallest hash is
 found by histogram bins within bins, so a length that holds a third of all rows is never one task.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order. A document of size 0 is never
@@ -110,6 +110,15 @@ def _fill(lengths: np.ndarray, counts: np.ndarray, left: int, table: int) -> np.
     return take
 
 
+def nearest(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """The fit, and one more of the shortest documents left where that ends nearer to `budget`, above it."""
+    take = fit(lengths, counts, budget)
+    gap, open_ = budget - int((take * lengths).sum()), np.flatnonzero(counts > take)
+    if len(open_) and int(lengths[open_[0]]) - gap < gap:
+        take[open_[0]] += 1
+    return take
+
+
 def size_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -135,7 +144,7 @@ def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP,
         some = size > 0
         extra = np.zeros(len(size), np.int64)
         if words and passes < cap:
-            extra[some] = fit(size[some], n[some], round(target - passes * words))
+            extra[some] = nearest(size[some], n[some], round(target - passes * words))
         return lengths.assign(_passes=np.where(some, passes, 0), _extra=extra)[["_source", "size", "source_size", "target", "_passes", "_extra"]]
 
     lengths = histogram.join(plan, histogram["_source"].eqNullSafe(plan["_source"])).select(histogram["_source"], "size", "n", "source_size", "target")

@@ -133,3 +133,12 @@ def test_mixing_ranks_within_inner_bins(docs, monkeypatch):
     for r in got.groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect():
         assert abs(r["taken"] - r["target"]) < 3
     assert got.count() == 505 and got.filter("taken > 3 * size").count() == 0
+
+
+def test_mixing_takes_the_document_that_ends_nearer():
+    import numpy as np
+
+    assert mixing.nearest(np.array([60_000]), np.array([1]), 59_992).tolist() == [1]
+    assert mixing.nearest(np.array([60_000]), np.array([1]), 29_992).tolist() == [0]
+    assert mixing.nearest(np.array([7]), np.array([5]), 20).tolist() == [3]
+    assert mixing.nearest(np.array([2, 7]), np.array([1, 5]), 16).tolist() == [1, 2]
