@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -84,7 +86,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_pseudonyms, op2_toxicity, op3_language_id, op4_ngram_join, op5_quality, op6_exact_dedup, op7_additive_quantisation, op8_suffix_dedup, op9_mixing, op10_packing)}
+def planted_places(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The contract's periods: with h the crc32 of a tenth of the ids, words from place a on repeat the p words there."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % p
+    return places
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.periodic import digests, periodic_runs
+
+    return digests(periodic_runs(_table(spark, sf_dir, "documents"), planted_places))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_pseudonyms, op2_toxicity, op3_language_id, op4_ngram_join, op5_quality, op6_exact_dedup, op7_additive_quantisation, op8_suffix_dedup, op9_mixing, op10_packing, op13_periodic_runs)}
 
 SQL = {
     "op7_additive_quantisation": """
