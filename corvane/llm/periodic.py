@@ -42,12 +42,9 @@ Reorder = Callable[[int | None, int], np.ndarray | None]
 
 def _stretches(equal: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of the maximal true stretches of `least` places and more."""
-    two = equal[:-1] & equal[1:]
-    if least >= 4 and not (two[:-2] & two[2:]).any():  # no four in a row
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.flatnonzero(equal)
-    if not len(at):
-        return at, at
+    if len(at) < least:
+        return at[:0], at[:0]
     cut = np.flatnonzero(np.diff(at) != 1)
     first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
     size = last - first + 1
