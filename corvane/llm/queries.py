@@ -86,6 +86,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.vector_codes import codes
+
+    return codes(_table(spark, sf_dir, "embeddings"))
+
+
 def planted_places(doc_id: int | None, n: int) -> np.ndarray | None:
     """The contract's periods: with h the crc32 of a tenth of the ids, words from place a on repeat the p words there."""
     h = zlib.crc32(str(doc_id).encode())
@@ -105,9 +111,32 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(periodic_runs(_table(spark, sf_dir, "documents"), planted_places))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_pseudonyms, op2_toxicity, op3_language_id, op4_ngram_join, op5_quality, op6_exact_dedup, op7_additive_quantisation, op8_suffix_dedup, op9_mixing, op10_packing, op13_periodic_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_pseudonyms, op2_toxicity, op3_language_id, op4_ngram_join, op5_quality, op6_exact_dedup, op7_additive_quantisation, op8_suffix_dedup, op9_mixing, op10_packing, op12_vector_codes, op13_periodic_runs)}
+
+def _op12_sql(parts: int = 4, words: int = 256, rounds: int = 4) -> str:
+    """Assignment and update as a chain of common table expressions, one pair a round."""
+    far = "list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i])))"
+    near = f"SELECT rid, part, arg_min(e, (far, e)) AS e, min(far) AS far FROM (SELECT p.rid, p.part, b.e, {far} AS far FROM pieces p JOIN book{{0}} b USING (part)) GROUP BY rid, part"
+    steps = []
+    for r in range(rounds):
+        steps.append(f"near{r} AS MATERIALIZED ({near.format(r)})")
+        steps.append(f"""sums{r} AS MATERIALIZED (SELECT part, e, i, sum(x) AS s, count(*) AS n FROM (SELECT part, n.e, unnest(p.v) AS x, unnest(range(1, len(p.v) + 1)) AS i FROM near{r} n JOIN pieces p USING (rid, part)) GROUP BY ALL)""")
+        steps.append(f"""book{r + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN
+  (SELECT part, e, list(CAST((s - ((s % n) + n) % n) / n AS HUGEINT) ORDER BY i) AS v FROM (SELECT part, e, i, CAST(s AS HUGEINT) AS s, CAST(n AS HUGEINT) AS n FROM sums{r}) GROUP BY part, e) m USING (part, e))""".replace(") / n AS HUGEINT)", ") // n AS HUGEINT)"))
+    return f"""WITH good AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+pieces AS MATERIALIZED (SELECT rid, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS v FROM good, (SELECT unnest(range({parts})) AS part)),
+book0 AS MATERIALIZED (SELECT part, rid - 1 AS e, v FROM pieces WHERE rid <= {words}),
+{", ".join(steps)},
+last AS MATERIALIZED ({near.format(rounds)}),
+coded AS (SELECT rid, string_agg(lpad(lower(hex(e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM last GROUP BY rid),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN good USING (rid), digest"""
+
 
 SQL = {
+    "op12_vector_codes": _op12_sql(),
     "op7_additive_quantisation": """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
