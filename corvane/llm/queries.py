@@ -86,6 +86,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corvane.llm.fertility import verdicts
+
+    return verdicts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.vector_codes import codes
 
@@ -111,7 +119,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(periodic_runs(_table(spark, sf_dir, "documents"), planted_places))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_pseudonyms, op2_toxicity, op3_language_id, op4_ngram_join, op5_quality, op6_exact_dedup, op7_additive_quantisation, op8_suffix_dedup, op9_mixing, op10_packing, op12_vector_codes, op13_periodic_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_pseudonyms, op2_toxicity, op3_language_id, op4_ngram_join, op5_quality, op6_exact_dedup, op7_additive_quantisation, op8_suffix_dedup, op9_mixing, op10_packing, op11_fertility_rules, op12_vector_codes, op13_periodic_runs)}
 
 def _op12_sql(parts: int = 4, words: int = 256, rounds: int = 4) -> str:
     """Assignment and update as a chain of common table expressions, one pair a round."""
