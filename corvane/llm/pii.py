@@ -143,6 +143,26 @@ def _iban(m: re.Match | list[str], p: Permutation) -> str | None:
 _FIRST, _DAYS = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal() - date(1900, 1, 1).toordinal() + 1
 
 
+@lru_cache(maxsize=1)
+def _date_classes() -> tuple[dict[int, tuple[int, int]], list[list[int]]]:
+    """Each date's class and place in it, and the classes' dates.
+
+    A date is permuted within its class, which depends on the date alone: so it has one pseudonym however it is written, and the
+    pseudonym can be written likewise and read back. Days over 12 can't be taken for months; one-digit days and months keep
+    their width; May has no short name of its own, and only September has a second one.
+    """
+    place, classes, number = {}, [], {}
+    for at in range(_FIRST, _FIRST + _DAYS):
+        d = date.fromordinal(at)
+        kind = (d.day >= 10) + (d.day > 12), d.month if d.month in (5, 9) else 10 * (d.month >= 10)
+        if kind not in number:
+            number[kind] = len(classes)
+            classes.append([])
+        place[at] = number[kind], len(classes[number[kind]])
+        classes[number[kind]].append(at)
+    return place, classes
+
+
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _MONTH = {name: i for i, full in enumerate(_MONTHS, 1) for name in (full, full[:3])} | {"sept": 9}
 
@@ -171,21 +191,9 @@ def _date(m: re.Match, p: Permutation) -> str | None:
     ordinal = "o" + n if name and m["o" + n] else ""
     if not 0 <= old.toordinal() - _FIRST < _DAYS or ordinal and m[ordinal].lower() != _suffix(old.day):
         return None
-    short = not name and min(len(m[month]), len(m[day])) == 1
-
-    def fits(new: date) -> bool:
-        """Which part is the month, how many digits a part has and how a name is written must be readable as from the value."""
-        if slashed and not month_first and new.day <= 12:
-            return False
-        if (name or short) and (new.day < 10) != (old.day < 10) or short and (new.month < 10) != (old.month < 10):
-            return False
-        return not name or (new.month == old.month if name in ("may", "sept") else new.month != 5)
-
-    at = old.toordinal() - _FIRST
-    while True:
-        at = p(at, _DAYS, "date")
-        if fits(new := date.fromordinal(_FIRST + at)):
-            break
+    kind, at = _date_classes()[0][old.toordinal()]
+    days = _date_classes()[1][kind]
+    new = date.fromordinal(days[p(at, len(days), f"date{kind}")])
     full = _MONTHS[new.month - 1]
     called = name if name in ("may", "sept") else full if name in _MONTHS else full[:3]
     parts = {year: f"{new.year:04d}", month: _like(called, m[month]) if name else str(new.month).zfill(len(m[month])), day: str(new.day).zfill(len(m[day]))}
