@@ -20,7 +20,8 @@ with their overlaps counted for all pairs of a block at once; only links that jo
 block. So no component is missed, and a large group of copies gives a number of rows linear in its size.
 
 A set may be empty (null or empty text, no words): it links with nothing. With fewer than k words the whole
-sequence is the only shingle. Null doc_ids have null components; repeated rows are equal sets, and rows that repeat a
+sequence is the only shingle. A row without doc_id links as any other and has its component's least doc_id, null where no
+linked row has one; repeated rows are equal sets, and rows that repeat a
 doc_id stay or go together. No rows: no rows.
 Texts of any length are read whole. Extra columns are ignored by `near_groups` and kept by `keep_rows`.
 """
@@ -245,9 +246,16 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _segments_of(nodes: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The segments of the asked nodes, whose sets are read again, each from the documents of one doc_id."""
-    ids = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes.distinct(), "node", "left_semi").select("doc_id").filter("doc_id is not null")
-    return written(_segments(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text"), k, percent), "segments")
+    """The segments of the asked nodes, whose sets are read again, each from the documents of one doc_id.
+
+    A node that only rows without doc_id have is read from those rows.
+    """
+    ids = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes.distinct(), "node", "left_semi").select("doc_id").distinct()
+    texts = docs.select("doc_id", "text")
+    found = texts.join(ids.filter("doc_id is not null"), "doc_id", "left_semi").select("text")
+    if not ids.filter("doc_id is null").isEmpty():
+        found = found.unionByName(texts.filter("doc_id is null").select("text"))
+    return written(_segments(found, k, percent), "segments")
 
 
 def _found(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
