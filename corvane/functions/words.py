@@ -2,20 +2,24 @@
 
 # Words that state an intent and not a subject.
 INTENT_WORDS = (
-    "add added adds adiciona adicionar adjust ajusta ajustar all allow altera alterar and any ao aos apaga apagar are as at atualiza atualizar change changes "
-    "checar check com confere conferir conserta consertar correta corretas correto corretos corrige corrigir create creates cria criar da das de deletar delete do dos em esta "
-    "estao faz fazer fix fixed fixes for from implement implementa implementar improve in inclui incluir is make melhora melhorar mostra mostrar muda mudar na nas new no "
-    "nos nova novo of on os para permite permitir que refactor refatora refatorar remove remover removes replace revisa revisar sao sem ser show substitui substituir suporte "
-    "support the to toda todas todo todos troca trocar um uma update updated updates valida validadas validados validar validate verifica verificar with"
-).split()
+    "add", "added", "adds", "adiciona", "adicionar", "adjust", "ajusta", "ajustar", "all", "allow", "altera", "alterar", "and", "any", "ao", "aos", "apaga", "apagar", "are",
+    "as", "at", "atualiza", "atualizar", "change", "changes", "checar", "check", "com", "confere", "conferir", "conserta", "consertar", "correta", "corretas", "correto",
+    "corretos", "corrige", "corrigir", "create", "creates", "cria", "criar", "da", "das", "de", "deletar", "delete", "do", "dos", "em", "esta", "estao", "faz", "fazer", "fix",
+    "fixed", "fixes", "for", "from", "implement", "implementa", "implementar", "improve", "in", "inclui", "incluir", "is", "make", "melhora", "melhorar", "mostra", "mostrar",
+    "muda", "mudar", "na", "nas", "new", "no", "nos", "nova", "novo", "of", "on", "os", "para", "permite", "permitir", "que", "refactor", "refatora", "refatorar", "remove",
+    "remover", "removes", "replace", "revisa", "revisar", "sao", "sem", "ser", "show", "substitui", "substituir", "suporte", "support", "the", "to", "toda", "todas", "todo",
+    "todos", "troca", "trocar", "um", "uma", "update", "updated", "updates", "valida", "validadas", "validados", "validar", "validate", "verifica", "verificar", "with",
+)
 
 # Words of literals that say nothing about content.
 NON_CONTENT_WORDS = (
-    "absolute active alt around auto between black block bold border bottom center class classname client col cols container cursor dark default disabled div duration "
-    "ease end fixed flex focus font from full gap gray grey grid group height hidden hover href import inline items justify left light link max medium min neutral next none "
-    "nowrap opacity outline overflow peer pointer react relative right ring rotate rounded row rows sans scale screen select semibold serif server shadow slate span src start "
-    "sticky stone style text top transform transition translate truncate use via white whitespace width wrapper zinc"
-).split()
+    "absolute", "active", "alt", "around", "auto", "between", "black", "block", "bold", "border", "bottom", "center", "class", "classname", "client", "col", "cols",
+    "container", "cursor", "dark", "default", "disabled", "div", "duration", "ease", "end", "fixed", "flex", "focus", "font", "from", "full", "gap", "gray", "grey", "grid",
+    "group", "height", "hidden", "hover", "href", "import", "inline", "items", "justify", "left", "light", "link", "max", "medium", "min", "neutral", "next", "none", "nowrap",
+    "opacity", "outline", "overflow", "peer", "pointer", "react", "relative", "right", "ring", "rotate", "rounded", "row", "rows", "sans", "scale", "screen", "select",
+    "semibold", "serif", "server", "shadow", "slate", "span", "src", "start", "sticky", "stone", "style", "text", "top", "transform", "transition", "translate", "truncate",
+    "use", "via", "white", "whitespace", "width", "wrapper", "zinc",
+)
 
 # Task kinds in order, each with the parts of words that tell it.
 KIND_HINTS = (
