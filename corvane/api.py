@@ -13,8 +13,9 @@ from corvane.extract import registry
 from corvane.functions import text
 from corvane.functions.words import PARSED_LANGUAGES
 from corvane.operators import changes, evaluate, graph, impact, rank, resolve, search, select, stats
-from corvane.operators.store import Store
-from corvane.session import reachable
+from corvane.operators.postings import Postings
+from corvane.operators.store import TABLES, Store
+from corvane.session import kept, reachable
 from corvane.sources import config, history, scan
 from corvane.sources.ignore import compile_line
 
@@ -27,7 +28,11 @@ class Project:
         self.config = config.load(self.root)
         self.store = Store(spark, index or f"{self.root}/.corvane/index")
 
-    def init(self) -> Path:
+    def init(self, force: bool = False) -> Path:
+        """Writes the configuration; one that is there already is only replaced, by the defaults, with `force`."""
+        if Path(self.root, config.FILE).exists() and not force:
+            raise FileExistsError(f"{config.FILE} is there already")
+        self.config = config.defaults(Path(self.root).name) if force else self.config
         return config.write(self.root, self.config)
 
     # --- scan ---
@@ -41,35 +46,52 @@ class Project:
         return scan.scan(self.spark, self.root, known, self._rules(), deny, self.config["indexing"]["max_file_bytes"])
 
     def scan(self, rebuild: bool = False) -> dict[str, int]:
-        """Brings the index in line with the disk; with `rebuild` everything is read and vanished files go too."""
-        old = {t: self.store.read(t) for t in store_tables()}
+        """Brings the index in line with the disk; with `rebuild` everything is read and vanished files go too.
+
+        Several scans may run at once: one that another overtakes starts again from the version that the other committed.
+        """
+        report: dict[str, int] = {}
+
+        def change(base: dict | None) -> tuple[dict[str, DataFrame], dict | None] | None:
+            report.clear()
+            made, counts = self._changed(base, rebuild)
+            report.update(counts)
+            return made
+
+        self.store.transact(change)
+        return report
+
+    def _postings(self, base: dict | None) -> Postings:
+        return Postings(self.spark, f"{self.store.root}/postings", (base or {}).get("postings"))
+
+    def _changed(self, base: dict | None, rebuild: bool) -> tuple[tuple[dict[str, DataFrame], dict] | None, dict[str, int]]:
+        """The tables and postings after a scan from the version `base`, and how many files changed how."""
+        old = {t: self.store.read(t, base) if base else self.spark.createDataFrame([], TABLES[t]) for t in ("files", "entities", "relations")}
         if rebuild:
             old = {t: df.limit(0) for t, df in old.items()}
         fresh, same = self._disk(old["files"])
-        fresh = fresh.cache()
+        fresh = kept(fresh)
         signatures = fresh.select("path", "content_hash").unionByName(same.join(old["files"].select("path", "content_hash"), "path"))
-        diff = changes.change_set(signatures, old["files"]).cache()
+        diff = kept(changes.change_set(signatures, old["files"]))
         count = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
         report = {c: count.get(c, 0) for c in ("added", "modified", "deleted", "unchanged")}
         changed, gone = diff.filter("change in ('added', 'modified')").select("path"), diff.filter("change in ('modified', 'deleted')").select("path")
-        if not (report["added"] or report["modified"] or report["deleted"]) and self.store.version() and not rebuild:
-            fresh.unpersist(), diff.unpersist()  # a later scan must not meet this listing
-            return report
+        if not (report["added"] or report["modified"] or report["deleted"]) and base and not rebuild:
+            return None, report
         rows = fresh.join(changed, "path", "left_semi")
-        found = registry.extracted(rows.filter(F.col("parse_state").isin("OK") & F.col("language").isin(*PARSED_LANGUAGES))).cache()
+        found = kept(registry.extracted(rows.filter(F.col("parse_state").isin("OK") & F.col("language").isin(*PARSED_LANGUAGES))))
         states = found.select("path", F.col("parse_state").alias("_state"), F.col("parse_error").alias("_error"))
         new_files = rows.drop("content").join(states, "path", "left")
         new_files = new_files.withColumns({"parse_state": F.coalesce("_state", "parse_state"), "parse_error": F.coalesce("_error", "parse_error")}).select(*old["files"].columns)
         files = changes.purge(old["files"], changed.unionByName(gone).distinct(), "path").unionByName(new_files)
-        entities = changes.purge(old["entities"], gone, "file_path").unionByName(registry.entities(found).select(*old["entities"].columns))
-        kept = changes.demote(old["relations"], old["entities"], gone)
-        relations = changes.dedup_relations(kept.unionByName(registry.relations(found).select(*old["relations"].columns)))
+        new = registry.entities(found).select(*old["entities"].columns)
+        entities = changes.purge(old["entities"], gone, "file_path").unionByName(new)
+        still = changes.demote(old["relations"], old["entities"], gone)
+        relations = changes.dedup_relations(still.unionByName(registry.relations(found).select(*old["relations"].columns)))
         relations = resolve.resolve_all(relations, entities, files)
+        postings = self._postings(None if rebuild else base).added(search_documents(new), gone.select(F.col("path").alias("file_path")))
         stamp = [("schema_version", str(schemas.SCHEMA_VERSION)), ("last_scan_at", str(int(time.time() * 1000))), ("project_name", self.config["project"]["name"])]
-        self.store.commit({"files": files, "entities": entities, "relations": relations, "meta": self.spark.createDataFrame(stamp, schemas.META)})
-        for df in (fresh, diff, found):
-            df.unpersist()
-        return report
+        return ({"files": files, "entities": entities, "relations": relations, "meta": self.spark.createDataFrame(stamp, schemas.META)}, postings), report
 
     def freshness(self) -> DataFrame:
         """(path, change) of what a scan would do, without doing it."""
@@ -109,57 +131,51 @@ class Project:
 
     # --- questions ---
 
-    def _postings(self) -> tuple[DataFrame, DataFrame]:
-        e = self.store.read("entities")
-        terms = text.strip_accents(text.search_terms(F.col("name"), F.col("qualified_name"), F.col("signature"), F.col("documentation")))
-        return search.postings(e.select("id", terms.alias("terms"), "literals"))
-
     def search(self, query: str, k: int = 40) -> DataFrame:
-        found, lengths = self._postings()
+        """The k best entities; of the stored index only the buckets of the query's terms are opened."""
         asked = rank.analysed(self.spark.createDataFrame([(0, query)], "query_id int, task string"))
-        return search.top(search.bm25(found, lengths, search.clauses(asked)), k).select("id", "score", "rank")
+        return search.top(self._postings(self.store.current()).scores(search.clauses(asked)), k).select("id", "score", "rank")
+
+    def lexicon(self) -> DataFrame | None:
+        """(term, synonym) of the configured groups; None without any."""
+        groups = config.synonym_groups(self.config)
+        return search.lexicon(self.spark.createDataFrame([(g,) for g in groups], "words array<string>")) if groups else None
 
     def context(self, task: str, budget: int | None = None, hops: int | None = None, include: list[str] | None = None, weights: dict[str, float] | None = None) -> dict:
         """The selected items, what was left out, metrics and the package as text."""
         own = self.config["context"]
         tasks = self.spark.createDataFrame([(0, task, include or [])], "query_id int, task string, includes array<string>")
         budgets = select.budgets(tasks, budget or own["budget"], own["margin"])
-        found, lengths = self._postings()
-        files, relations = self.store.read("files"), self.store.read("relations")
+        base = self.store.current()
+        files, relations, entities = (self.store.read(t, base) for t in ("files", "relations", "entities"))
         commits = history.touched(history.commits(self.spark, self.root))
-        entities = self.store.read("entities")
-        ranked = rank.score_floor(rank.rank(tasks, entities, relations, files, found, lengths, commits, hops if hops is not None else own["max_hops"], weights)).cache()
-        wanted = [r[0] for r in ranked.select("file_path").distinct().collect()]  # of one task's candidates, at most 3,000
-        raw = [f"{self.root}/{p}" for p in wanted if (Path(self.root) / p).is_file()] if "://" not in self.root else [f"{self.root}/{p}" for p in wanted]
-        if raw:
-            read = scan.contents(self.spark, self.root, raw)
-        else:
-            read = self.spark.createDataFrame([], "path string, content string")
-        costed = select.rendered(ranked, relations, read, entities).cache()
-        decisions = select.greedy(costed, budgets).cache()
+        ranked = kept(rank.score_floor(rank.rank(tasks, entities, relations, files, self._postings(base).scores, commits, hops if hops is not None else own["max_hops"], weights, self.lexicon())))
+        read = scan.contents(self.spark, self.root, ranked.select(F.col("file_path").alias("path")))
+        costed = kept(select.rendered(ranked, relations, read, entities))
+        decisions = kept(select.greedy(costed, budgets))
         total = files.agg(F.coalesce(F.sum("token_estimate"), F.lit(0)).alias("total_tokens"))
-        out = {
+        return {
             "kind": rank.analysed(tasks).first()["kind"], "items": [r.asDict() for r in decisions.filter("detail is not null").orderBy("file_path", F.desc(F.round("score")), "id").collect()],
             "omitted": [r.asDict() for r in decisions.filter("detail is null").orderBy(F.desc("score"), "id").collect()], "metrics": [r.asDict() for r in select.metrics(decisions, budgets, total).collect()],
             "package": select.package(decisions, costed, tasks).first()["package"],
+            "reasons": {r["id"]: r["reasons"] for r in ranked.join(decisions.filter("detail is not null").select("id"), "id", "left_semi").select("id", "reasons").collect()},
         }
-        costed.unpersist(), decisions.unpersist(), ranked.unpersist()
-        return out
 
     def impact(self, symbol: str, hops: int = impact.HOPS, min_confidence: float = impact.EDGE_CONFIDENCE) -> dict:
         entities, relations = self.store.read("entities"), self.store.read("relations")
-        chosen = impact.targets(entities, self.spark.createDataFrame([(0, symbol)], "query_id int, target string")).cache()
-        if not chosen.count():
+        asked = self.spark.createDataFrame([(0, symbol)], "query_id int, target string")
+        chosen = kept(impact.targets(entities, asked))
+        if chosen.isEmpty():
             raise LookupError(f"SYMBOL_NOT_FOUND: {symbol}")
         rows = impact.reached(entities, relations, chosen, hops, min_confidence).orderBy(F.desc("path_confidence"), "qualified_name")
-        return {"report": impact.report(entities, relations, chosen, hops, min_confidence).first().asDict(), "reached": [r.asDict() for r in rows.collect()]}
+        return {"report": impact.report(entities, relations, chosen, hops, min_confidence).first().asDict(), "reached": [r.asDict() for r in rows.collect()], "alternatives": sorted(r["id"] for r in impact.alternatives(entities, asked).collect())}
 
     def status(self) -> dict:
         files, entities, relations = (self.store.read(t) for t in ("files", "entities", "relations"))
         rows = lambda df: {r[0]: r[1] for r in df.collect()}
         return {
             "stats": stats.index_stats(files, entities, relations).first().asDict(), "entities_by_type": rows(stats.counts(entities, "type")), "files_by_language": rows(stats.counts(files, "language")),
-            "parse_states": rows(stats.counts(files, "parse_state")), "resolution": rows(stats.resolution_report(relations)), "meta": self.store.meta(),
+            "top_languages": rows(stats.counts(files, "language", 4)), "parse_states": rows(stats.counts(files, "parse_state")), "skipped": rows(stats.skip_reasons(files)), "resolution": rows(stats.resolution_report(relations)), "meta": self.store.meta(),
         }
 
     def bench(self, limit: int = 20, budget: int = 20_000) -> dict:
@@ -176,5 +192,7 @@ class Project:
         return evaluate.report(results.join(frame(times, "case_id string, ms double"), "case_id"), "ms").first().asDict()
 
 
-def store_tables() -> tuple[str, ...]:
-    return ("files", "entities", "relations")
+def search_documents(entities: DataFrame) -> DataFrame:
+    """(id, file_path, terms, literals): the texts that entities are found by."""
+    terms = text.strip_accents(text.search_terms(F.col("name"), F.col("qualified_name"), F.col("signature"), F.col("documentation")))
+    return entities.select("id", "file_path", terms.alias("terms"), "literals")

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: From this hop on the frontier's lineage is cut with checkpoint(), if the session has a checkpoint folder.
-CHECKPOINT_FROM = 4
+from corvane.session import kept
+
+#: Steps of an entity that stand together: an entity with more has its steps dealt over as many lists as it needs.
+LIST = 4096
 
 
 def _steps(edges: DataFrame, direction: str) -> DataFrame:
@@ -25,9 +27,11 @@ def neighbors(
     """(entity_id, hop_distance, path_confidence) within `depth` steps of the seeds (column id), and `by` columns of
     the seeds, whose values traverse apart.
 
-    Least hop and greatest product of confidences are taken apart from each other. Edges under `min_confidence` are not walked. Each hop keeps
-    one row per entity, the best, since products of confidences only shrink; walks that return cost no more than that.
-    Depth below 1 gives no rows.
+    Least hop and greatest product of confidences are taken apart from each other. Edges under `min_confidence` are not walked.
+    A hop goes on only from entities that it reached with a greater confidence than any hop before: another walk
+    through one can't end better than the walk that was there first, since products only shrink. The traversal ends when no entity
+    is left. An entity's steps are cut into lists of about `LIST`, so a hub's are dealt over many tasks. Each hop is a
+    written table. Depth below 1 gives no rows.
     """
     by = list(by)
     start = seeds.select(*by, F.col("id").alias("entity_id")).distinct().withColumns({"hop_distance": F.lit(0), "path_confidence": F.lit(1.0)})
@@ -37,19 +41,23 @@ def neighbors(
     if types is not None:
         used = used.filter(F.col("type").isin(*types))
     steps = _steps(used, direction).groupBy("a", "b").agg(F.max("c").alias("c"))
-    found, frontier = start, start
+    if depth > 1:
+        steps = kept(steps)
+    lists = steps.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("_lists"))
+    dealt = steps.join(lists, "a").select("a", "b", "c", F.pmod(F.xxhash64("b"), F.col("_lists")).cast("int").alias("_list"))
+    best = frontier = start
     for hop in range(1, depth + 1):
-        frontier = (
-            frontier.join(steps, F.col("entity_id") == F.col("a"))
-            .groupBy(*by, "b")
-            .agg(F.max(F.col("path_confidence") * F.col("c")).alias("path_confidence"))
-            .select(*by, F.col("b").alias("entity_id"), F.lit(hop).alias("hop_distance"), "path_confidence")
-        )
-        if hop >= CHECKPOINT_FROM and frontier.sparkSession.sparkContext.getCheckpointDir():
-            frontier = frontier.checkpoint()
-        found = found.unionByName(frontier)
-    out = found.groupBy(*by, "entity_id").agg(F.min("hop_distance").alias("hop_distance"), F.max("path_confidence").alias("path_confidence"))
-    return out if limit is None else out.orderBy("hop_distance", F.desc("path_confidence"), "entity_id").limit(limit)
+        spread = frontier.join(lists, F.col("entity_id") == F.col("a")).select(*by, "a", "path_confidence", F.explode(F.sequence(F.lit(0), F.col("_lists") - 1)).alias("_list"))
+        reached = spread.join(dealt, ["a", "_list"]).groupBy(*by, F.col("b").alias("entity_id")).agg(F.max(F.col("path_confidence") * F.col("c")).alias("_new"))
+        both = best.withColumn("_new", F.lit(None).cast("double")).unionByName(reached.select(*by, "entity_id", F.lit(None).cast("int").alias("hop_distance"), F.lit(None).cast("double").alias("path_confidence"), "_new"))
+        met = both.groupBy(*by, "entity_id").agg(F.max("hop_distance").alias("hop_distance"), F.max("path_confidence").alias("path_confidence"), F.max("_new").alias("_new"))
+        better = F.coalesce(F.col("_new") > F.coalesce("path_confidence", F.lit(-1.0)), F.lit(False))
+        met = met.select(*by, "entity_id", F.coalesce("hop_distance", F.lit(hop)).alias("hop_distance"), F.greatest("path_confidence", "_new").alias("path_confidence"), better.alias("_better"))
+        met = met if hop == depth else kept(met)
+        best, frontier = met.drop("_better"), met.filter("_better").drop("_better", "hop_distance")
+        if hop < depth and frontier.isEmpty():
+            break
+    return best if limit is None else best.orderBy("hop_distance", F.desc("path_confidence"), "entity_id").limit(limit)
 
 
 def in_degrees(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:

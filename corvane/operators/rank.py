@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import scoring, text
@@ -13,12 +15,22 @@ from corvane.session import kept
 LEXICAL_SEEDS, LEXICAL_HITS, PATH_FILES, RECENT_FILES, CANDIDATES, EDGE_CONFIDENCE = 40, 500, 6, 8, 3000, 0.2
 
 
-def analysed(tasks: DataFrame) -> DataFrame:
-    """Tasks (query_id, task, optional includes) with kind, symbols, paths, terms and query clauses."""
+def analysed(tasks: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """Tasks (query_id, task, optional includes) with kind, symbols, paths, terms and query clauses.
+
+    With a lexicon (term, synonym) the terms have their synonyms too, and the clauses those of the synonyms.
+    """
     t = tasks.withColumn("_folded", text.strip_accents("task"))
     t = t.withColumn("a", text.analyze_task(F.col("task"), F.col("_folded"))).withColumn("clauses", text.query_terms(F.col("_folded")))
     include = F.col("includes") if "includes" in tasks.columns else F.array().cast("array<string>")
-    return t.select("query_id", "task", "a.kind", "a.symbols", "a.paths", "a.terms", "clauses", include.alias("includes"))
+    out = t.select("query_id", "task", "a.kind", "a.symbols", "a.paths", "a.terms", "clauses", include.alias("includes"))
+    if lexicon is None:
+        return out
+    more = search.expand_terms(out.select("query_id", F.explode("terms").alias("term")), lexicon).groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
+    wide = out.join(more, "query_id", "left")
+    added = F.array_except(F.coalesce("_terms", F.array().cast("array<string>")), "terms")
+    wide = wide.withColumn("_more", text.strip_accents(F.array_join(added, " ")))
+    return wide.withColumns({"terms": F.array_union("terms", added), "clauses": F.array_union("clauses", text.query_terms(F.col("_more")))}).select(*out.columns)
 
 
 def recent_files(commits: DataFrame, k: int = RECENT_FILES) -> DataFrame:
@@ -42,25 +54,39 @@ def seeds(tasks: DataFrame, entities: DataFrame, files: DataFrame, scores: DataF
     return every.groupBy("query_id", "id").agg(F.transform(F.array_sort(F.collect_set(F.struct("o", "reason"))), lambda x: x["reason"]).alias("reasons"))
 
 
-def rank(tasks: DataFrame, entities: DataFrame, relations: DataFrame, files: DataFrame, postings: DataFrame, lengths: DataFrame, commits: DataFrame, hops: int = 2, weights: dict[str, float] | None = None) -> DataFrame:
-    """Scored candidates of each task: query_id, id, hop_distance, the nine signals, score, reasons."""
-    tasks = analysed(tasks)
+def rank(
+    tasks: DataFrame, entities: DataFrame, relations: DataFrame, files: DataFrame, find: Callable[[DataFrame], DataFrame], commits: DataFrame, hops: int = 2, weights: dict[str, float] | None = None,
+    lexicon: DataFrame | None = None,
+) -> DataFrame:
+    """Scored candidates of each task: query_id, id, hop_distance, the nine signals, score, reasons.
+
+    `find` gives (query_id, id, score) for clauses (query_id, term, is_prefix): a stored index, or BM25 over postings made for the purpose.
+    What is known of an entity alone is joined to the entities; what is known of a task's candidate meets in one grouping by (query_id, id).
+    """
+    tasks = kept(analysed(tasks, lexicon))
     # Sums of doubles depend on their order in the last digits: ties are told at nine.
-    scores = kept(search.bm25(postings, lengths, search.clauses(tasks)).withColumn("score", F.round("score", 9)))
+    scores = kept(find(search.clauses(tasks)).withColumn("score", F.round("score", 9)))
     start = kept(seeds(tasks, entities, files, scores, commits))
     near = graph.neighbors(relations, start.select("query_id", "id"), hops, "BOTH", min_confidence=EDGE_CONFIDENCE, by=["query_id"])
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("hop_distance", F.desc("path_confidence"), "entity_id"))
     near = near.withColumn("_n", order).filter((F.col("_n") <= CANDIDATES) | (F.col("hop_distance") == 0)).select("query_id", F.col("entity_id").alias("id"), "hop_distance")
-    rows = near.join(entities, "id").join(tasks.select("query_id", "kind", "symbols"), "query_id")
-    rows = rows.join(search.normalised(scores, LEXICAL_HITS), ["query_id", "id"], "left").join(graph.in_degrees(relations), "id", "left")
     calls = relations.filter("type = 'CALLS' and target_id is not null")
-    partners = start.select("query_id", F.col("id").alias("source_id")).join(calls, "source_id").select("query_id", F.col("target_id").alias("id"))
-    partners = partners.unionByName(start.select("query_id", F.col("id").alias("target_id")).join(calls, "target_id").select("query_id", F.col("source_id").alias("id"))).distinct().withColumn("_partner", F.lit(1.0))
-    tests = relations.filter("type = 'TESTS'").join(start.select("query_id", F.col("id").alias("target_id")), "target_id").select("query_id", F.col("source_id").alias("id")).distinct().withColumn("_test", F.lit(1.0))
-    rows = rows.join(partners, ["query_id", "id"], "left").join(tests, ["query_id", "id"], "left")
+    called = start.select("query_id", F.col("id").alias("source_id")).join(calls, "source_id").select("query_id", F.col("target_id").alias("id"))
+    calling = start.select("query_id", F.col("id").alias("target_id")).join(calls, "target_id").select("query_id", F.col("source_id").alias("id"))
+    tests = relations.filter("type = 'TESTS'").join(start.select("query_id", F.col("id").alias("target_id")), "target_id").select("query_id", F.col("source_id").alias("id"))
+    facts = {"hop_distance": "int", "lexical": "double", "_partner": "double", "_test": "double", "reasons": "array<string>"}
+
+    def fact(rows: DataFrame, name: str, value: Column) -> DataFrame:
+        return rows.select("query_id", "id", *((value if c == name else F.lit(None)).cast(t).alias(c) for c, t in facts.items()))
+
+    every = fact(near, "hop_distance", F.col("hop_distance"))
+    for rows, name, value in ((search.normalised(scores, LEXICAL_HITS), "lexical", F.col("lexical")), (called.unionByName(calling), "_partner", F.lit(1.0)), (tests, "_test", F.lit(1.0)), (start, "reasons", F.col("reasons"))):
+        every = every.unionByName(fact(rows, name, value))
+    met = every.groupBy("query_id", "id").agg(*(F.max(c).alias(c) for c in facts)).filter("hop_distance is not null")
     touched = commits.groupBy(F.col("path").alias("file_path")).agg(F.max("ts").alias("_ts"))
     newest = commits.agg(F.max("ts").alias("_newest"))
-    rows = rows.join(touched, "file_path", "left").crossJoin(F.broadcast(newest)).join(start, ["query_id", "id"], "left")
+    known = entities.join(graph.in_degrees(relations), "id", "left").join(touched, "file_path", "left").crossJoin(F.broadcast(newest))  # one row
+    rows = met.join(known, "id").join(tasks.select("query_id", "kind", "symbols"), "query_id")
     most = F.greatest(F.lit(1), F.max(F.coalesce("degree", F.lit(0))).over(Window.partitionBy("query_id")))
     signals = {
         "semantic": F.lit(0.0), "lexical": F.coalesce("lexical", F.lit(0.0)), "symbol_match": scoring.symbol_match(F.col("name"), F.col("qualified_name"), F.col("symbols")),

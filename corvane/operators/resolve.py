@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.ids import normalize_path
@@ -52,19 +52,30 @@ def bindings(resolved: DataFrame) -> DataFrame:
     return names.groupBy("file_path", "local_name").agg(F.max_by("path", F.struct("line", "_at", "path")).alias("bound_path"))
 
 
-def candidates(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """Edges with each entity that has their hint as name or qualified name: two equi-joins, no OR."""
-    named = entities.select(F.col("name").alias("target_hint"), F.struct("id", "file_path", "qualified_name", "exported").alias("c"))
-    qualified = entities.filter("qualified_name <> name").select(F.col("qualified_name").alias("target_hint"), F.struct("id", "file_path", "qualified_name", "exported").alias("c"))
-    return edges.join(named.unionByName(qualified), "target_hint")
+#: Stands for any file and for any qualified name in the keys of `summaries`.
+ANY = "\x00"
+
+
+def summaries(entities: DataFrame) -> DataFrame:
+    """(target_hint, in_file, as_name, n, best): how many entities a hint may mean and the first of them, exported before hidden, then by id.
+
+    A hint is an entity's name or qualified name. It is summed up per hint (in_file and as_name are ANY), per file, per
+    qualified name, and per both, so that every rule is a look-up of one row, however many entities share a name.
+    """
+    forms = F.array_distinct(F.array("name", "qualified_name"))
+    rows = entities.select(F.explode(forms).alias("target_hint"), "file_path", "qualified_name", F.struct((~F.col("exported")).alias("hidden"), "id").alias("best")).filter("target_hint is not null")
+    scopes = F.array(*(F.struct(f.alias("in_file"), q.alias("as_name")) for f in (F.lit(ANY), F.col("file_path")) for q in (F.lit(ANY), F.col("qualified_name"))))
+    rows = rows.select("target_hint", F.explode(scopes).alias("_"), "best").select("target_hint", "_.in_file", "_.as_name", "best")
+    return rows.groupBy("target_hint", "in_file", "as_name").agg(F.count(F.lit(1)).alias("n"), F.min("best").alias("best"))
 
 
 def resolve_symbols(edges: DataFrame, entities: DataFrame, bound: DataFrame) -> DataFrame:
     """(*key, new_target, new_resolution, new_confidence) for unresolved edges that have a candidate.
 
-    Every candidate gets the strongest rule that holds for it; the edge takes the least (rule, not exported, id).
-    Rules: 1 the hint is bound to the candidate's file; 2 same class through this/self; 3 constructed class; 4 the
-    receiver is bound to its file; 5 only one in the same file; 6 only one anywhere; then guesses, local first for a member call.
+    An edge asks one summary per rule and takes the least rule that has an answer; of its candidates the first, exported before
+    hidden, then by id. Rules: 1 the hint is bound to the candidate's file; 2 same class through this/self; 3
+    constructed class; 4 the receiver is bound to its file; 5 only one in the same file; 6 only one anywhere; then guesses,
+    local first (7) for a member call, any (8). No edge meets its candidates one by one.
     """
     has = F.from_json("metadata", RELATION_METADATA)["expression"]
     e = edges.withColumn("_expr", has).withColumn("_receiver", F.when(F.col("_expr").contains("."), F.regexp_extract("_expr", r"^(.+)\.[^.]*$", 1)))
@@ -72,24 +83,24 @@ def resolve_symbols(edges: DataFrame, entities: DataFrame, bound: DataFrame) ->
     base = bound.select("file_path", F.col("local_name").alias("_base"), F.col("bound_path").alias("_base_bound"))
     source = entities.select(F.col("id").alias("source_id"), F.split("qualified_name", r"\.")[0].alias("_class"), F.col("file_path").alias("_class_file"))
     e = e.withColumn("_base", F.split("_receiver", r"\.")[0]).join(direct, ["file_path", "target_hint"], "left").join(base, ["file_path", "_base"], "left").join(source, "source_id", "left")
-    m = candidates(e, entities)
-    per_edge = Window.partitionBy(*RELATION_KEY)
-    m = m.withColumns({"_n": F.count(F.lit(1)).over(per_edge), "_local": F.col("c.file_path") == F.col("file_path")})
-    m = m.withColumn("_locals", F.count_if("_local").over(per_edge))
     member = F.col("_expr").isNotNull()
-    inside = member & F.col("_receiver").isin("this", "self") & (F.col("c.file_path") == F.col("_class_file")) & (F.col("c.qualified_name") == F.concat_ws(".", "_class", "target_hint"))
+    own = F.when(member & F.col("_receiver").isin("this", "self"), F.concat_ws(".", "_class", "target_hint"))
     constructed = F.nullif(F.regexp_extract("_receiver", r"^new\s+([A-Za-z_$][\w$]*)", 1), F.lit(""))
-    made = member & (F.col("c.qualified_name") == F.concat(constructed, F.lit("."), F.col("target_hint")))  # null without a constructed class
-    rule = (
-        F.when(F.col("c.file_path") == F.col("_bound"), 1).when(inside, 2).when(made, 3).when(member & (F.col("c.file_path") == F.col("_base_bound")), 4)
-        .when(~member & F.col("_local") & (F.col("_locals") == 1), 5).when(~member & (F.col("_n") == 1), 6).when(member & F.col("_local"), 7).otherwise(8)
+    made = F.when(member, F.concat(constructed, F.lit("."), F.col("target_hint")))
+    any_ = F.lit(ANY)
+    asked = (
+        (1, F.col("_bound"), any_), (2, F.when(own.isNotNull(), F.col("_class_file")), own), (3, F.when(made.isNotNull(), any_), made), (4, F.when(member, F.col("_base_bound")), any_),
+        (7, F.col("file_path"), any_), (8, any_, any_),
     )
-    m = m.withColumn("_rule", rule)
-    order = F.struct("_rule", (~F.col("c.exported")).alias("_hidden"), F.col("c.id").alias("_id"))
-    best = m.groupBy(*RELATION_KEY).agg(F.min(order).alias("_best"), F.first("_n").alias("_n"))
+    probes = F.filter(F.array(*(F.struct(F.lit(r).alias("rule"), f.alias("in_file"), q.alias("as_name")) for r, f, q in asked)), lambda x: x["in_file"].isNotNull() & x["as_name"].isNotNull())
+    rows = e.select(*RELATION_KEY, member.alias("_member"), F.explode(probes).alias("_")).select(*RELATION_KEY, "_member", "_.*")
+    rows = rows.join(summaries(entities), ["target_hint", "in_file", "as_name"])
+    alone = ~F.col("_member") & (F.col("n") == 1)
+    rule = F.when(F.col("rule") == 7, F.when(alone, 5).when(F.col("_member"), 7)).when((F.col("rule") == 8) & alone, 6).otherwise(F.col("rule"))
+    best = rows.withColumn("_rule", rule).groupBy(*RELATION_KEY).agg(F.min(F.when(F.col("_rule").isNotNull(), F.struct("_rule", "best"))).alias("_best"), F.max(F.when(F.col("rule") == 8, F.col("n"))).alias("_n"))
     tier = F.when(F.col("_best._rule") <= 3, "EXACT").when(F.col("_best._rule") <= 6, "SCOPED").otherwise("AMBIGUOUS")
     confidence = F.when(tier == "EXACT", 1.0).when(tier == "SCOPED", 0.75).otherwise(ambiguous_confidence(F.col("_n")))
-    return best.select(*RELATION_KEY, F.col("_best._id").alias("new_target"), tier.alias("new_resolution"), confidence.alias("new_confidence"))
+    return best.select(*RELATION_KEY, F.col("_best.best.id").alias("new_target"), tier.alias("new_resolution"), confidence.alias("new_confidence"))
 
 
 def resolve_all(relations: DataFrame, entities: DataFrame, files: DataFrame) -> DataFrame:

@@ -31,37 +31,47 @@ def postings(docs: DataFrame, columns: dict[str, float] | None = None, asked: Da
     for p in parts[1:]:
         every = every.unionByName(p)
     if asked is not None:
-        kinds = asked.select("term", "is_prefix").distinct()
-        whole = kinds.filter("not is_prefix").select("term", F.lit(True).alias("_whole"))
-        begun = kinds.filter("is_prefix").select(F.col("term").alias("_p"), F.lit(True).alias("_begun"))
-        every = every.withColumn("_p", F.when(F.length("term") >= PREFIX, F.substring("term", 1, PREFIX)))
-        every = every.join(whole, "term", "left").join(begun, "_p", "left").filter("_whole or _begun")
+        every = asked_only(every, asked)
     found = every.groupBy("term", "id").agg(F.sum("w").alias("f"))
     length = sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0))
     return found, docs.select("id", length.alias("length"))
 
 
+def asked_only(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows (with a column term) whose term is a clause of `asked` or begins with a prefix clause."""
+    kinds = asked.select("term", "is_prefix").distinct()
+    whole = kinds.filter("not is_prefix").select("term", F.lit(True).alias("_whole"))
+    begun = kinds.filter("is_prefix").select(F.col("term").alias("_p"), F.lit(True).alias("_begun"))
+    rows = rows.withColumn("_p", F.when(F.length("term") >= PREFIX, F.substring("term", 1, PREFIX)))
+    return rows.join(whole, "term", "left").join(begun, "_p", "left").filter("_whole or _begun")
+
+
 def clauses(terms: DataFrame) -> DataFrame:
     """Rows (query_id, term, is_prefix) of a table (query_id, clauses)."""
     return terms.select("query_id", F.explode("clauses").alias("c")).select("query_id", "c.term", "c.is_prefix").distinct()
 
 
-def bm25(found: DataFrame, lengths: DataFrame, asked: DataFrame) -> DataFrame:
+def bm25(found: DataFrame, lengths: DataFrame | None, asked: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score) for all documents that meet a clause of `asked` (query_id, term, is_prefix).
 
+    Postings that carry their document's length need no `lengths`, and `corpus` (n_docs, mean: one row) then.
+
     The query terms are joined first, so only their postings move. A prefix clause is one term whose count is the sum
     over the words that begin with it; prefixes have a fixed length, so they too are an equi-join.
     """
     whole = asked.filter("not is_prefix").select("query_id", F.col("term").alias("clause"), F.lit(False).alias("is_prefix"))
     part = asked.filter("is_prefix").select("query_id", F.col("term").alias("clause"), F.lit(True).alias("is_prefix"))
     kinds = asked.select(F.col("term").alias("clause"), "is_prefix").distinct()
-    exact = found.join(kinds.filter("not is_prefix"), F.col("term") == F.col("clause")).select("clause", "is_prefix", "id", "f")
+    own = ["length"] if lengths is None else []
+    exact = found.join(kinds.filter("not is_prefix"), F.col("term") == F.col("clause")).select("clause", "is_prefix", "id", "f", *own)
     begun = found.filter(F.length("term") >= PREFIX).withColumn("_p", F.substring("term", 1, PREFIX))
-    begun = begun.join(kinds.filter("is_prefix"), F.col("_p") == F.col("clause")).groupBy("clause", "is_prefix", "id").agg(F.sum("f").alias("f"))
+    begun = begun.join(kinds.filter("is_prefix"), F.col("_p") == F.col("clause")).groupBy("clause", "is_prefix", "id").agg(F.sum("f").alias("f"), *(F.first(c).alias(c) for c in own))
     hits = exact.unionByName(begun)
     spread = hits.groupBy("clause", "is_prefix").agg(F.count(F.lit(1)).alias("n"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"))
-    hits = hits.join(spread, ["clause", "is_prefix"]).join(lengths, "id").crossJoin(F.broadcast(corpus))  # one row
+    if corpus is None:
+        corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"))
+    hits = hits.join(spread, ["clause", "is_prefix"])
+    hits = (hits.join(lengths, "id") if lengths is not None else hits).crossJoin(F.broadcast(corpus))  # one row
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(IDF_LEAST))
     part_score = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     hits = hits.select("clause", "is_prefix", "id", part_score.alias("s"))
@@ -83,18 +93,29 @@ def normalised(scores: DataFrame, k: int = 500) -> DataFrame:
 def paths_with_terms(files: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, path): the k shortest paths that contain a term of `asked` (query_id, terms), case-free.
 
-    A path that contains a term contains its first letters: the paths' pieces of that length meet them in an equi-join.
+    A path that contains a term contains its first `PREFIX` letters: the paths' pieces of that length meet them in an equi-join. Terms of
+    tasks are no shorter; a shorter one, of whatever length, meets pieces of its own length.
     """
     terms = asked.select("query_id", F.explode("terms").alias("_t")).select("query_id", F.lower("_t").alias("_t")).filter("_t <> ''").distinct()
-    size = terms.agg(F.min(F.length("_t"))).first()[0] or 1  # of the shortest term
+    terms = terms.withColumn("_piece", F.substring("_t", 1, PREFIX))
     low = F.lower("path")
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - size + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(size))))
-    paths = files.select("path").distinct().select("path", F.explode(pieces).alias("_piece"))
-    met = paths.join(terms.withColumn("_piece", F.substring("_t", 1, size)), "_piece").filter(F.lower("path").contains(F.col("_t"))).select("query_id", "path").distinct()
+    begins = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+    long = files.select("path").distinct().select("path", F.explode(F.array_distinct(F.transform(begins, lambda i: F.substring(low, i, F.lit(PREFIX))))).alias("_piece"))
+    met = long.join(terms.filter(F.length("_piece") == PREFIX), "_piece").filter(F.lower("path").contains(F.col("_t"))).select("query_id", "path")
+    sizes = terms.filter(F.length("_piece") < PREFIX).select(F.length("_piece").alias("_size")).distinct()  # a row for each of the lengths below PREFIX at most
+    short = long.select("path", "_piece").join(F.broadcast(sizes), F.length("_piece") >= F.col("_size")).select("path", F.substring(F.col("_piece"), F.lit(1), F.col("_size")).alias("_piece")).distinct()
+    met = met.unionByName(short.join(terms.filter(F.length("_piece") < PREFIX), "_piece").select("query_id", "path")).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.length("path"), "path"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "path", "rank")
 
 
+def lexicon(groups: DataFrame) -> DataFrame:
+    """(term, synonym) of groups of synonyms (column words, an array): each word of a group stands for its others. Groups that share a word aren't one."""
+    low = groups.select(F.array_distinct(F.transform("words", lambda w: F.lower(F.trim(w)))).alias("_g"))
+    pairs = low.select("_g", F.explode("_g").alias("term")).select("term", F.explode("_g").alias("synonym"))
+    return pairs.filter("term <> synonym and term <> '' and synonym <> ''").distinct()
+
+
 def expand_terms(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(query_id, term): the terms and their synonyms of a symmetric lexicon (term, synonym)."""
     both = lexicon.select("term", "synonym").unionByName(lexicon.select(F.col("synonym").alias("term"), F.col("term").alias("synonym"))).distinct()

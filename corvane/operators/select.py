@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import scoring
 from corvane.functions.text import estimate_tokens
+from corvane.session import kept
 
 FULL_SCORE, REFERENCE_COST, MAX_FILES = 55.0, 12, 12
 LEVELS = ("FULL", "SIGNATURE", "REFERENCE")
@@ -39,32 +39,49 @@ def greedy(ranked: DataFrame, budgets: DataFrame, max_files: int = MAX_FILES) ->
     """Decisions (query_id, id, detail, tokens, reason) over candidates with costs n_full, n_signature and n_reference.
 
     In order of score, density and id a candidate takes the richest level that fits, FULL only from a score of 55 or
-    as a seed. Detail is null for those left out, with the reason. The state is sequential, so each task is one group,
-    which the candidate limit bounds. `budgets`: query_id, budget.
-    """
+    as a seed. Detail is null for those left out, with the reason. `budgets`: query_id, budget.
 
-    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, files, out = int(rows["budget"].iloc[0]), set(), []
-        rows = rows.assign(_d=rows["score"] / rows["token_estimate"].clip(lower=1)).sort_values(["score", "_d", "id"], ascending=[False, False, True])
-        for r in rows.itertuples():
-            detail, tokens, reason = None, 0, "budget"
-            if r.file_path not in files and len(files) >= max_files:
-                reason = "files"
-            elif left > REFERENCE_COST:
-                for level in LEVELS[0 if r.score >= FULL_SCORE or r.hop_distance == 0 else 1 :]:
-                    cost = getattr(r, f"n_{level.lower()}")
-                    if cost == cost and cost is not None and cost <= left:
-                        detail, tokens, reason = level, int(cost), None
-                        break
-            if detail:
-                left -= tokens
-                files.add(r.file_path)
-            out.append((r.query_id, r.id, r.file_path, float(r.score), detail, tokens, reason))
-        return pd.DataFrame(out, columns=["query_id", "id", "file_path", "score", "detail", "tokens", "reason"])
-
-    rows = ranked.select("query_id", "id", "file_path", "score", "token_estimate", "hop_distance", "n_full", "n_signature", "n_reference").join(budgets, "query_id")
-    kind = dict(rows.dtypes)["query_id"]
-    return rows.groupBy("query_id").applyInPandas(choose, f"query_id {kind}, id string, file_path string, score double, detail string, tokens int, reason string")
+    What is left only shrinks, so a level that costs more than is left now will never fit and goes at once. Of the candidates that
+    have a level, the longest prefix whose richest levels fit together, with their new files, is taken in one round by running
+    sums; then levels are struck again for the smaller rest. Each round takes the first open candidate of a task at least, and a task
+    ends when no candidate has a level. Rounds are written tables; there is no Python in them.
+    """
+    density = F.col("score") / F.greatest(F.col("token_estimate"), F.lit(1))
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(density), "id"))
+    rich = (F.col("score") >= FULL_SCORE) | (F.col("hop_distance") == 0)
+    costs = F.array(*(F.struct(F.lit(x).alias("level"), (F.when(rich, F.col("n_full")) if x == "FULL" else F.col(f"n_{x.lower()}")).cast("int").alias("cost")) for x in LEVELS))
+    rows = ranked.join(budgets, "query_id").select("query_id", "id", "file_path", "score", order.alias("_n"), F.filter(costs, lambda c: c["cost"].isNotNull()).alias("_costs"), F.col("budget").alias("_left"))
+    start = kept(rows)
+    state = start.withColumns({"_files": F.lit(0), "_known": F.lit(False)})
+    query, running = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy("_n")
+    taken = []
+    while True:
+        fits = F.filter("_costs", lambda c: c["cost"] <= F.col("_left"))
+        now = state.withColumn("_costs", fits).filter((F.size("_costs") > 0) & (F.col("_left") > REFERENCE_COST) & (F.col("_known") | (F.col("_files") < max_files)))
+        own = F.col("_costs")[0]["cost"]
+        first = ~F.col("_known") & (F.row_number().over(Window.partitionBy("query_id", "file_path").orderBy("_n")) == 1)
+        now = now.withColumns({"_own": own, "_first": first})
+        now = now.withColumns({"_sum": F.sum("_own").over(running), "_new": F.count_if("_first").over(running)})
+        safe = (F.col("_sum") <= F.col("_left")) & (F.col("_left") - F.col("_sum") + F.col("_own") > REFERENCE_COST) & (F.col("_files") + F.col("_new") <= max_files)  # once false, false from there on
+        now = now.withColumn("_safe", safe).withColumns({
+            "_spent": F.coalesce(F.sum(F.when(F.col("_safe"), F.col("_own"))).over(query), F.lit(0)), "_opened": F.count_if(F.col("_safe") & F.col("_first")).over(query),
+            "_mine": F.max("_safe").over(Window.partitionBy("query_id", "file_path")),
+        })
+        now = kept(now)
+        taken.append(now.filter("_safe").select("query_id", "id", "_n", F.col("_costs")[0]["level"].alias("detail"), F.col("_own").alias("tokens")))
+        state = now.filter("not _safe").select(*start.columns[:-1], (F.col("_left") - F.col("_spent")).cast("int").alias("_left"), (F.col("_files") + F.col("_opened")).cast("int").alias("_files"), (F.col("_known") | F.col("_mine")).alias("_known"))
+        if state.isEmpty():
+            break
+    chosen = taken[0]
+    for t in taken[1:]:
+        chosen = chosen.unionByName(t)
+    out = start.drop("_costs", "_left").join(chosen.select("query_id", "_n", "detail", "tokens"), ["query_id", "_n"], "left")
+    # A candidate that is left out was so for its file if twelve others were open at its turn and its own was not.
+    picked = F.col("detail").isNotNull()
+    opener = picked & (F.row_number().over(Window.partitionBy("query_id", "file_path").orderBy(~picked, "_n")) == 1)
+    out = out.withColumn("_opener", opener).withColumns({"_before": F.count_if("_opener").over(running), "_since": F.min(F.when(picked, F.col("_n"))).over(Window.partitionBy("query_id", "file_path"))})
+    full = (F.col("_before") >= max_files) & (F.col("_since").isNull() | (F.col("_since") > F.col("_n")))
+    return out.select("query_id", "id", "file_path", F.col("score").cast("double").alias("score"), "detail", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.when(~picked, F.when(full, "files").otherwise("budget")).alias("reason"))
 
 
 def metrics(decisions: DataFrame, budgets: DataFrame, total_tokens: DataFrame) -> DataFrame:

@@ -485,7 +485,7 @@ def _code_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _ranked(spark: SparkSession, sf_dir: str, x: dict[str, DataFrame]) -> DataFrame:
-    return rank.rank(views.tasks(spark, sf_dir), x["entities"], x["relations"], x["files"], x["postings"], x["lengths"], x["commits"])
+    return rank.rank(views.tasks(spark, sf_dir), x["entities"], x["relations"], x["files"], lambda asked: search.bm25(x["postings"], x["lengths"], asked), x["commits"])
 
 
 @query()

@@ -14,7 +14,7 @@ FILE = ".corvane/config.json"
 def defaults(name: str) -> dict:
     return {
         "project": {"name": name}, "indexing": {"excludes": list(DEFAULT_EXCLUDES), "max_file_bytes": 1 << 20}, "security": {"deny_paths": list(DENY_PATHS), "secret_guard": True},
-        "context": {"budget": 20_000, "margin": 0.05, "max_hops": 2, "dictionary": {}},
+        "context": {"budget": 20_000, "margin": 0.05, "max_hops": 2, "dictionary": []},
     }
 
 
@@ -25,6 +25,13 @@ def merge(base: dict, over: dict) -> dict:
     return out
 
 
+def synonym_groups(config: dict) -> list[list[str]]:
+    """The configured groups of synonyms: a list of lists, or the values of an object whose keys belong to their groups."""
+    own = config["context"].get("dictionary") or []
+    groups = [[k, *v] for k, v in own.items()] if isinstance(own, dict) else own
+    return [[str(w) for w in g] for g in groups if len(g) > 1]
+
+
 def load(root: str) -> dict:
     path = Path(root, FILE)
     own = json.loads(path.read_text()) if path.exists() else {}

@@ -1,7 +1,13 @@
-"""Scan of a source tree: cheap tests on paths and sizes first, contents read for what is left."""
+"""Scan of a source tree: a pruned walk, cheap tests on paths and sizes, and contents read for what is left alone."""
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urlparse
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,35 +15,127 @@ from corvane.functions.ids import content_hash, language
 from corvane.functions.text import estimate_tokens, line_count
 from corvane.functions.words import DEFAULT_EXCLUDES, DENY_PATHS, PARSED_LANGUAGES
 from corvane.operators.changes import unread
+from corvane.session import kept
 from corvane.sources import ignore, secrets
 
 MAX_BYTES, BINARY_SNIFF = 1 << 20, 8000
-ALWAYS = (".git/", "node_modules/")
-
-
-def _relative(root: str) -> Column:
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    return F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), "^/*" + _quoted(base.lstrip("/")) + "/", "")
-
+ALWAYS = (".git/", ".corvane/", "node_modules/")
+
+
+#: Folders that one task opens below each of its starting folders before it hands the rest on.
+QUOTA = 256
+LISTED = "path string, kind string, mtime_ms double, size_bytes long"
+
+
+def local_path(root: str) -> str | None:
+    """The path of a root on a file system that is mounted on every machine; None where it is another store."""
+    return unquote(urlparse(root).path) if root.startswith("file:") else None if "://" in root else root
+
+
+def _entries(root: str, folder: str) -> Iterator[tuple[str, bool, float, int]]:
+    """(name, is a folder, mtime_ms, size) of what a folder holds; links are left out, so a walk can't go round."""
+    base = local_path(root)
+    if base is not None:
+        with os.scandir(os.path.join(base, folder)) as found:
+            for e in found:
+                if e.is_dir(follow_symlinks=False):
+                    yield e.name, True, 0.0, 0
+                elif e.is_file(follow_symlinks=False):
+                    stat = e.stat(follow_symlinks=False)
+                    yield e.name, False, stat.st_mtime_ns / 1e6, stat.st_size
+        return
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(root)
+    for info in system.get_file_info(fs.FileSelector(f"{at.rstrip('/')}/{folder}".rstrip("/"))):
+        yield info.base_name, info.type == fs.FileType.Directory, (info.mtime_ns or 0) / 1e6, info.size or 0
+
+
+def _pruned(ignores: list[ignore.Rule]) -> Callable[[str, str], bool]:
+    """Whether a folder (path, name) isn't opened: one that is never read, or an ignored one if no rule brings anything back."""
+    always = {x.rstrip("/") for x in ALWAYS}
+    last_first = [] if any(r.negated for r in ignores) else [re.compile(r.regex) for r in reversed(ignores)]
+    return lambda path, name: name in always or any(r.search(path) for r in last_first)
+
+
+def _walker(root: str, ignores: list[ignore.Rule], quota: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pruned = _pruned(ignores)
+        for start in (p for batch in batches for p in batch.column("path").to_pylist()):
+            rows, todo = [], [start]
+            while todo and len(rows) < quota * 64 and sum(1 for r in rows if r[1] == "folder") < quota:
+                folder = todo.pop()
+                try:
+                    for name, is_folder, mtime, size in _entries(root, folder):
+                        path = f"{folder}/{name}" if folder else name
+                        if not is_folder:
+                            rows.append((path, "file", mtime, size))
+                        elif not pruned(path, name):
+                            todo.append(path)
+                    rows.append((folder, "folder", 0.0, 0))
+                except OSError:
+                    rows.append((folder, "unreadable", 0.0, 0))
+            rows += [(folder, "open", 0.0, 0) for folder in todo]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["path", "kind", "mtime_ms", "size_bytes"])
+
+    return run
+
+
+def walk(spark: SparkSession, root: str, ignores: list[ignore.Rule], quota: int = QUOTA) -> DataFrame:
+    """(path, kind, mtime_ms, size_bytes): the files below the root, and the folders that were opened or couldn't be (unreadable).
+
+    Folders are rows. Tasks open them, a bounded number below each, and what they leave is dealt out again in the next
+    round; a folder that the rules prune is never opened.
+    """
+    frontier, parts = spark.createDataFrame([("",)], "path string"), []
+    many = 1
+    while many:
+        tasks = min(many, max(spark.sparkContext.defaultParallelism, many // quota))
+        parts.append(kept(frontier.repartition(tasks).mapInArrow(_walker(root, ignores, quota), LISTED)))
+        frontier = parts[-1].filter("kind = 'open'").select("path")
+        many = frontier.count()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.filter("kind <> 'open'")
+
+
+def opened(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """`files` (path and other columns) with the bytes of each as `content`; only these files are opened, each by one task.
+
+    A file that is gone by now gives no row.
+    """
+    base, names = local_path(root), files.columns
 
-def contents(spark: SparkSession, root: str, files: list[str]) -> DataFrame:
-    """(path, content) of the given files under the root, as text; no other file is opened."""
-    return spark.read.format("binaryFile").load(files).select(_relative(root).alias("path"), F.decode("content", "UTF-8").alias("content"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                try:
+                    if base is not None:
+                        with open(os.path.join(base, path), "rb") as f:
+                            content = f.read()
+                    else:
+                        from pyarrow import fs
 
+                        system, at = fs.FileSystem.from_uri(root)
+                        with system.open_input_stream(f"{at.rstrip('/')}/{path}") as f:
+                            content = f.read()
+                except OSError:
+                    continue
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], names=[*names, "content"])
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, url, mtime_ms, size_bytes) of all files under the root; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(_relative(root).alias("path"), F.col("path").alias("url"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), F.col("length").alias("size_bytes"))
+    return files.hint("rebalance").mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in files.dtypes) + ", content binary")
 
 
-def _quoted(s: str) -> str:
-    return "".join("\\" + c if c in r".+*?^$()[]{}|\\" else c for c in s)
+def contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """(path, content) of the given files (path) under the root, as text; no other file is opened."""
+    return opened(spark, root, files.select("path").distinct()).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
 def rules(spark: SparkSession, root: str, excludes: tuple[str, ...] = DEFAULT_EXCLUDES) -> list[ignore.Rule]:
     """Configured excludes, then the root's own ignore file, which may override them."""
-    own = spark.read.format("binaryFile").option("pathGlobFilter", ".gitignore").load(root).select(F.col("content").cast("string")).collect()
+    own = opened(spark, root, spark.createDataFrame([(".gitignore",)], "path string")).select(F.col("content").cast("string")).collect()
     return [r for r in map(ignore.compile_line, (*ALWAYS, *excludes)) if r] + [r for x in own for r in ignore.compile_lines(x[0])]
 
 
@@ -70,13 +168,15 @@ def file_rows(read: DataFrame) -> DataFrame:
 def scan(spark: SparkSession, root: str, known: DataFrame | None = None, ignores: list[ignore.Rule] | None = None, deny: tuple[str, ...] = DENY_PATHS, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(rows, unchanged): index rows with contents of new or touched files, and paths that time and size prove unchanged.
 
-    Ignored files give no row. `known` has path, mtime_ms and size_bytes. The contents are read only for the rows.
+    Ignored files give no row, and folders that hold nothing else are not opened. `known` has path, mtime_ms and size_bytes. A
+    file is opened only if it has a row and no state of its path.
     """
-    found = listing(spark, root).withColumn("state", path_state(F.col("path"), F.col("size_bytes"), ignores if ignores is not None else rules(spark, root), deny, max_bytes)).filter("state is null or state <> 'SKIPPED_IGNORED'")
+    ignores = ignores if ignores is not None else rules(spark, root)
+    files = walk(spark, root, ignores).filter("kind = 'file'").select("path", "mtime_ms", "size_bytes")
+    found = files.withColumn("state", path_state(F.col("path"), F.col("size_bytes"), ignores, deny, max_bytes)).filter("state is null or state <> 'SKIPPED_IGNORED'")
     fresh = unread(found, known) if known is not None else found
     same = found.join(known.select("path", "mtime_ms", "size_bytes"), ["path", "mtime_ms", "size_bytes"], "left_semi").select("path") if known is not None else found.select("path").limit(0)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= max_bytes).select(F.col("path").alias("url"), "content")
-    wanted = fresh.filter("state is null").join(raw, "url")
+    wanted = opened(spark, root, fresh.filter("state is null"))
     rest = fresh.filter("state is not null").withColumn("content", F.lit(None).cast("binary"))
     names = ["path", "mtime_ms", "size_bytes", "content", "state"]
     return file_rows(wanted.select(*names).unionByName(rest.select(*names))), same
