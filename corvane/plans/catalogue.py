@@ -635,4 +635,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.join(cost, "id").crossJoin(F.broadcast(every)).select("query_id", "id", "source", "rank", "score", "tokens", (1 - total / F.col("all_tokens")).alias("reduction"))
 
 
-from corvane.plans import lookups  # noqa: E402,F401  its queries register themselves here
+from corvane.plans import lookups, projects  # noqa: E402,F401  their queries register themselves here
