@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -143,17 +144,23 @@ class Project:
 
     def context(self, task: str, budget: int | None = None, hops: int | None = None, include: list[str] | None = None, weights: dict[str, float] | None = None) -> dict:
         """The selected items, what was left out, metrics and the package as text."""
-        own = self.config["context"]
         tasks = self.spark.createDataFrame([(0, task, include or [])], "query_id int, task string, includes array<string>")
-        budgets = select.budgets(tasks, budget or own["budget"], own["margin"])
         base = self.store.current()
-        files, relations, entities = (self.store.read(t, base) for t in ("files", "relations", "entities"))
+        index = {t: self.store.read(t, base) for t in ("files", "entities", "relations")}
         commits = history.touched(history.commits(self.spark, self.root))
-        ranked = kept(rank.score_floor(rank.rank(tasks, entities, relations, files, self._postings(base).scores, commits, hops if hops is not None else own["max_hops"], weights, self.lexicon())))
-        read = scan.contents(self.spark, self.root, ranked.select(F.col("file_path").alias("path")))
-        costed = kept(select.rendered(ranked, relations, read, entities))
+        return self._selected(tasks, index, self._postings(base).scores, commits, lambda paths: scan.contents(self.spark, self.root, paths), budget, hops, weights)
+
+    def _selected(
+        self, tasks: DataFrame, index: dict[str, DataFrame], find: Callable[[DataFrame], DataFrame], commits: DataFrame, contents: Callable[[DataFrame], DataFrame], budget: int | None = None,
+        hops: int | None = None, weights: dict[str, float] | None = None,
+    ) -> dict:
+        """What `context` returns, for one task over any state of the index."""
+        own = self.config["context"]
+        budgets = select.budgets(tasks, budget or own["budget"], own["margin"])
+        ranked = kept(rank.score_floor(rank.rank(tasks, index["entities"], index["relations"], index["files"], find, commits, hops if hops is not None else own["max_hops"], weights, self.lexicon())))
+        costed = kept(select.rendered(ranked, index["relations"], contents(ranked.select(F.col("file_path").alias("path"))), index["entities"]))
         decisions = kept(select.greedy(costed, budgets))
-        total = files.agg(F.coalesce(F.sum("token_estimate"), F.lit(0)).alias("total_tokens"))
+        total = index["files"].agg(F.coalesce(F.sum("token_estimate"), F.lit(0)).alias("total_tokens"))
         return {
             "kind": rank.analysed(tasks).first()["kind"], "items": [r.asDict() for r in decisions.filter("detail is not null").orderBy("file_path", F.desc(F.round("score")), "id").collect()],
             "omitted": [r.asDict() for r in decisions.filter("detail is null").orderBy(F.desc("score"), "id").collect()], "metrics": [r.asDict() for r in select.metrics(decisions, budgets, total).collect()],
@@ -178,18 +185,45 @@ class Project:
             "top_languages": rows(stats.counts(files, "language", 4)), "parse_states": rows(stats.counts(files, "parse_state")), "skipped": rows(stats.skip_reasons(files)), "resolution": rows(stats.resolution_report(relations)), "meta": self.store.meta(),
         }
 
+    def state_before(self, points: dict[str, int]) -> DataFrame:
+        """(case_id, path, blob, content and the columns of files) as they were at the commits of `points` (name to number on the first-parent chain).
+
+        Each blob of a path is read and looked at once, however many cases hold it.
+        """
+        held = kept(history.as_of(history.intervals(history.changes(self.spark, self.root)), points))
+        state = scan.path_state(F.col("path"), F.lit(0), self._rules(), tuple(self.config["security"]["deny_paths"]))
+        once = history.blobs(self.root, held.select("path", "blob").distinct().filter(state.isNull()))
+        size = F.octet_length("content").cast("long")
+        most = self.config["indexing"]["max_file_bytes"]
+        read = once.select("path", "blob", F.lit(0.0).alias("mtime_ms"), size.alias("size_bytes"), F.when(size <= most, F.col("content")).alias("content"), F.when(size > most, "SKIPPED_TOO_LARGE").alias("state"))
+        return held.join(scan.file_rows(read, "blob"), ["path", "blob"])
+
     def bench(self, limit: int = 20, budget: int = 20_000) -> dict:
-        """Recall and precision of contexts on the project's own commits, with the present index as the state before."""
-        cases = evaluate.corpus(history.commits(self.spark, self.root, limit * 6), limit).collect()
+        """Recall and precision of contexts on the project's own commits, each asked of the index as it was before its commit."""
+        chain = history.changes(self.spark, self.root).select("sha", "n").distinct()
+        every = kept(history.commits(self.spark, self.root, limit * 6).join(chain, "sha"))
+        rejected = every.withColumn("reason", evaluate.reject_reason(F.col("subject"), F.col("files"))).filter("reason is not null").groupBy("reason").count()
+        cases = evaluate.corpus(every.drop("n"), limit).join(every.select("sha", "ts", F.col("n").alias("at")), "sha").orderBy("n").collect()
+        files = kept(self.state_before({c["sha"]: c["at"] - 1 for c in cases}))
+        sources = files.filter(F.col("parse_state").isin("OK") & F.col("language").isin(*PARSED_LANGUAGES)).select("path", "blob", "language", "content").dropDuplicates(["path", "blob"])
+        found = kept(registry.extracted(sources, "blob"))
         chosen, gold, times = [], [], []
         for c in cases:
+            own = files.filter(F.col("case_id") == c["sha"])
+            got = found.join(own.select("path", "blob"), ["path", "blob"], "left_semi")
+            entities = kept(registry.entities(got))
+            index = {"files": own, "entities": entities, "relations": kept(resolve.resolve_all(changes.dedup_relations(registry.relations(got)), entities, own))}
+            postings, lengths = search.postings(search_documents(entities))
+            earlier = history.touched(every.filter(F.col("n") < c["at"]))
+            tasks = self.spark.createDataFrame([(0, c["task"], [])], "query_id int, task string, includes array<string>")
             began = time.time()
-            chosen += [(c["sha"], i["file_path"]) for i in self.context(c["task"], budget)["items"]]
+            out = self._selected(tasks, index, lambda asked, p=postings, n=lengths: search.bm25(p, n, asked), earlier, lambda paths, o=own: o.join(paths.distinct(), "path", "left_semi").select("path", "content"), budget)
             times.append((c["sha"], (time.time() - began) * 1000))
+            chosen += [(c["sha"], i["file_path"]) for i in out["items"]]
             gold += [(c["sha"], p) for p in c["expected"]]
         frame = lambda rows, ddl: self.spark.createDataFrame(rows, ddl)
-        results = evaluate.case_results(frame(chosen, "case_id string, path string"), frame(gold, "case_id string, path string"))
-        return evaluate.report(results.join(frame(times, "case_id string, ms double"), "case_id"), "ms").first().asDict()
+        results = evaluate.case_results(frame(chosen, "case_id string, path string"), frame(gold, "case_id string, path string")).join(frame(times, "case_id string, ms double"), "case_id")
+        return evaluate.report(results, "ms").first().asDict() | {"worst": [r.asDict() for r in evaluate.worst(results).collect()], "rejected": {r["reason"]: r["count"] for r in rejected.collect()}}
 
 
 def search_documents(entities: DataFrame) -> DataFrame:

@@ -29,24 +29,28 @@ def supports(language: str) -> bool:
     return language in EXTRACTORS
 
 
-def extracted(sources: DataFrame) -> DataFrame:
+def extracted(sources: DataFrame, key: str | None = None) -> DataFrame:
     """(path, parse_state, parse_error, entities, relations) of sources (path, language, content), rows as JSON arrays.
 
+    With `key` its column of text comes along, as where a path has several contents.
+
     A language without an extractor gives no rows. A broken source gives what can be read of it.
     """
 
+    names = ["path", "language", "content", *([key] if key else [])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, language, content in zip(batch["path"], batch["language"], batch["content"], strict=True):
+            for path, language, content, *rest in zip(*(batch[c] for c in names), strict=True):
                 if language not in EXTRACTORS or content is None:
-                    rows.append((path, "UNSUPPORTED_LANGUAGE", None, "[]", "[]"))
+                    rows.append((path, "UNSUPPORTED_LANGUAGE", None, "[]", "[]", *rest))
                     continue
                 got = EXTRACTORS[language](path, content)
-                rows.append((path, "PARSE_ERROR" if got.partial else "OK", "syntax error" if got.partial else None, json.dumps(got.entities), json.dumps(got.relations)))
-            yield pd.DataFrame(rows, columns=["path", "parse_state", "parse_error", "entities", "relations"])
+                rows.append((path, "PARSE_ERROR" if got.partial else "OK", "syntax error" if got.partial else None, json.dumps(got.entities), json.dumps(got.relations), *rest))
+            yield pd.DataFrame(rows, columns=["path", "parse_state", "parse_error", "entities", "relations", *names[3:]])
 
-    return sources.select("path", "language", "content").mapInPandas(run, "path string, parse_state string, parse_error string, entities string, relations string")
+    return sources.select(*names).mapInPandas(run, "path string, parse_state string, parse_error string, entities string, relations string" + (f", {key} string" if key else ""))
 
 
 def entities(found: DataFrame) -> DataFrame:

@@ -149,8 +149,8 @@ def content_state(content: Column) -> Column:
     return F.when(F.position(F.lit(b"\x00"), F.substring(content, 1, BINARY_SNIFF)) > 0, "SKIPPED_BINARY").when(secrets.content_reason(content.cast("string")).isNotNull(), "SKIPPED_SECRET")
 
 
-def file_rows(read: DataFrame) -> DataFrame:
-    """Index rows of files (path, mtime_ms, size_bytes, content bytes or null, state or null)."""
+def file_rows(read: DataFrame, *keys: str) -> DataFrame:
+    """Index rows of files (path, mtime_ms, size_bytes, content bytes or null, state or null), with the columns `keys` as they are."""
     text = F.decode("content", "UTF-8")
     state = F.coalesce("state", content_state(F.col("content")))
     skipped = state.isNotNull()
@@ -158,7 +158,7 @@ def file_rows(read: DataFrame) -> DataFrame:
     out = read.withColumns({"_state": state, "language": lang})
     body = F.when(~skipped, text)
     return out.select(
-        "path", "language", "size_bytes", F.coalesce(F.when(~skipped, line_count(text)), F.lit(0)).cast("int").alias("line_count"),
+        *keys, "path", "language", "size_bytes", F.coalesce(F.when(~skipped, line_count(text)), F.lit(0)).cast("int").alias("line_count"),
         F.when(skipped, F.concat(F.lit("skipped:"), state, F.lit(":"), F.col("size_bytes").cast("string"))).otherwise(content_hash(text)).alias("content_hash"),
         F.coalesce("_state", F.when(lang.isin(*PARSED_LANGUAGES), "OK").otherwise("UNSUPPORTED_LANGUAGE")).alias("parse_state"), F.lit(None).cast("string").alias("parse_error"),
         F.unix_millis(F.current_timestamp()).alias("indexed_at"), "mtime_ms", F.coalesce(F.when(~skipped, estimate_tokens(text)), F.lit(0)).alias("token_estimate"), body.alias("content"),
