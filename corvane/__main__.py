@@ -1,4 +1,4 @@
-"""Command line: init, scan, status, context, impact, bench. Exit codes: 0 done, 1 error, 2 usage."""
+"""Command line: init, scan, status, context, impact, bench. Exit codes: 0 done, 1 error, 2 usage, 3 planned but not there yet."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ import math
 import sys
 
 
+PLANNED = ("ask", "graph", "analyze", "migrate", "export")
+
+
 def _number(value: str) -> float:
     x = float(value)
     if not math.isfinite(x):
@@ -15,12 +18,22 @@ def _number(value: str) -> float:
     return x
 
 
+def _told(found: dict, explain: bool) -> str:
+    """The package under a summary: what was taken at which cost, and with `explain` the reasons."""
+    m = found["metrics"][0] if found["metrics"] else {"selected": 0, "considered": 0, "files": 0, "spent": 0, "reduction": 0.0}
+    lines = [f"{found['kind']}: {m['selected']} of {m['considered']} entities in {m['files']} files, {m['spent']} tokens, {100 * m['reduction']:.0f} % fewer than the project"]
+    for item in found["items"] if explain else []:
+        lines.append(f"  {round(item['score']):3d}  {item['detail']:9s}  {item['id']}: {'; '.join(found['reasons'].get(item['id']) or [])}")
+    return "\n".join([*lines, "", found["package"]])
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="corvane")
     p.add_argument("--root", default=".")
-    p.add_argument("--json", action="store_true")
+    p.add_argument("--json", action="store_true", help="print JSON")
+    p.add_argument("--quiet", action="store_true", help="no word on what is being done")
     sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("init")
+    sub.add_parser("init").add_argument("--force", action="store_true", help="replace a configuration that is there")
     sub.add_parser("scan").add_argument("--rebuild", action="store_true")
     sub.add_parser("status")
     c = sub.add_parser("context")
@@ -29,12 +42,21 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--max-hops", type=_number)
     c.add_argument("--include", action="append", default=[])
     c.add_argument("--include-from")
+    c.add_argument("--raw", action="store_true", help="print the package alone, for a pipe")
+    c.add_argument("--explain", action="store_true", help="say why each entity is in")
     i = sub.add_parser("impact")
     i.add_argument("symbol")
     i.add_argument("--max-hops", type=_number, default=3)
     i.add_argument("--min-confidence", type=_number, default=0.3)
     sub.add_parser("bench").add_argument("--limit", type=int, default=20)
-    a = p.parse_args(argv)
+    for name in PLANNED:
+        sub.add_parser(name, add_help=False)
+    a, rest = p.parse_known_args(argv)
+    if a.command in PLANNED:
+        print(f"{a.command} is planned and not there yet", file=sys.stderr)
+        return 3
+    if rest:
+        p.error(f"unknown arguments: {' '.join(rest)}")
 
     from pyspark.sql import SparkSession
 
@@ -45,20 +67,22 @@ def main(argv: list[str] | None = None) -> int:
     project = Project(spark, a.root)
     try:
         if a.command == "init":
-            out = str(project.init())
+            out = str(project.init(a.force))
         elif a.command == "scan":
+            if not a.quiet:
+                print(f"scanning {a.root}", file=sys.stderr)
             out = project.scan(a.rebuild)
         elif a.command == "status":
             out = project.status() | {"stale": project.freshness().count()}
         elif a.command == "context":
             listed = [r["path"] for r in include_list(spark, a.include_from).collect()] if a.include_from else []
             found = project.context(a.task, int(a.budget) if a.budget else None, int(a.max_hops) if a.max_hops is not None else None, a.include + listed)
-            out = found if a.json else found["package"]
+            out = found["package"] if a.raw else found if a.json else _told(found, a.explain)
         elif a.command == "impact":
             out = project.impact(a.symbol, int(a.max_hops), a.min_confidence)
         else:
             out = project.bench(a.limit)
-    except (ValueError, LookupError) as error:
+    except (ValueError, LookupError, FileExistsError) as error:
         print(error, file=sys.stderr)
         return 1
     print(out if isinstance(out, str) else json.dumps(out, indent=2, ensure_ascii=False, default=str))
