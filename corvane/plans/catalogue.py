@@ -379,44 +379,51 @@ def neighbors_typed_min_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.neighbors(views.hierarchy(spark, sf_dir), seeds, 2, "BOTH", ["CALLS", "IMPORTS"], 0.5))
 
 
-@query(f"""WITH e AS ({EDGES_SQL}), s AS (SELECT 'P' || p_partkey AS id FROM part WHERE p_size = 50 UNION ALL SELECT 'S1')
+@query(f"""WITH e AS ({EDGES_SQL}), s AS (SELECT 'P' || p_partkey AS id FROM part UNION ALL SELECT 'S1')
   SELECT target_id AS id FROM e WHERE type = 'CALLS' AND source_id IN (SELECT id FROM s) UNION SELECT source_id FROM e WHERE type = 'CALLS' AND target_id IN (SELECT id FROM s)""")
 def direct_call_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.direct_partners(views.edges(spark, sf_dir), _part_seeds(spark, sf_dir))
 
 
 def _part_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").filter("p_size = 50").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
     return parts.unionByName(spark.createDataFrame([("S1",)], "id string"))
 
 
-@query(f"SELECT DISTINCT source_id AS id FROM ({EDGES_SQL}) WHERE type = 'TESTS' AND target_id = 'S1'")
+@query(f"SELECT DISTINCT source_id AS id FROM ({EDGES_SQL}) WHERE type = 'TESTS'")
 def test_linked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.linked_tests(views.edges(spark, sf_dir), _part_seeds(spark, sf_dir))
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"))
+    return graph.linked_tests(views.edges(spark, sf_dir), suppliers)
 
 
 # --- resolution ----------------------------------------------------------------------------------------------------
 
 
 def _name_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unresolved edges: each part's supplier order names the part, some as member calls with a receiver."""
-    member = F.when(F.col("p_size") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("obj."), F.col("p_name")).alias("expression"))))
-    return table(spark, sf_dir, "part").select(
-        F.concat(F.lit("O"), F.col("p_partkey").cast("string")).alias("source_id"), F.lit(None).cast("string").alias("target_id"), F.col("p_name").alias("target_hint"), F.lit("CALLS").alias("type"),
-        F.col("p_brand").alias("file_path"), F.col("p_size").alias("line"), member.alias("metadata"),
-    )
+    """Unresolved edges: each order line names its part from the part's file, some as member calls with a receiver."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    member = F.when(F.col("l_linenumber") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("obj."), F.col("p_name")).alias("expression"))))
+    return table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("source_id"), F.lit(None).cast("string").alias("target_id"), F.col("p_name").alias("target_hint"), F.lit("CALLS").alias("type"),
+        F.col("p_brand").alias("file_path"), F.col("l_linenumber").alias("line"), member.alias("metadata"),
+    ).dropDuplicates(["source_id", "target_hint", "file_path", "line"])
 
 
 @query(f"""WITH ent AS ({ENTITIES_SQL}),
-  edge AS (SELECT 'O' || p_partkey AS source_id, p_name AS target_hint, p_brand AS file_path, p_size AS line, p_size % 3 = 0 AS member FROM part),
-  c AS (SELECT e.*, ent.id, ent.exported, ent.file_path = e.file_path AS local FROM edge e JOIN ent ON ent.name = e.target_hint OR ent.qualified_name = e.target_hint),
-  k AS (SELECT *, count(*) OVER w AS n, sum(local::INT) OVER w AS locals FROM c WINDOW w AS (PARTITION BY source_id, target_hint, line, file_path)),
-  r AS (SELECT *, CASE WHEN NOT member AND local AND locals = 1 THEN 5 WHEN NOT member AND n = 1 THEN 6 WHEN member AND local THEN 7 ELSE 8 END AS rule FROM k)
-  SELECT source_id, target_hint, line, file_path, id AS new_target, CASE WHEN rule <= 6 THEN 'SCOPED' ELSE 'AMBIGUOUS' END AS new_resolution, round(CASE WHEN rule <= 6 THEN 0.75 ELSE least(0.5, 1.0 / n) END, 6) AS new_confidence
-  FROM r QUALIFY row_number() OVER (PARTITION BY source_id, target_hint, line, file_path ORDER BY rule, NOT exported, id) = 1""")
+  edge AS (SELECT DISTINCT 'O' || l_orderkey AS source_id, p_name AS target_hint, p_brand AS file_path, l_linenumber AS line, l_linenumber % 3 = 0 AS member FROM lineitem JOIN part ON l_partkey = p_partkey),
+  bound AS (SELECT p_brand AS file_path, p_name AS target_hint, m AS bound FROM (SELECT DISTINCT p_brand, p_name FROM part WHERE p_size % 5 = 0) JOIN (SELECT p_name, max(p_brand) AS m FROM part GROUP BY p_name) USING (p_name)),
+  name_file AS (SELECT file_path, target_hint, member, count(*) AS edges FROM edge GROUP BY ALL),
+  c AS (SELECT e.*, ent.id, ent.exported, ent.file_path = e.file_path AS local, coalesce(ent.file_path = b.bound, false) AS is_bound FROM name_file e LEFT JOIN bound b USING (file_path, target_hint) JOIN ent ON ent.name = e.target_hint OR ent.qualified_name = e.target_hint),
+  k AS (SELECT *, count(*) OVER w AS n, sum(local::INT) OVER w AS locals FROM c WINDOW w AS (PARTITION BY target_hint, file_path, member)),
+  r AS (SELECT *, CASE WHEN is_bound THEN 1 WHEN NOT member AND local AND locals = 1 THEN 5 WHEN NOT member AND n = 1 THEN 6 WHEN member AND local THEN 7 ELSE 8 END AS rule FROM k),
+  best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY target_hint, file_path, member ORDER BY rule, NOT exported, id) = 1)
+  SELECT source_id, target_hint, line, file_path, id AS new_target, CASE WHEN rule = 1 THEN 'EXACT' WHEN rule <= 6 THEN 'SCOPED' ELSE 'AMBIGUOUS' END AS new_resolution, round(CASE WHEN rule = 1 THEN 1.0 WHEN rule <= 6 THEN 0.75 ELSE least(0.5, 1.0 / n) END, 6)::DOUBLE AS new_confidence
+  FROM edge JOIN best USING (target_hint, file_path, member)""")
 def resolve_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = spark.createDataFrame([], "file_path string, local_name string, bound_path string")
-    out = resolve.resolve_symbols(_name_edges(spark, sf_dir), views.entities(spark, sf_dir), none)
+    part = table(spark, sf_dir, "part")
+    last = part.groupBy("p_name").agg(F.max("p_brand").alias("bound_path"))
+    bound = part.filter("p_size % 5 = 0").select(F.col("p_brand").alias("file_path"), "p_name").distinct().join(last, "p_name").select("file_path", F.col("p_name").alias("local_name"), "bound_path")
+    out = resolve.resolve_symbols(_name_edges(spark, sf_dir), views.entities(spark, sf_dir), bound)
     return out.select("source_id", "target_hint", "line", "file_path", "new_target", "new_resolution", F.round("new_confidence", 6).alias("new_confidence"))
 
 
@@ -453,14 +460,16 @@ def recent_files_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AFFINITY_SQL = "CASE " + " ".join(f"WHEN kind = '{k}' AND type = '{t}' THEN {v}" for k, row in words.TASK_AFFINITY.items() for t, v in row.items()) + " ".join([""] + [f"WHEN type = '{t}' THEN {v}" for t, v in words.BASE_AFFINITY.items()]) + " ELSE 0.5 END::DOUBLE"
-_KINDS = (*(k for k, _ in words.KIND_HINTS), "UNKNOWN")
 _TYPES = (*words.BASE_AFFINITY, "OTHER")
 
 
-@query(f"WITH k AS (SELECT unnest([{_quote(_KINDS)}]) AS kind), t AS (SELECT unnest([{_quote(_TYPES)}]) AS type) SELECT kind, type, {_AFFINITY_SQL} AS affinity FROM k, t")
+@query(f"""WITH turns AS (SELECT conv_id, turn, {_KIND_SQL} AS kind, [{_quote(_TYPES)}][1 + conv_id % {len(_TYPES)}] AS type FROM conversations)
+  SELECT conv_id, turn, kind, type, {_AFFINITY_SQL} AS affinity FROM turns""")
 def affinity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([(k, t) for k in _KINDS for t in _TYPES], "kind string, type string")
-    return pairs.select("kind", "type", scoring.affinity(F.col("kind"), F.col("type")).cast("double").alias("affinity"))
+    """The affinity of each turn's kind of task to a type that goes round with the conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    kind, type_ = text.classify_task(F.col("text")), F.element_at(F.array(*(F.lit(t) for t in _TYPES)), (1 + F.col("conv_id") % len(_TYPES)).cast("int"))
+    return turns.select("conv_id", "turn", kind.alias("kind"), type_.alias("type")).withColumn("affinity", scoring.affinity(F.col("kind"), F.col("type")).cast("double"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(100 * (0.25 * l_discount * 10 + 0.20 * l_tax * 10 + 0.20 / (1 + l_linenumber)), 6) AS score FROM lineitem")

@@ -181,16 +181,23 @@ def eval_worst_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- resolution ----------------------------------------------------------------------------------------------------
 
-_KINDS_OF_IMPORT = """SELECT * FROM (VALUES ('src/a/one.ts', './two', 'src/a/two.ts'), ('src/a/one.ts', './two.js', 'src/a/two.ts'), ('src/a/one.ts', '../lib', 'src/lib/index.ts'), ('src/a/one.ts', '../lib.js', 'src/lib/index.ts'),
-  ('src/a/one.ts', './types', 'src/a/types.d.ts'), ('src/a/one.ts', './plain.mjs', 'src/a/plain.mjs'), ('pkg/m.py', '.sub', 'pkg/sub/__init__.py'), ('pkg/sub/n.py', '..m', 'pkg/m.py'), ('pkg/m.py', 'pkg.sub.n', 'pkg/sub/n.py')) t(file_path, target_hint, path)"""
+#: (importing file, specifier, the file it means or None), @ standing for a document's id.
+_IMPORTS = (
+    ("src@/a/one.ts", "./two", "src@/a/two.ts"), ("src@/a/one.ts", "./two.js", "src@/a/two.ts"), ("src@/a/one.ts", "../lib", "src@/lib/index.ts"), ("src@/a/one.ts", "../lib.js", "src@/lib/index.ts"),
+    ("src@/a/one.ts", "./types", "src@/a/types.d.ts"), ("src@/a/one.ts", "./plain.mjs", "src@/a/plain.mjs"), ("src@/a/one.ts", "node:fs", None), ("src@/a/one.ts", "react", None), ("src@/a/one.ts", "../../../out", None),
+    ("pkg@/m.py", ".sub", "pkg@/sub/__init__.py"), ("pkg@/sub/n.py", "..m", "pkg@/m.py"), ("pkg@/m.py", "pkg@.sub.n", "pkg@/sub/n.py"), ("pkg@/m.py", "os.path", None),
+)
+_IMPORT_FILES = ("src@/a/one.ts", "src@/a/two.ts", "src@/a/types.d.ts", "src@/a/plain.mjs", "src@/lib/index.ts", "pkg@/m.py", "pkg@/sub/__init__.py", "pkg@/sub/n.py")
 
 
-@query(_KINDS_OF_IMPORT)
+@query("SELECT replace(f, '@', doc_id::VARCHAR) AS file_path, replace(h, '@', doc_id::VARCHAR) AS target_hint, replace(p, '@', doc_id::VARCHAR) AS path FROM documents, (VALUES " + ", ".join(f"('{f}', '{h}', '{p}')" for f, h, p in _IMPORTS if p) + ") v(f, h, p)")
 def import_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every kind of specifier: without an ending, with the output's, a folder's index, declarations, relative and dotted modules; externals resolve to nothing."""
-    files = spark.createDataFrame([(p,) for p in ("src/a/one.ts", "src/a/two.ts", "src/a/types.d.ts", "src/a/plain.mjs", "src/lib/index.ts", "pkg/m.py", "pkg/sub/__init__.py", "pkg/sub/n.py")], "path string")
-    asked = [("src/a/one.ts", h) for h in ("./two", "./two.js", "../lib", "../lib.js", "./types", "./plain.mjs", "node:fs", "react", "../../../out")] + [("pkg/m.py", ".sub"), ("pkg/sub/n.py", "..m"), ("pkg/m.py", "pkg.sub.n"), ("pkg/m.py", "os.path")]
-    imports = spark.createDataFrame([(f, "IMPORTS", h, 1, f) for f, h in asked], "source_id string, type string, target_hint string, line int, file_path string")
+    """For every document every kind of specifier: without an ending, with the output's, a folder's index, declarations, relative and dotted modules; externals resolve to nothing."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("_i"))
+    own = lambda c: F.replace(F.col(c), F.lit("@"), F.col("_i"))
+    files = docs.select("_i", F.explode(F.array(*(F.lit(x) for x in _IMPORT_FILES))).alias("_f")).select(own("_f").alias("path"))
+    asked = docs.select("_i", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.lit(h).alias("h")) for f, h, _ in _IMPORTS))).alias("_")).select("_i", "_.f", "_.h")
+    imports = asked.select(own("f").alias("source_id"), F.lit("IMPORTS").alias("type"), own("h").alias("target_hint"), F.lit(1).alias("line"), own("f").alias("file_path"))
     return resolve.resolve_imports(imports, files).select("file_path", "target_hint", "path")
 
 
@@ -340,3 +347,86 @@ def context_spent(spark: SparkSession, sf_dir: str) -> DataFrame:
     budgets = select.budgets(views.tasks(spark, sf_dir), 20_000)
     out = select.metrics(context_greedy(spark, sf_dir), budgets, spark.createDataFrame([(1,)], "total_tokens long"))
     return out.select("query_id", "considered", "selected", "files", F.col("spent").cast("long").alias("spent"))
+
+
+# --- more of extraction --------------------------------------------------------------------------------------------
+
+_TSX = ["/** Shows ", ". */\nexport function Card", "(props: Props) {\n  return <div className=\"box\">{format(props.x)}</div>;\n}\nexport const Row", " = (p) => <Card", " x={p.x} />;\n"]
+_JS = ["const { load", ", keep } = require('./lib", "');\nclass Box", " extends Base", " {\n  open() { return load", "(1); }\n}\nmodule.exports = { Box", " };\n"]
+_BROKEN = ["export function ok", "() { return 1; }\nfunction bad", "( {{{ return\n"]
+
+
+def _with_id(parts: list[str]) -> F.Column:
+    i = F.col("doc_id").cast("string")
+    return F.concat(*(x for p in parts[:-1] for x in (F.lit(p), i)), F.lit(parts[-1]))
+
+
+def _odd_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A component file, a CommonJS file and a broken file per document."""
+    from corvane.extract import registry
+
+    docs, rows = table(spark, sf_dir, "documents").select("doc_id"), None
+    for ending, language, parts in (("tsx", "tsx", _TSX), ("cjs", "javascript", _JS), ("bad.ts", "typescript", _BROKEN)):
+        own = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("." + ending)).alias("path"), F.lit(language).alias("language"), _with_id(parts).alias("content"))
+        rows = own if rows is None else rows.unionByName(own)
+    return registry.extracted(rows)
+
+
+@query("""SELECT 'd' || doc_id || e AS file_path, kind AS type, replace(q, '@', doc_id::VARCHAR) AS qualified_name, exported, replace(doc, '@', doc_id::VARCHAR) AS documentation FROM documents,
+  (VALUES ('.tsx', 'COMPONENT', 'Card@', true, 'Shows @.'), ('.tsx', 'COMPONENT', 'Row@', true, NULL), ('.cjs', 'CLASS', 'Box@', false, NULL), ('.cjs', 'METHOD', 'Box@.open', false, NULL), ('.bad.ts', 'FUNCTION', 'ok@', true, NULL)) v(e, kind, q, exported, doc)""")
+def extracted_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a component file, a CommonJS file and a broken file say, with documentation; of the broken one what stands before the fault."""
+    from corvane.extract import registry
+
+    got = registry.entities(_odd_sources(spark, sf_dir)).filter("type <> 'FILE' and qualified_name not like 'bad%'")
+    return got.select("file_path", "type", "qualified_name", "exported", "documentation")
+
+
+@query("""SELECT 'd' || doc_id || e AS path, state AS parse_state FROM documents, (VALUES ('.tsx', 'OK'), ('.cjs', 'OK'), ('.bad.ts', 'PARSE_ERROR')) v(e, state)""")
+def extracted_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _odd_sources(spark, sf_dir).select("path", "parse_state")
+
+
+@query("""SELECT 'd' || doc_id || '.cjs' AS file_path, kind AS type, replace(hint, '@', doc_id::VARCHAR) AS target_hint, line FROM documents,
+  (VALUES ('IMPORTS', './lib@', 1), ('EXTENDS', 'Base@', 2), ('CALLS', 'load@', 3)) v(kind, hint, line)""")
+def extracted_commonjs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.extract import registry
+
+    return registry.relations(_odd_sources(spark, sf_dir)).filter("file_path like '%.cjs' and type in ('IMPORTS', 'EXTENDS', 'CALLS') and target_hint <> 'require'").select("file_path", "type", "target_hint", "line")
+
+
+@query("""SELECT path, qualified_name, signature FROM (SELECT 'd' || doc_id || '.tsx' AS path, 'Card' || doc_id AS qualified_name, 'export function Card' || doc_id || '(props: Props)' AS signature FROM documents)""")
+def extracted_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.extract import registry
+
+    return registry.entities(_odd_sources(spark, sf_dir)).filter("name like 'Card%'").select(F.col("file_path").alias("path"), "qualified_name", "signature")
+
+
+# --- seeds of every kind -------------------------------------------------------------------------------------------
+
+@query("""SELECT query_id, id, reasons FROM (
+  SELECT doc_id AS query_id, 'e:report' || doc_id || '/page.ts' AS id, 'path report' || doc_id || '/page.ts' AS reasons FROM documents
+  UNION ALL SELECT doc_id, 'e:extra' || doc_id || '.py', 'path extra' || doc_id || '.py' FROM documents)""")
+def rank_cited_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of tasks that cite a path and are given another: a task and two files per document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("_i"))
+    tasks = d.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("see report"), "_i", F.lit("/page.ts")).alias("task"), F.array(F.concat(F.lit("extra"), "_i", F.lit(".py"))).alias("includes"))
+    files = d.select(F.explode(F.array(F.concat(F.lit("report"), "_i", F.lit("/page.ts")), F.concat(F.lit("extra"), "_i", F.lit(".py")))).alias("path"))
+    asked = rank.analysed(tasks).withColumn("terms", F.array().cast("array<string>"))
+    entities = files.select(F.concat(F.lit("e:"), "path").alias("id"), F.col("path").alias("name"), F.col("path").alias("qualified_name"), F.col("path").alias("file_path"))
+    none = spark.createDataFrame([], "query_id long, id string, score double")
+    out = rank.seeds(asked, entities, files, none, spark.createDataFrame([], "path string, ts long"))
+    return out.select("query_id", "id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("""WITH u AS (SELECT user_id, max(epoch_us(ts)) AS ts FROM events GROUP BY user_id), last AS (SELECT user_id FROM u ORDER BY ts DESC, 'u' || user_id LIMIT 8)
+  SELECT item_id AS query_id, 'e' || user_id AS id, 'recent' AS reasons FROM benchmark, last""")
+def rank_recent_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks that nothing else answers start from the eight files that changed last."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("_u"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
+    files = e.select(F.concat(F.lit("u"), "_u").alias("path"), "_u").distinct()
+    entities = files.select(F.concat(F.lit("e"), "_u").alias("id"), F.lit("?").alias("name"), F.lit("?").alias("qualified_name"), F.col("path").alias("file_path"))
+    asked = rank.analysed(views.tasks(spark, sf_dir)).withColumns({"symbols": F.array().cast("array<string>"), "paths": F.array().cast("array<string>"), "terms": F.array().cast("array<string>")})
+    none = spark.createDataFrame([], "query_id long, id string, score double")
+    out = rank.seeds(asked, entities, files.select("path"), none, e.select(F.concat(F.lit("u"), "_u").alias("path"), "ts"))
+    return out.select("query_id", "id", F.array_join("reasons", "; ").alias("reasons"))
