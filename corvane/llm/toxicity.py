@@ -31,6 +31,8 @@ CUT, HELD_MOD, HELD = 0.5, 5, 0
 #: Prior counts: so many of any token, and so many more in proportion to its rate in both kinds of documents.
 FLOOR, PRIOR, ERRORS, DRIFT = 0.5, 200.0, 2.0, -0.7
 PARTS = (5, 6, 7)
+#: Counts of documents by mark (a: 1, b: other) and fold.
+FOLDED = ("a0", "b0", "a1", "b1")
 _SEP = np.ones(256, bool)
 _SEP[[*range(97, 123), *range(128, 256)]] = False
 
@@ -94,22 +96,23 @@ class Model:
         forms, row, starts, ends = tokens(buf, off)
         score = self.token_scores(forms)
         first = np.searchsorted(row, np.arange(rows + 1))
-        out, found = np.zeros((rows, 6)), [[] for _ in range(rows)]
+        out, found = np.zeros((rows, 7)), [[] for _ in range(rows)]
         out[:, 0] = 1
         n = np.diff(first)
         out[:, 4] = np.log1p(n) / 5
         for r in np.unique(row[score > 0]).tolist():
             a, b = first[r], first[r + 1]
             space = np.log(self.k * (b - a) + 1e-9)
-            best = total = 0.0
+            best = total = peak = 0.0
             for i, j, s in segments(score[a:b]):
                 bits = self.lam * s
                 total += bits
-                best = max(best, bits - space)
+                best, peak = max(best, bits - space), max(peak, bits)
                 if bits > np.log(self.k / 0.05 + 1e-9):
                     found[r].append((int(starts[a + i] - off[r]), int(ends[a + j - 1] - off[r]), bits))
             out[r, 1:4] = min(best, 40) / 10, min(total, 400) / (10 + b - a) * 5, np.log1p(len(found[r]))
             out[r, 5] = np.log1p(total) / 3
+            out[r, 6] = min(peak, 40) / 10
         return out, found
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -117,20 +120,20 @@ class Model:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """Hash of a token or part, documents marked 1 and others that have it."""
+    """Hash of a token or part, and for each fold the documents marked 1 (a0, a1) and others (b0, b1) that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
             forms, row, _, _ = tokens(*flat(part.column("text")))
             every, row = np.concatenate(forms), np.tile(row, len(forms))
             _, once = np.unique(mix(every + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-            h, y = every[once], np.asarray(part.column("y"))[row[once]]
-            for mark in (0, 1):
-                kind, n = np.unique(h[y == mark], return_counts=True)
-                zero = np.zeros(len(kind), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(kind.view(np.int64)), pa.array(n if mark else zero), pa.array(zero if mark else n)], names=["h", "a", "b"])
+            h, kind = every[once], (2 * np.asarray(part.column("fold")) + np.asarray(part.column("y")))[row[once]]
+            for which, name in enumerate(("b0", "a0", "b1", "a1")):
+                values, n = np.unique(h[kind == which], return_counts=True)
+                zero = np.zeros(len(values), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(pa.array(n if c == name else zero) for c in FOLDED)], names=["h", *FOLDED])
 
-    return rows.mapInArrow(run, "h long, a long, b long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return rows.mapInArrow(run, "h long, " + ", ".join(f"{c} long" for c in FOLDED)).groupBy("h").agg(*(F.sum(c).alias(c) for c in FOLDED))
 
 
 def token_score(a: Column | np.ndarray, b: Column | np.ndarray, total_a: float, total_b: float, log: Callable, sqrt: Callable) -> Column | np.ndarray:
@@ -159,25 +162,42 @@ def extreme_value(value: np.ndarray, rate: np.ndarray) -> tuple[float, float]:
     return lo, max(1e-6, float(rate.sum()))
 
 
-def train(docs: DataFrame, labels: DataFrame, mark: str = "toxic", limit: int = TRAIN_ROWS) -> Model:
-    """The model from at most `limit` marked rows outside the held-out part. Every token of theirs with a positive score is in it."""
-    rows = written(learning_rows(docs, labels, mark, HELD_MOD, HELD, limit), "toxic-learning")
-    marks = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
-    if not marks[0] or marks[1] in (0, marks[0]):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), DRIFT, 1.0, 1.0, np.zeros(0), (marks[1] or 0) / marks[0] if marks[0] else 0.5)
-    counts = written(_counts(rows), "toxic-tokens")
-    total_a, total_b, kinds = counts.agg(F.sum("a").cast("double"), F.sum("b").cast("double"), F.count(F.lit(1))).first()
+def _scorer(counts: DataFrame, folds: tuple[int, ...]) -> Model:
+    """The token scores and the extreme-value law from the documents of some folds; it isn't calibrated yet."""
+    own = counts.select("h", sum(F.col(f"a{f}") for f in folds).alias("a"), sum(F.col(f"b{f}") for f in folds).alias("b")).filter("a + b > 0")
+    total_a, total_b, kinds = own.agg(F.sum("a").cast("double"), F.sum("b").cast("double"), F.count(F.lit(1))).first()
     score = token_score(F.col("a"), F.col("b"), total_a, total_b, F.ln, F.sqrt)
-    top = counts.withColumn("value", score).filter("value > 0").toPandas().sort_values("h")  # tokens of at most `limit` documents
+    top = own.withColumn("value", score).filter("value > 0").toPandas().sort_values("h")  # tokens of at most `limit` documents
     key = top["h"].to_numpy(np.int64).view(np.uint64)
     order, value = np.argsort(key), top["value"].to_numpy(float)
     lam, k = extreme_value(value, (top["b"].to_numpy(float) + 0.5) / (total_b + 0.5 * kinds + 1))
-    model = Model(key[order], value[order], DRIFT, lam, k, np.zeros(0), 0.5)
+    return Model(key[order], value[order], DRIFT, lam, k, np.zeros(0), 0.5)
+
+
+def train(docs: DataFrame, labels: DataFrame, mark: str = "toxic", limit: int = TRAIN_ROWS) -> Model:
+    """The model from at most `limit` marked rows outside the held-out part. Every token of theirs with a positive score is in it.
+
+    The logistic fit sees each row as a row that gave no token a score: the rows are halved by a hash, and the features of a
+    half come from the tokens of the other one. Where a half lacks one of the marks they come from all rows.
+    """
+    rows = learning_rows(docs, labels, mark, HELD_MOD, HELD, limit)
+    rows = written(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2)).cast("int")), "toxic-learning")
+    marks = {(r["fold"], r["y"]): r["count"] for r in rows.groupBy("fold", "y").count().collect()}
+    n, ones = sum(marks.values()), sum(c for (_, y), c in marks.items() if y)
+    if not n or ones in (0, n):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), DRIFT, 1.0, 1.0, np.zeros(0), ones / n if n else 0.5)
+    counts = written(_counts(rows), "toxic-tokens")
+    model = _scorer(counts, (0, 1))
+    others = [_scorer(counts, (1,)), _scorer(counts, (0,))] if len(marks) == 4 else [model, model]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
-            x, _ = model.summary(*flat(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            fold = np.asarray(part.column("fold"))
+            for f, other in enumerate(others):
+                some = part.filter(pa.array(fold == f))
+                if some.num_rows:
+                    x, _ = other.summary(*flat(some.column("text")))
+                    yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     got = rows.mapInArrow(run, "doc_id long, y int, x array<double>").toPandas().sort_values(["doc_id", "y"])
     x, y = np.stack(got["x"].to_numpy()), got["y"].to_numpy(float)
