@@ -136,3 +136,79 @@ def lexicon_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = search.clauses(rank.analysed(views.tasks(spark, sf_dir), groups))
     found, lengths = search.postings(views.documents(spark, sf_dir), _ONE, asked)
     return _top10(search.bm25(found, lengths, asked))
+
+
+# --- a project of code ---------------------------------------------------------------------------------------------
+
+#: What is written for a document: @ is its id, + the next one, and ? its text as a string.
+_CODE = """import { f+ } from './d+.js';
+/** Says @. */
+export function f@(x: string): string { return f+(x); }
+export class C@ {
+  run(x: string) { return this.go(x); }
+  go(x: string) { return f@(x); }
+}
+export const said@ = ?;
+"""
+
+
+def code_project(spark: SparkSession, sf_dir: str) -> Project:
+    """A scanned project with a TypeScript file per document, each of which imports and calls the next one's function."""
+    root = shared_folder(spark)
+    i, n = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
+    said = F.get_json_object(F.to_json(F.struct(F.struct(F.coalesce("text", F.lit("")).alias("t")).alias("o"))), "$.o")
+    code = F.replace(F.replace(F.replace(F.lit(_CODE), F.lit("@"), i), F.lit("+"), n), F.lit("?"), said)
+    docs = table(spark, sf_dir, "documents").filter("doc_id is not null")
+    tree(spark, docs.groupBy("doc_id").agg(F.max("text").alias("text")).select(F.concat(F.lit("code/d"), i, F.lit(".ts")).alias("path"), code.alias("content")), root)
+    found = Project(spark, scan.local_path(root), f"{root}-index")
+    found.scan()
+    return found
+
+
+_NEXT = "EXISTS (SELECT 1 FROM d n WHERE n.doc_id = d.doc_id + 1)"
+_CODE_SQL = f"""WITH d AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), p AS (SELECT doc_id, 'code/d' || doc_id || '.ts' AS path, 'code/d' || (doc_id + 1) || '.ts' AS nxt, {_NEXT} AS met FROM d),
+  rel AS (SELECT path AS file_path, 'IMPORTS' AS type, './d' || (doc_id + 1) || '.js' AS target_hint, CASE WHEN met THEN nxt || '#FILE:' || nxt END AS target_id, CASE WHEN met THEN 'EXACT' ELSE 'UNRESOLVED' END AS resolution, CASE WHEN met THEN 1.0 ELSE 0.0 END AS confidence FROM p
+    UNION ALL SELECT path, 'CALLS', 'f' || (doc_id + 1), CASE WHEN met THEN nxt || '#FUNCTION:f' || (doc_id + 1) END, CASE WHEN met THEN 'EXACT' ELSE 'UNRESOLVED' END, CASE WHEN met THEN 1.0 ELSE 0.0 END FROM p
+    UNION ALL SELECT path, 'CALLS', 'go', path || '#METHOD:C' || doc_id || '.go', 'EXACT', 1.0 FROM p
+    UNION ALL SELECT path, 'CALLS', 'f' || doc_id, path || '#FUNCTION:f' || doc_id, 'SCOPED', 0.75 FROM p)"""
+
+
+@query(_CODE_SQL + " SELECT file_path, type, target_hint, target_id, resolution, confidence::DOUBLE AS confidence FROM rel")
+def project_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge of the scanned code with what it was resolved to."""
+    return code_project(spark, sf_dir).relations().select("file_path", "type", "target_hint", "target_id", "resolution", "confidence")
+
+
+@query(_CODE_SQL + """ SELECT 'source' AS asked, count(*) AS n FROM rel WHERE file_path = 'code/d7.ts' AND type = 'CALLS' AND target_hint = 'f8' UNION ALL SELECT 'target', 2 UNION ALL SELECT 'file', count(*) FROM rel WHERE file_path = 'code/d7.ts'
+  UNION ALL SELECT 'unresolved', count(*) FROM rel WHERE target_id IS NULL UNION ALL SELECT 'hints', count(*) FROM rel WHERE target_id IS NULL AND type = 'CALLS' UNION ALL SELECT 'ids', 1 UNION ALL SELECT 'neighbors', 4 UNION ALL SELECT 'search', 1""")
+def project_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-ups of edges by source, target, file, openness and hint; of an entity by id; a traversal; and a search that one entity alone answers best."""
+    p = code_project(spark, sf_dir)
+    own = "code/d7.ts#FUNCTION:f7"
+    open_ = [r["target_hint"] for r in p.relations(unresolved=True).filter("type = 'CALLS'").select("target_hint").collect()]  # the last document's call
+    asked = {
+        "source": p.relations(source=own), "target": p.relations(target=own), "file": p.relations(path="code/d7.ts"), "unresolved": p.relations(unresolved=True), "hints": p.relations(hints=open_),
+        "ids": p.entities(ids=[own]), "neighbors": p.neighbors([own], 3, "OUT", ["CALLS"]), "search": p.search("f7", 1).filter(F.col("id").like("code/d7.ts#%")),
+    }
+    out = None
+    for name, rows in asked.items():
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("asked"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT 2::BIGINT AS direct, 6::BIGINT AS indirect, 4::BIGINT AS files, 0::BIGINT AS tests, 'MEDIUM' AS risk, 'f9' AS critical_dependencies, (SELECT count(*) FROM documents WHERE doc_id = -1) AS alternatives")
+def project_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impact of one function of the chain: its callers, theirs, and the risk."""
+    found = code_project(spark, sf_dir).impact("f8")
+    row = found["report"]
+    return spark.createDataFrame([(row["direct"], row["indirect"], row["files"], row["tests"], row["risk"], ", ".join(row["critical_dependencies"]), len(found["alternatives"]))], "direct long, indirect long, files long, tests long, risk string, critical_dependencies string, alternatives long")
+
+
+@query("SELECT 'BUG_FIX' AS kind, 'code/d8.ts#FUNCTION:f8' AS id, 'FULL' AS detail, true AS in_package, true AS within FROM (SELECT 1 FROM documents LIMIT 1)")
+def project_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A context for a task that names a function: that function in full, in the package, and all within the budget."""
+    found = code_project(spark, sf_dir).context("fix f_8 in `f8`", budget=4000)
+    spent = found["metrics"][0]["spent"]
+    rows = [(found["kind"], i["id"], i["detail"], "export function f8(x: string)" in found["package"], spent <= 3800) for i in found["items"] if i["id"] == "code/d8.ts#FUNCTION:f8"]
+    return spark.createDataFrame(rows, "kind string, id string, detail string, in_package boolean, within boolean")
