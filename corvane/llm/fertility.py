@@ -32,7 +32,7 @@ from corvane.llm.common import blocks, written
 
 MIN_WORDS, REPEATED_PERCENT = 50, 50
 WIDTH, LEAST, BINS = 4, 0.01, 1000
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = b"#*$%&|<>"
 #: Words that a worker remembers at most (a block's words may come on top), and bytes of text measured together.
 MEMO, TOGETHER = 400_000, 1 << 22
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -40,6 +40,9 @@ MEASURES = ("chars_per_token", "chars_per_piece", "byte_share", "token_entropy")
 SCHEMA = "doc_id long, script string, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{m} double" for m in MEASURES)
 
 
+_NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
+
+
 def script(word: str) -> tuple[str, int]:
     """The script of a word's first letter (as its Unicode name begins) and the number of its letters; ('', 0) without letters."""
     letters = [c for c in word if c.isalpha()]
@@ -59,7 +62,9 @@ class Words(dict):
         self.bytes = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.scripts: dict[str, int] = {"": 0}
+        self.scripts: dict[str, int] = {"": 0, "LATIN": 1}
+        self.blank_first = np.zeros(max(ranks.values()) + 1, bool)
+        self.blank_first[[i for token, i in ranks.items() if token[:1] == b" "]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -72,16 +77,36 @@ class Words(dict):
         self.new.append(word)
         return at
 
+    def _byte_tokens(self, words: list[str]) -> list[int]:
+        """Byte-level tokens of each word behind a blank.
+
+        The words are encoded as one text. A token never crosses the blank before a word, and no other token begins with
+        one, so blanks tell where words begin. Words with white space of their own (beyond ASCII) could merge with a blank: those go one by one.
+        """
+        odd = [i for i, w in enumerate(words) if not w.isascii() and any(map(str.isspace, w)) or "\x1c" <= min(w) <= "\x1f"]
+        own = set(odd)
+        plain = [w for i, w in enumerate(words) if i not in own] if odd else words
+        ids = np.array(self.bytes.encode_ordinary(" " + " ".join(plain)), np.int64) if plain else np.zeros(0, np.int64)
+        counts = np.diff([*np.flatnonzero(self.blank_first[ids]), len(ids)]).tolist()
+        if odd:
+            rest = iter(counts)
+            counts = [len(self.bytes.encode_ordinary(" " + w)) if i in own else next(rest) for i, w in enumerate(words)]
+        return counts
+
     def learn(self) -> None:
         """Facts of the words met since: characters, symbols, script, letters, byte-level tokens, first piece; and their pieces."""
         words = [w.decode() for w in self.new]
         ids = self.pieces.encode(words, num_threads=1) if words else []
-        byte_ids = self.bytes.encode_ordinary_batch([" " + w for w in words], num_threads=1) if words else []
+        tokens = self._byte_tokens(words)
         first = len(self.flat) + np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         rows = []
-        for word, own in zip(words, byte_ids, strict=True):
-            name, letters = script(word)
-            rows.append((len(word), sum(map(word.count, SYMBOLS)), self.scripts.setdefault(name, len(self.scripts)), letters, len(own)))
+        for raw, word, n in zip(self.new, words, tokens, strict=True):
+            if len(raw) == len(word):  # ASCII
+                letters = len(raw.translate(None, _NO_LETTERS))
+                name = "LATIN" if letters else ""
+            else:
+                name, letters = script(word)
+            rows.append((len(word), len(raw) - len(raw.translate(None, SYMBOLS)), self.scripts.setdefault(name, len(self.scripts)), letters, n))
         facts = np.array(rows, np.int64).reshape(-1, 5)
         self.facts = np.concatenate([self.facts, np.column_stack([facts, first[:-1]])])
         self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32)])

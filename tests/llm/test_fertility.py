@@ -100,3 +100,10 @@ def test_a_worker_forgets():
     known.forget()
     again = fe.measure([b"other words", b"some words to know"], known)
     assert (first[1][0] == again[1][1]).all() and np.allclose(first[2][0], again[2][1])
+
+
+def test_words_encoded_together_are_those_encoded_alone():
+    draw, known = random.Random(8), fe.Words(*PATHS)
+    letters = ["a", "B", "é", "漢", "1", "-", "'", " ", " ", "\u0085", "​", "\x1c", "\x1f", "s", "#", "🙂", "ß"]
+    words = sorted({"".join(draw.choice(letters) for _ in range(draw.randrange(1, 7))) for _ in range(4000)})
+    assert known._byte_tokens(words) == [len(known.bytes.encode_ordinary(" " + w)) for w in words]
