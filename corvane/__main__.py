@@ -18,15 +18,6 @@ def _number(value: str) -> float:
     return x
 
 
-def _told(found: dict, explain: bool) -> str:
-    """The package under a summary: what was taken at which cost, and with `explain` the reasons."""
-    m = found["metrics"][0] if found["metrics"] else {"selected": 0, "considered": 0, "files": 0, "spent": 0, "reduction": 0.0}
-    lines = [f"{found['kind']}: {m['selected']} of {m['considered']} entities in {m['files']} files, {m['spent']} tokens, {100 * m['reduction']:.0f} % fewer than the project"]
-    for item in found["items"] if explain else []:
-        lines.append(f"  {round(item['score']):3d}  {item['detail']:9s}  {item['id']}: {'; '.join(found['reasons'].get(item['id']) or [])}")
-    return "\n".join([*lines, "", found["package"]])
-
-
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="corvane")
     p.add_argument("--root", default=".")
@@ -60,6 +51,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from pyspark.sql import SparkSession
 
+    from corvane import render
     from corvane.api import Project
     from corvane.sources.scan import include_list
 
@@ -77,11 +69,13 @@ def main(argv: list[str] | None = None) -> int:
         elif a.command == "context":
             listed = [r["path"] for r in include_list(spark, a.include_from).collect()] if a.include_from else []
             found = project.context(a.task, int(a.budget) if a.budget else None, int(a.max_hops) if a.max_hops is not None else None, a.include + listed)
-            out = found["package"] if a.raw else found if a.json else _told(found, a.explain)
+            out = found["package"] if a.raw else found if a.json else render.context(found, a.explain)
         elif a.command == "impact":
-            out = project.impact(a.symbol, int(a.max_hops), a.min_confidence)
+            found = project.impact(a.symbol, int(a.max_hops), a.min_confidence)
+            out = found if a.json else render.impact(found)
         else:
-            out = project.bench(a.limit)
+            found = project.bench(a.limit)
+            out = found if a.json else render.bench(found)
     except (ValueError, LookupError, FileExistsError) as error:
         print(error, file=sys.stderr)
         return 1

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from corvane import __main__ as cli
+from corvane import render
 
 
 @pytest.fixture
@@ -39,6 +40,8 @@ def test_commands(spark, root, capsys, monkeypatch):
     code, said = run("--json", "context", "fix rowTotal")
     assert json.loads(said.out)["kind"] == "BUG_FIX"
     code, said = run("impact", "rowTotal")
+    assert said.out.startswith("target a.ts#FUNCTION:rowTotal") and "1 direct, 0 indirect" in said.out and "What the target needs\n  helper" in said.out
+    code, said = run("--json", "impact", "rowTotal")
     report = json.loads(said.out)
     assert report["report"]["direct"] == 1 and report["alternatives"] == [] and report["report"]["critical_dependencies"] == ["helper"]
     assert run("impact", "nothing")[0] == 1 and run("context", "x", "--budget", "10")[0] == 1
@@ -48,3 +51,13 @@ def test_commands(spark, root, capsys, monkeypatch):
         with pytest.raises(SystemExit) as stop:
             cli.main(["--root", root, *bad])
         assert stop.value.code == 2
+
+
+def test_long_lists_say_that_they_are_cut():
+    row = {"qualified_name": "q", "file_path": "f", "hop_distance": 1, "path_confidence": 0.5}
+    report = {"id": "x", "direct": 30, "indirect": 0, "files": 3, "tests": 0, "risk": "HIGH", "risk_reason": "many", "critical_dependencies": [], "low_confidence_edges": 2}
+    text = render.impact({"report": report, "alternatives": list("abcdefg"), "reached": [row | {"reach": "direct"}] * 30})
+    assert "and 2 more" in text and "and 10 more" in text and "Indirect" not in text and "2 incoming edges are guesses" in text
+    text = render.bench({"cases": 2, "mean_recall": 0.5, "mean_precision": 0.25, "misses": 1, "median": 3.2, "p95": 9.0, "rejected": {"subject": 1, "no code": 4}, "worst": [{"case_id": "abc", "recall": 0.0, "hits": 0, "n_expected": 2, "n_selected": 1}]})
+    assert "recall 50 %, precision 25 %" in text and text.index("4 no code") < text.index("1 subject") and "0 of 2 files in 1 selected" in text
+    assert render.bench({"cases": 0, "mean_recall": None, "mean_precision": None, "misses": 0, "median": None, "p95": None, "rejected": {}, "worst": []}) == "0 cases\nrecall -, precision -, 0 without a hit"
