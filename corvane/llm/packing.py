@@ -30,7 +30,7 @@ from corvane.llm.common import blocks
 
 MAX_LEN, END_ID = 2048, 1
 #: Pre-tokens that a worker remembers at most.
-MEMO = 250_000
+MEMO = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
