@@ -7,17 +7,22 @@ import ast
 from corvane.extract.rows import Extraction
 
 
+#: What the parser raises: the last two where a source is nested deeper than it can follow.
+UNREADABLE = (SyntaxError, ValueError, MemoryError, RecursionError)
+
+
 def _tree(source: str) -> tuple[ast.Module, bool]:
     """The tree of the source, or of as many of its leading lines as parse, and whether it is whole."""
     try:
         return ast.parse(source), True
-    except (SyntaxError, ValueError) as error:
+    except UNREADABLE as error:
         lines = source.split("\n")
-        last = min(len(lines), (getattr(error, "lineno", None) or 1) - 1)
+        at = getattr(error, "lineno", None)
+        last = min(len(lines), at - 1) if at else len(lines) * 3 // 4
         while last > 0:
             try:
                 return ast.parse("\n".join(lines[:last])), False
-            except (SyntaxError, ValueError):
+            except UNREADABLE:
                 last = last - 1 if last < 64 else last * 3 // 4
         return ast.Module([], []), False
 
@@ -40,22 +45,30 @@ def extract(path: str, source: str) -> Extraction:
         return (start - 1 if first is not node and source[start - 1 : start] == "@" else start), at(node.end_lineno, node.end_col_offset)
 
     def dotted(node: ast.AST) -> str | None:
-        if isinstance(node, ast.Name):
-            return node.id
-        if isinstance(node, ast.Attribute) and (left := dotted(node.value)):
-            return f"{left}.{node.attr}"
-        return None
+        parts = []
+        while isinstance(node, ast.Attribute):
+            parts.append(node.attr)
+            node = node.value
+        return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
+
+    def shown(node: ast.AST) -> str:
+        """The source of a node; of one that is nested too deep, its name alone."""
+        try:
+            return ast.unparse(node)
+        except RecursionError:
+            return "?." + getattr(node, "attr", "?")
 
     def calls(node: ast.AST, owner: str) -> None:
-        """Calls under a node, those in nested functions and classes aside."""
-        if isinstance(node, ast.Call):
-            if isinstance(node.func, ast.Name):
-                out.relation(owner, node.func.id, "CALLS", at(node.lineno, node.col_offset))
-            elif isinstance(node.func, ast.Attribute):
-                out.relation(owner, node.func.attr, "CALLS", at(node.lineno, node.col_offset), {"expression": ast.unparse(node.func)})
-        for child in ast.iter_child_nodes(node):
-            if not isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                calls(child, owner)
+        """Calls under a node, those in nested functions and classes aside. Expressions may be nested deep: no recursion."""
+        todo = [node]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, ast.Call):
+                if isinstance(node.func, ast.Name):
+                    out.relation(owner, node.func.id, "CALLS", at(node.lineno, node.col_offset))
+                elif isinstance(node.func, ast.Attribute):
+                    out.relation(owner, node.func.attr, "CALLS", at(node.lineno, node.col_offset), {"expression": shown(node.func)})
+            todo += [c for c in reversed([*ast.iter_child_nodes(node)]) if not isinstance(c, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
 
     def imported(node: ast.Import | ast.ImportFrom) -> None:
         start = at(node.lineno, node.col_offset)
@@ -81,7 +94,7 @@ def extract(path: str, source: str) -> Extraction:
             elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
                 start, end = span(node)
                 asynchronous = isinstance(node, ast.AsyncFunctionDef)
-                head = f"{'async ' if asynchronous else ''}def {node.name}({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
+                head = f"{'async ' if asynchronous else ''}def {node.name}({shown(node.args)})" + (f" -> {shown(node.returns)}" if node.returns else "")
                 own = out.entity("METHOD" if in_class else "FUNCTION", node.name, ".".join([*scope, node.name]), start, end, parent, signature=head, documentation=ast.get_docstring(node), exported=not node.name.startswith("_"), metadata={"async": True} if asynchronous else None)
                 for d in node.decorator_list:
                     calls(d, owner)
@@ -106,5 +119,8 @@ def extract(path: str, source: str) -> Extraction:
                 else:
                     calls(node, owner)
 
-    visit(tree.body, [], out.file_id, out.file_id, False, True)
+    try:
+        visit(tree.body, [], out.file_id, out.file_id, False, True)
+    except RecursionError:  # statements nested deeper than the interpreter follows, as in a very long chain of elif
+        out.partial = True
     return out

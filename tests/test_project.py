@@ -74,3 +74,18 @@ def test_scan_incremental_and_questions(spark, tmp_path):
     assert p.scan() == {"added": 1, "modified": 0, "deleted": 0, "unchanged": 3}
     assert p.relations(path="src/service.ts").filter("target_hint = 'findSalesBySeller'").first()["resolution"] == "EXACT"
     assert p.status()["stats"]["files"] == 4
+
+
+def test_sources_nested_too_deep_keep_what_stands_before():
+    first = "def ok():\n    return 1\n\n"
+    for rest in ("x = " + "+".join(["a"] * 20_000), "y = " + "(" * 5000 + ")" * 5000, "not " * 50_000 + "x", "f(" * 3000, "z = " + ".".join(["a"] * 50_000)):
+        got = python.extract("m.py", first + rest + "\n")
+        assert got.partial and ("FUNCTION", "ok") in names(got)
+        script.extract("m.ts", "typescript", first + rest)
+    for n in (900, 1500, 3000):
+        got = python.extract("m.py", "def ok():\n    return " + "+".join(["a()"] * n) + "\n")
+        assert not got.partial and len([r for r in got.relations if r["target_hint"] == "a"]) == n
+    chain = "def ok():\n    pass\nif a:\n    f()\n" + "".join(f"elif a == {i}:\n    f()\n" for i in range(2500))
+    assert ("FUNCTION", "ok") in names(python.extract("m.py", chain)) or python.extract("m.py", chain).partial
+    deep = python.extract("m.py", first + "x" + ".y()" * 700 + "\n")
+    assert ("FUNCTION", "ok") in names(deep)
