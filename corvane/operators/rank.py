@@ -74,15 +74,16 @@ def rank(
     called = start.select("query_id", F.col("id").alias("source_id")).join(calls, "source_id").select("query_id", F.col("target_id").alias("id"))
     calling = start.select("query_id", F.col("id").alias("target_id")).join(calls, "target_id").select("query_id", F.col("source_id").alias("id"))
     tests = relations.filter("type = 'TESTS'").join(start.select("query_id", F.col("id").alias("target_id")), "target_id").select("query_id", F.col("source_id").alias("id"))
-    facts = {"hop_distance": "int", "lexical": "double", "_partner": "double", "_test": "double", "reasons": "array<string>"}
+    facts = {"hop_distance": "int", "lexical": "double", "_partner": "double", "_test": "double"}
 
     def fact(rows: DataFrame, name: str, value: Column) -> DataFrame:
         return rows.select("query_id", "id", *((value if c == name else F.lit(None)).cast(t).alias(c) for c, t in facts.items()))
 
     every = fact(near, "hop_distance", F.col("hop_distance"))
-    for rows, name, value in ((search.normalised(scores, LEXICAL_HITS), "lexical", F.col("lexical")), (called.unionByName(calling), "_partner", F.lit(1.0)), (tests, "_test", F.lit(1.0)), (start, "reasons", F.col("reasons"))):
+    for rows, name, value in ((search.normalised(scores, LEXICAL_HITS), "lexical", F.col("lexical")), (called.unionByName(calling), "_partner", F.lit(1.0)), (tests, "_test", F.lit(1.0))):
         every = every.unionByName(fact(rows, name, value))
     met = every.groupBy("query_id", "id").agg(*(F.max(c).alias(c) for c in facts)).filter("hop_distance is not null")
+    met = met.join(start, ["query_id", "id"], "left")  # texts stay out of the grouping, which then needs no sort
     touched = commits.groupBy(F.col("path").alias("file_path")).agg(F.max("ts").alias("_ts"))
     newest = commits.agg(F.max("ts").alias("_newest"))
     known = entities.join(graph.in_degrees(relations), "id", "left").join(touched, "file_path", "left").crossJoin(F.broadcast(newest))  # one row
