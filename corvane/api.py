@@ -213,7 +213,7 @@ class Project:
             got = found.join(own.select("path", "blob"), ["path", "blob"], "left_semi")
             entities = kept(registry.entities(got))
             index = {"files": own, "entities": entities, "relations": kept(resolve.resolve_all(changes.dedup_relations(registry.relations(got)), entities, own))}
-            postings, lengths = search.postings(search_documents(entities))
+            postings, lengths = search.occurrences(search_documents(entities))
             earlier = history.touched(every.filter(F.col("n") < c["at"]))
             tasks = self.spark.createDataFrame([(0, c["task"], [])], "query_id int, task string, includes array<string>")
             began = time.time()

@@ -89,7 +89,7 @@ class Postings:
         rows = self._living(self._table("postings", POSTINGS, buckets))
         n, total = self.state["documents"], self.state["length"]
         corpus = self.spark.createDataFrame([(n, total / n if n else 0.0)], "n_docs long, mean double")
-        return search.bm25(search.asked_only(rows, asked), None, asked, corpus)
+        return search.bm25(rows, None, asked, corpus)
 
     def terms(self) -> DataFrame:
         """(term, n_docs): every living term and the documents that have it."""

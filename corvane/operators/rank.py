@@ -41,13 +41,15 @@ def recent_files(commits: DataFrame, k: int = RECENT_FILES) -> DataFrame:
 def seeds(tasks: DataFrame, entities: DataFrame, files: DataFrame, scores: DataFrame, commits: DataFrame) -> DataFrame:
     """(query_id, id, reasons): symbol, cited path, path-term and lexical seeds; recent files only where there is none."""
     cited = tasks.select("query_id", F.explode("symbols").alias("symbol"))
-    by_name = [entities.select("id", F.col(c).alias("symbol")).join(cited, "symbol").select("query_id", "id", F.concat(F.lit("symbol "), F.col("symbol")).alias("reason"), F.lit(1).alias("o")) for c in ("name", "qualified_name")]
-    paths = tasks.select("query_id", F.explode(F.concat("paths", "includes")).alias("_cited"))
-    by_path = entities.join(paths.distinct(), F.col("file_path") == F.col("_cited")).select("query_id", "id", F.concat(F.lit("path "), F.col("_cited")).alias("reason"), F.lit(2).alias("o"))
+    named = entities.select("id", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("symbol"))
+    by_name = named.join(cited, "symbol").select("query_id", "id", F.lit(1).alias("o"), F.concat(F.lit("symbol "), F.col("symbol")).alias("reason"))
+    paths = tasks.select("query_id", F.explode(F.concat("paths", "includes")).alias("file_path")).distinct()
     near = search.paths_with_terms(files, tasks.select("query_id", text.path_terms(F.col("terms")).alias("terms")), PATH_FILES)
-    by_term = entities.join(near.select("query_id", F.col("path").alias("file_path")), "file_path").select("query_id", "id", F.lit("path term").alias("reason"), F.lit(3).alias("o"))
-    lexical = search.top(scores, LEXICAL_SEEDS).select("query_id", "id", F.lit("text").alias("reason"), F.lit(4).alias("o"))
-    every = by_name[0].unionByName(by_name[1]).unionByName(by_path).unionByName(by_term).unionByName(lexical)
+    places = paths.select("query_id", "file_path", F.lit(2).alias("o"), F.concat(F.lit("path "), F.col("file_path")).alias("reason"))
+    places = places.unionByName(near.select("query_id", F.col("path").alias("file_path"), F.lit(3).alias("o"), F.lit("path term").alias("reason")))
+    by_path = entities.select("id", "file_path").join(places, "file_path").select("query_id", "id", "o", "reason")
+    lexical = search.top(scores, LEXICAL_SEEDS).select("query_id", "id", F.lit(4).alias("o"), F.lit("text").alias("reason"))
+    every = kept(by_name.unionByName(by_path).unionByName(lexical))
     none = tasks.select("query_id").join(every.select("query_id").distinct(), "query_id", "left_anti")
     last = entities.join(recent_files(commits).select(F.col("path").alias("file_path")), "file_path").crossJoin(none)  # 8 files at most
     every = every.unionByName(last.select("query_id", "id", F.lit("recent").alias("reason"), F.lit(5).alias("o")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import PREFIX
+from corvane.session import kept
 
 K1, B, IDF_LEAST = 1.2, 0.75, 1e-6
 WEIGHTS = {"terms": 4.0, "literals": 1.0}
@@ -20,30 +21,24 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame, columns: dict[str, float] | None = None, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of docs (id and the columns): (term, id, f) with f weighted, and (id, length) unweighted.
+def occurrences(docs: DataFrame, columns: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, lengths) of docs (id and the columns): (term, id, f), a row for each token with f the weight of its column, and (id, length) unweighted.
 
-    With `asked` (clauses) the postings are those that its terms and prefixes need: others go before they are counted.
+    `bm25` adds them up after it has dropped those that no clause asks for, so a question on an index that isn't stored counts only its own terms.
     """
     columns = columns or WEIGHTS
-    parts = [docs.select("id", F.explode(tokens(F.col(c))).alias("term"), F.lit(w).alias("w")) for c, w in columns.items()]
+    parts = [docs.select("id", F.explode(tokens(F.col(c))).alias("term"), F.lit(w).alias("f")) for c, w in columns.items()]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    if asked is not None:
-        every = asked_only(every, asked)
-    found = every.groupBy("term", "id").agg(F.sum("w").alias("f"))
     length = sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0))
-    return found, docs.select("id", length.alias("length"))
+    return every.select("term", "id", "f"), docs.select("id", length.alias("length"))
 
 
-def asked_only(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows (with a column term) whose term is a clause of `asked` or begins with a prefix clause."""
-    kinds = asked.select("term", "is_prefix").distinct()
-    whole = kinds.filter("not is_prefix").select("term", F.lit(True).alias("_whole"))
-    begun = kinds.filter("is_prefix").select(F.col("term").alias("_p"), F.lit(True).alias("_begun"))
-    rows = rows.withColumn("_p", F.when(F.length("term") >= PREFIX, F.substring("term", 1, PREFIX)))
-    return rows.join(whole, "term", "left").join(begun, "_p", "left").filter("_whole or _begun")
+def postings(docs: DataFrame, columns: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of docs (id and the columns): (term, id, f) with f weighted, and (id, length) unweighted."""
+    every, lengths = occurrences(docs, columns)
+    return every.groupBy("term", "id").agg(F.sum("f").alias("f")), lengths
 
 
 def clauses(terms: DataFrame) -> DataFrame:
@@ -56,18 +51,18 @@ def bm25(found: DataFrame, lengths: DataFrame | None, asked: DataFrame, corpus:
 
     Postings that carry their document's length need no `lengths`, and `corpus` (n_docs, mean: one row) then.
 
-    The query terms are joined first, so only their postings move. A prefix clause is one term whose count is the sum
-    over the words that begin with it; prefixes have a fixed length, so they too are an equi-join.
+    Postings (or occurrences) are read once: each is offered as its word and, where it is long enough, as its prefix, and stays where a clause asks for
+    it. A prefix clause is one term whose count is the sum over the words that begin with it; prefixes have a fixed length, so
+    they too are an equi-join. What meets a clause, and the lengths, are written tables, since both are counted and then joined.
     """
-    whole = asked.filter("not is_prefix").select("query_id", F.col("term").alias("clause"), F.lit(False).alias("is_prefix"))
-    part = asked.filter("is_prefix").select("query_id", F.col("term").alias("clause"), F.lit(True).alias("is_prefix"))
-    kinds = asked.select(F.col("term").alias("clause"), "is_prefix").distinct()
     own = ["length"] if lengths is None else []
-    exact = found.join(kinds.filter("not is_prefix"), F.col("term") == F.col("clause")).select("clause", "is_prefix", "id", "f", *own)
-    begun = found.filter(F.length("term") >= PREFIX).withColumn("_p", F.substring("term", 1, PREFIX))
-    begun = begun.join(kinds.filter("is_prefix"), F.col("_p") == F.col("clause")).groupBy("clause", "is_prefix", "id").agg(F.sum("f").alias("f"), *(F.first(c).alias(c) for c in own))
-    hits = exact.unionByName(begun)
+    word, begun = (F.struct(c.alias("clause"), F.lit(p).alias("is_prefix")) for c, p in ((F.col("term"), False), (F.substring("term", 1, PREFIX), True)))
+    offers = F.when(F.length("term") >= PREFIX, F.array(word, begun)).otherwise(F.array(word))
+    kinds = asked.select(F.col("term").alias("clause"), "is_prefix").distinct()
+    offered = found.select("id", "f", *own, F.explode(offers).alias("_o")).select("_o.clause", "_o.is_prefix", "id", "f", *own)
+    hits = kept(offered.join(kinds, ["clause", "is_prefix"]).groupBy("clause", "is_prefix", "id").agg(F.sum("f").alias("f"), *(F.first(c).alias(c) for c in own)))
     spread = hits.groupBy("clause", "is_prefix").agg(F.count(F.lit(1)).alias("n"))
+    lengths = None if lengths is None else kept(lengths)
     if corpus is None:
         corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"))
     hits = hits.join(spread, ["clause", "is_prefix"])
@@ -75,7 +70,7 @@ def bm25(found: DataFrame, lengths: DataFrame | None, asked: DataFrame, corpus:
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(IDF_LEAST))
     part_score = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     hits = hits.select("clause", "is_prefix", "id", part_score.alias("s"))
-    return whole.unionByName(part).join(hits, ["clause", "is_prefix"]).groupBy("query_id", "id").agg(F.sum("s").alias("score"))
+    return asked.select("query_id", F.col("term").alias("clause"), "is_prefix").join(hits, ["clause", "is_prefix"]).groupBy("query_id", "id").agg(F.sum("s").alias("score"))
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:

@@ -20,7 +20,7 @@ def rendered(ranked: DataFrame, relations: DataFrame, sources: DataFrame, entiti
     """
     columns = ["id", "type", "qualified_name", "file_path", "start_line", "start_byte", "end_byte", "signature", "documentation"]
     items = ranked.select(*columns).dropDuplicates(["id"]) if entities is None else entities.select(*columns).join(ranked.select("id").distinct(), "id", "left_semi")
-    first = lambda c: F.split(F.col(c), "\n")[0]
+    first = lambda c: F.substring_index(F.col(c), "\n", 1)
     calls = relations.filter("type = 'CALLS'").groupBy(F.col("source_id").alias("id"), "target_hint").agg(F.min("line").alias("l"))
     calls = calls.groupBy("id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("l", "target_hint"))), lambda x: x["target_hint"]), 1, 12), ", ").alias("_calls"))
     base = relations.filter("type = 'EXTENDS'").groupBy(F.col("source_id").alias("id")).agg(F.min_by("target_hint", F.struct("line", "target_hint")).alias("_extends"))

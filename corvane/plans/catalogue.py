@@ -208,7 +208,7 @@ def _scores(spark: SparkSession, sf_dir: str, columns: dict[str, float], prefix:
     tasks = views.tasks(spark, sf_dir).withColumn("f", text.strip_accents("task")).select("query_id", text.query_terms(F.col("f")).alias("clauses"))
     asked = search.clauses(tasks)
     asked = asked if prefix else asked.filter("not is_prefix")
-    found, lengths = search.postings(views.documents(spark, sf_dir), columns, asked)
+    found, lengths = search.occurrences(views.documents(spark, sf_dir), columns)
     return search.bm25(found, lengths, asked)
 
 
@@ -481,15 +481,15 @@ def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _code_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Documents as one entity a file, conversations' turns as calls between them."""
     d = views.paths(table(spark, sf_dir, "documents"))
-    line = F.split(F.coalesce("text", F.lit("")), "\n")[0]
+    line, word = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), F.split("text", r"[^A-Za-z]+", 2)[0]
     kind = F.when(F.col("doc_id") % 3 == 0, "FUNCTION").when(F.col("doc_id") % 3 == 1, "CLASS").otherwise("FILE")
     e = d.select(
-        F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), kind.alias("type"), F.split("text", r"[^A-Za-z]+")[0].alias("name"), F.concat_ws(".", "source", F.split("text", r"[^A-Za-z]+")[0]).alias("qualified_name"), F.col("path").alias("file_path"),
+        F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), kind.alias("type"), word.alias("name"), F.concat_ws(".", "source", word).alias("qualified_name"), F.col("path").alias("file_path"),
         F.lit(1).alias("start_line"), F.lit(0).alias("start_byte"), F.length("text").alias("end_byte"), line.alias("signature"), F.lit(None).cast("string").alias("documentation"), (F.col("doc_id") % 2 == 0).alias("exported"), (F.length("text") / 4).cast("int").alias("token_estimate"), F.col("text").alias("literals"),
     )
     near = d.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("source_id"), F.concat(F.lit("D"), ((F.col("doc_id") * 7 + 3) % F.lit(500)).cast("string")).alias("target_id"), F.lit("CALLS").alias("type"), F.lit("x").alias("target_hint"), F.lit(1).alias("line"), F.lit(0.75).alias("confidence"), F.col("path").alias("file_path"))
     commits = d.select("path", (F.col("doc_id") % 100 * 86400).alias("ts"))
-    found, lengths = search.postings(e.withColumn("terms", F.coalesce("name", F.lit(""))), asked=search.clauses(rank.analysed(views.tasks(spark, sf_dir))))
+    found, lengths = search.occurrences(e.withColumn("terms", F.coalesce("name", F.lit(""))))
     return {"entities": e.drop("literals"), "relations": near, "files": d.select("path"), "postings": found, "lengths": lengths, "commits": commits, "sources": d.select("path", F.col("text").alias("content"))}
 
 

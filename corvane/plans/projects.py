@@ -134,7 +134,7 @@ def lexicon_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of tasks whose terms have the synonyms of their groups: a document may share none of the task's own words."""
     groups = search.lexicon(spark.createDataFrame([(list(g),) for g in _GROUPS], "words array<string>"))
     asked = search.clauses(rank.analysed(views.tasks(spark, sf_dir), groups))
-    found, lengths = search.postings(views.documents(spark, sf_dir), _ONE, asked)
+    found, lengths = search.occurrences(views.documents(spark, sf_dir), _ONE)
     return _top10(search.bm25(found, lengths, asked))
 
 
