@@ -79,7 +79,8 @@ class Project:
         changed, gone = diff.filter("change in ('added', 'modified')").select("path"), diff.filter("change in ('modified', 'deleted')").select("path")
         if not (report["added"] or report["modified"] or report["deleted"]) and base and not rebuild:
             return None, report
-        rows = fresh.join(changed, "path", "left_semi")
+        # Where all that was read has changed, as in a first scan, the contents needn't meet the changes.
+        rows = fresh if report["unchanged"] == same.count() else fresh.join(changed, "path", "left_semi")
         found = kept(registry.extracted(rows.filter(F.col("parse_state").isin("OK") & F.col("language").isin(*PARSED_LANGUAGES))))
         states = found.select("path", F.col("parse_state").alias("_state"), F.col("parse_error").alias("_error"))
         new_files = rows.drop("content").join(states, "path", "left")

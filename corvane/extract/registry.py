@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +21,10 @@ EXTRACTORS: dict[str, Callable[[str, str], Extraction]] = {
 }
 
 
+#: Sources that a worker takes up at once, and the characters of rows that it hands over at once: its memory doesn't grow with Spark's batches.
+SOURCES, HELD = 64, 4 << 20
+
+
 def register(language: str, extractor: Callable[[str, str], Extraction]) -> None:
     EXTRACTORS[language] = extractor
 
@@ -38,19 +42,34 @@ def extracted(sources: DataFrame, key: str | None = None) -> DataFrame:
     """
 
     names = ["path", "language", "content", *([key] if key else [])]
+    return sources.select(*names).mapInArrow(lambda batches: rows_of(batches, names), ", ".join(f"{c} string" for c in (*FOUND, *names[3:])))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, language, content, *rest in zip(*(batch[c] for c in names), strict=True):
+FOUND = ("path", "parse_state", "parse_error", "entities", "relations")
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of `extracted` for batches with the columns `names`, in batches of bounded size."""
+    for batch in batches:
+        rows, held = [], 0
+        for at in range(0, batch.num_rows, SOURCES):
+            part = batch.slice(at, SOURCES)
+            for path, language, content, *rest in zip(*(part.column(c).to_pylist() for c in names), strict=True):
                 if language not in EXTRACTORS or content is None:
                     rows.append((path, "UNSUPPORTED_LANGUAGE", None, "[]", "[]", *rest))
-                    continue
-                got = EXTRACTORS[language](path, content)
-                rows.append((path, "PARSE_ERROR" if got.partial else "OK", "syntax error" if got.partial else None, json.dumps(got.entities), json.dumps(got.relations), *rest))
-            yield pd.DataFrame(rows, columns=["path", "parse_state", "parse_error", "entities", "relations", *names[3:]])
-
-    return sources.select(*names).mapInPandas(run, "path string, parse_state string, parse_error string, entities string, relations string" + (f", {key} string" if key else ""))
+                else:
+                    got = EXTRACTORS[language](path, content)
+                    rows.append((path, "PARSE_ERROR" if got.partial else "OK", "syntax error" if got.partial else None, json.dumps(got.entities), json.dumps(got.relations), *rest))
+                held += len(rows[-1][3]) + len(rows[-1][4])
+                if held >= HELD:
+                    yield _batch(rows, names)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows, names)
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=[*FOUND, *names[3:]])
 
 
 def entities(found: DataFrame) -> DataFrame:

@@ -24,13 +24,16 @@ def tree(spark: SparkSession, rows: DataFrame, root: str) -> None:
     base = scan.local_path(root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 at = os.path.join(base, path)
                 if content is None:
                     os.remove(at)
                     continue
-                os.makedirs(os.path.dirname(at), exist_ok=True)
+                if os.path.dirname(at) not in made:
+                    made.add(os.path.dirname(at))
+                    os.makedirs(os.path.dirname(at), exist_ok=True)
                 with open(f"{at}.{os.getpid()}", "wb") as f:
                     f.write(content.encode())
                 os.replace(f"{at}.{os.getpid()}", at)

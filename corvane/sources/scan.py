@@ -24,6 +24,8 @@ ALWAYS = (".git/", ".corvane/", "node_modules/")
 
 #: Folders that one task opens below each of its starting folders before it hands the rest on.
 QUOTA = 256
+#: Rows that a walk hands over at once, files that a task reads, the bytes of them that it hands over at once, and paths that a task tests.
+ROWS, FILES, HELD, PATHS = 16_384, 512, 4 << 20, 50_000
 LISTED = "path string, kind string, mtime_ms double, size_bytes long"
 
 
@@ -59,24 +61,35 @@ def _pruned(ignores: list[ignore.Rule]) -> Callable[[str, str], bool]:
 
 
 def _walker(root: str, ignores: list[ignore.Rule], quota: int) -> Callable:
+    types = (pa.string(), pa.string(), pa.float64(), pa.int64())
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["path", "kind", "mtime_ms", "size_bytes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pruned = _pruned(ignores)
         for start in (p for batch in batches for p in batch.column("path").to_pylist()):
-            rows, todo = [], [start]
-            while todo and len(rows) < quota * 64 and sum(1 for r in rows if r[1] == "folder") < quota:
+            rows, todo, files, folders = [], [start], 0, 0
+            while todo and files < quota * 64 and folders < quota:
                 folder = todo.pop()
                 try:
                     for name, is_folder, mtime, size in _entries(root, folder):
                         path = f"{folder}/{name}" if folder else name
                         if not is_folder:
                             rows.append((path, "file", mtime, size))
+                            files += 1
                         elif not pruned(path, name):
                             todo.append(path)
+                        if len(rows) >= ROWS:
+                            yield made(rows)
+                            rows = []
                     rows.append((folder, "folder", 0.0, 0))
+                    folders += 1
                 except OSError:
                     rows.append((folder, "unreadable", 0.0, 0))
             rows += [(folder, "open", 0.0, 0) for folder in todo]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["path", "kind", "mtime_ms", "size_bytes"])
+            if rows:
+                yield made(rows)
 
     return run
 
@@ -107,25 +120,45 @@ def opened(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     """
     base, names = local_path(root), files.columns
 
+    def read(path: str) -> bytes | None:
+        try:
+            if base is not None:
+                with open(os.path.join(base, path), "rb") as f:
+                    return f.read()
+            from pyarrow import fs
+
+            system, at = fs.FileSystem.from_uri(root)
+            with system.open_input_stream(f"{at.rstrip('/')}/{path}") as f:
+                return f.read()
+        except OSError:
+            return None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found, held, size = [], [], 0
             for i, path in enumerate(batch.column("path").to_pylist()):
-                try:
-                    if base is not None:
-                        with open(os.path.join(base, path), "rb") as f:
-                            content = f.read()
-                    else:
-                        from pyarrow import fs
-
-                        system, at = fs.FileSystem.from_uri(root)
-                        with system.open_input_stream(f"{at.rstrip('/')}/{path}") as f:
-                            content = f.read()
-                except OSError:
+                content = read(path)
+                if content is None:
                     continue
-                row = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], names=[*names, "content"])
+                found.append(i)
+                held.append(content)
+                size += len(content)
+                if size >= HELD:
+                    yield made(batch, found, held)
+                    found, held, size = [], [], 0
+            if found:
+                yield made(batch, found, held)
+
+    def made(batch: pa.RecordBatch, found: list[int], held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.take(pa.array(found)).columns, pa.array(held, pa.binary())], names=[*names, "content"])
+
+    return files.repartition(tasks(files, FILES)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in files.dtypes) + ", content binary")
+
 
-    return files.hint("rebalance").mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in files.dtypes) + ", content binary")
+def tasks(rows: DataFrame, each: int) -> int:
+    """Tasks for `rows`, `each` to a task: such work is by the row, while Spark's own sizes go by the bytes, of which paths have few."""
+    many = rows.count()
+    return max(min(many, rows.sparkSession.sparkContext.defaultParallelism), -(-many // each), 1)
 
 
 def contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
@@ -152,16 +185,14 @@ def content_state(content: Column) -> Column:
 def file_rows(read: DataFrame, *keys: str) -> DataFrame:
     """Index rows of files (path, mtime_ms, size_bytes, content bytes or null, state or null), with the columns `keys` as they are."""
     text = F.decode("content", "UTF-8")
-    state = F.coalesce("state", content_state(F.col("content")))
+    lang, state, text_ = F.col("language"), F.col("_state"), F.col("_text")
     skipped = state.isNotNull()
-    lang = language(F.col("path"))
-    out = read.withColumns({"_state": state, "language": lang})
-    body = F.when(~skipped, text)
+    out = read.withColumns({"_state": F.coalesce("state", content_state(F.col("content"))), "language": language(F.col("path")), "_text": text})
     return out.select(
-        *keys, "path", "language", "size_bytes", F.coalesce(F.when(~skipped, line_count(text)), F.lit(0)).cast("int").alias("line_count"),
-        F.when(skipped, F.concat(F.lit("skipped:"), state, F.lit(":"), F.col("size_bytes").cast("string"))).otherwise(content_hash(text)).alias("content_hash"),
+        *keys, "path", "language", "size_bytes", F.coalesce(F.when(~skipped, line_count(text_)), F.lit(0)).cast("int").alias("line_count"),
+        F.when(skipped, F.concat(F.lit("skipped:"), state, F.lit(":"), F.col("size_bytes").cast("string"))).otherwise(content_hash(text_)).alias("content_hash"),
         F.coalesce("_state", F.when(lang.isin(*PARSED_LANGUAGES), "OK").otherwise("UNSUPPORTED_LANGUAGE")).alias("parse_state"), F.lit(None).cast("string").alias("parse_error"),
-        F.unix_millis(F.current_timestamp()).alias("indexed_at"), "mtime_ms", F.coalesce(F.when(~skipped, estimate_tokens(text)), F.lit(0)).alias("token_estimate"), body.alias("content"),
+        F.unix_millis(F.current_timestamp()).alias("indexed_at"), "mtime_ms", F.coalesce(F.when(~skipped, estimate_tokens(text_)), F.lit(0)).alias("token_estimate"), F.when(~skipped, text_).alias("content"),
     )
 
 
@@ -173,8 +204,10 @@ def scan(spark: SparkSession, root: str, known: DataFrame | None = None, ignores
     """
     ignores = ignores if ignores is not None else rules(spark, root)
     files = walk(spark, root, ignores).filter("kind = 'file'").select("path", "mtime_ms", "size_bytes")
+    files = files.repartition(tasks(files, PATHS))  # a folder is listed by one task, but its paths are tested by many
     found = files.withColumn("state", path_state(F.col("path"), F.col("size_bytes"), ignores, deny, max_bytes)).filter("state is null or state <> 'SKIPPED_IGNORED'")
-    fresh = unread(found, known) if known is not None else found
+    found = kept(found)
+    fresh = kept(unread(found, known)) if known is not None else found
     same = found.join(known.select("path", "mtime_ms", "size_bytes"), ["path", "mtime_ms", "size_bytes"], "left_semi").select("path") if known is not None else found.select("path").limit(0)
     wanted = opened(spark, root, fresh.filter("state is null"))
     rest = fresh.filter("state is not null").withColumn("content", F.lit(None).cast("binary"))

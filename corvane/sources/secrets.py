@@ -20,6 +20,12 @@ PATTERNS = (
     ("credentials in a URL", r"\b[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@[^\s/]+"),
 )
 
+#: What a head must hold for the pattern of that reason to meet it: looked for first, as that is far cheaper.
+NEEDLES = {
+    "private key": ("PRIVATE KEY-----",), "cloud access key": ("AKIA", "ASIA"), "repository token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), "model provider key": ("sk-",),
+    "chat token": ("xox",), "service account": ("service_account",), "credentials in a URL": ("://",),
+}
+
 
 def path_blocked(path: Column, deny: tuple[str, ...] = DENY_PATHS) -> Column:
     out = F.lit(False)
@@ -32,5 +38,11 @@ def content_reason(c: Column, patterns: tuple[tuple[str, str], ...] = PATTERNS)
     """The first pattern's reason that the head of the text meets; null if none."""
     head, out = F.substring(c, 1, SNIFF), None
     for reason, p in patterns:
-        out = F.when(head.rlike(p), reason) if out is None else out.when(head.rlike(p), reason)
+        met = head.rlike(p)
+        if (reason, p) in PATTERNS:
+            held = F.lit(False)
+            for needle in NEEDLES[reason]:
+                held = held | c.contains(needle)
+            met = held & met
+        out = F.when(met, reason) if out is None else out.when(met, reason)
     return out
