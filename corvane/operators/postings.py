@@ -57,13 +57,16 @@ class Postings:
         """
         state, seq, name = self.state, self.state["next"], f"segment-{uuid.uuid4().hex}"
         at = f"{self.root}/{name}"
-        found, lengths = search.postings(docs, columns)
-        facts = docs.select("id", "file_path").join(lengths, "id").select(F.col("id").cast("string").alias("id"), "file_path", F.col("length").cast("long").alias("length"), F.lit(seq).alias("seq"))
+        columns = columns or search.WEIGHTS
+        length = sum((F.size(search.tokens(F.col(c))) for c in columns), F.lit(0))
+        facts = docs.select(F.col("id").cast("string").alias("id"), "file_path", length.cast("long").alias("length"), F.lit(seq).alias("seq"))
         facts.write.parquet(f"{at}/docs")
         facts = self.spark.read.schema(DOCS).parquet(f"{at}/docs")
         gone.select("file_path").distinct().withColumn("seq", F.lit(seq)).write.parquet(f"{at}/tombs")
         tombs = self.spark.read.schema(TOMBS).parquet(f"{at}/tombs")
-        rows = found.withColumn("id", F.col("id").cast("string")).join(facts, "id").select("term", "id", "file_path", F.col("f").cast("double").alias("f"), "length", "seq", bucket(F.col("term")).alias("bucket"))
+        # Postings carry what is known of their document: only the write's own shuffle moves them.
+        found = search.counted(docs, columns, ("file_path",))
+        rows = found.select("term", F.col("id").cast("string").alias("id"), "file_path", F.col("f").cast("double").alias("f"), F.col("length").cast("long").alias("length"), F.lit(seq).alias("seq"), bucket(F.col("term")).alias("bucket"))
         # A rebalance splits the bucket of a very common term over tasks, and puts small ones together.
         rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/postings")
         lost = self._living(self._table("docs", DOCS)).join(tombs.select("file_path"), "file_path", "left_semi").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
