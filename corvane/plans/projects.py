@@ -138,7 +138,7 @@ def lexicon_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = search.lexicon(spark.createDataFrame([(list(g),) for g in _GROUPS], "words array<string>"))
     asked = search.clauses(rank.analysed(views.tasks(spark, sf_dir), groups))
     found, lengths = search.occurrences(views.documents(spark, sf_dir), _ONE)
-    return _top10(search.bm25(found, lengths, asked))
+    return _top10(search.bm25(found, lengths, asked, k=10))
 
 
 # --- a project of code ---------------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ import pyarrow as pa
 
 from corvane.extract import registry
 from corvane.functions import text
+from corvane.operators import search
 from corvane.sources import scan
 
 
@@ -34,3 +35,13 @@ def test_extraction_hands_over_bounded_batches():
 
 def test_charges_by_the_unit():
     assert [text.estimate(x) for x in ("", "3abc", "a3.5", "x.3.4_", "     ", "a     b", "a      \nb", "HTTPServer_x", "_$", "5$", "\u00e9")] == [0, 2, 3, 4, 1, 3, 3, 3, 1, 2, 1]
+
+
+def test_the_best_of_a_query_are_chosen_where_documents_lie(spark):
+    docs = spark.range(300).selectExpr("id", "'' terms", "concat_ws(' ', 'common', 'word', if(id % 7 = 0, 'wordsmith', 'x'), repeat('common ', cast(id % 5 as int))) literals")
+    asked = spark.createDataFrame([(q, t, p) for q in (1, 2) for t, p in (("common", False), ("word", False), ("wordsm", True))][1:], "query_id int, term string, is_prefix boolean")
+    found, lengths = search.occurrences(docs)
+    full, best = search.bm25(found, lengths, asked), search.bm25(found, lengths, asked, k=9)
+    assert "hashpartitioning(query_id" not in full._jdf.queryExecution().executedPlan().toString()
+    want = search.top(full.selectExpr("query_id", "id", "round(score, 9) score"), 9).select("query_id", "id", "score")
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, want.collect())) and best.count() == 18
