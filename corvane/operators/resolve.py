@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions.ids import normalize_path
 from corvane.functions.scoring import ambiguous_confidence
 from corvane.schemas import RELATION_KEY, RELATION_METADATA
+from corvane.session import kept
 
 # Endings that an import without one may stand for, and the files of a package folder.
 ENDINGS = (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".py")
@@ -75,29 +76,36 @@ def resolve_symbols(edges: DataFrame, entities: DataFrame, bound: DataFrame) ->
     An edge asks one summary per rule and takes the least rule that has an answer; of its candidates the first, exported before
     hidden, then by id. Rules: 1 the hint is bound to the candidate's file; 2 same class through this/self; 3
     constructed class; 4 the receiver is bound to its file; 5 only one in the same file; 6 only one anywhere; then guesses,
-    local first (7) for a member call, any (8). No edge meets its candidates one by one.
+    local first (7) for a member call, any (8). No edge meets its candidates one by one. What an edge asks depends on its hint, file, receiver and, for
+    this and self, class: each such question is answered once, and only the answer meets the edges.
     """
     has = F.from_json("metadata", RELATION_METADATA)["expression"]
     e = edges.withColumn("_expr", has).withColumn("_receiver", F.when(F.col("_expr").contains("."), F.regexp_extract("_expr", r"^(.+)\.[^.]*$", 1)))
     direct = bound.select("file_path", F.col("local_name").alias("target_hint"), F.col("bound_path").alias("_bound"))
     base = bound.select("file_path", F.col("local_name").alias("_base"), F.col("bound_path").alias("_base_bound"))
     source = entities.select(F.col("id").alias("source_id"), F.split("qualified_name", r"\.")[0].alias("_class"), F.col("file_path").alias("_class_file"))
-    e = e.withColumn("_base", F.split("_receiver", r"\.")[0]).join(direct, ["file_path", "target_hint"], "left").join(base, ["file_path", "_base"], "left").join(source, "source_id", "left")
+    e = e.join(source, "source_id", "left")
     member = F.col("_expr").isNotNull()
     own = F.when(member & F.col("_receiver").isin("this", "self"), F.concat_ws(".", "_class", "target_hint"))
+    e = kept(e.select(*RELATION_KEY, member.alias("_member"), "_receiver", own.alias("_own"), F.when(own.isNotNull(), F.col("_class_file")).alias("_own_file")))
+    question = ["target_hint", "file_path", "_member", "_receiver", "_own", "_own_file"]
+    q = e.select(*question).distinct().withColumn("_base", F.split("_receiver", r"\.")[0]).join(direct, ["file_path", "target_hint"], "left").join(base, ["file_path", "_base"], "left")
     constructed = F.nullif(F.regexp_extract("_receiver", r"^new\s+([A-Za-z_$][\w$]*)", 1), F.lit(""))
-    made = F.when(member, F.concat(constructed, F.lit("."), F.col("target_hint")))
+    made = F.when(F.col("_member"), F.concat(constructed, F.lit("."), F.col("target_hint")))
     any_ = F.lit(ANY)
     asked = (
-        (1, F.col("_bound"), any_), (2, F.when(own.isNotNull(), F.col("_class_file")), own), (3, F.when(made.isNotNull(), any_), made), (4, F.when(member, F.col("_base_bound")), any_),
+        (1, F.col("_bound"), any_), (2, F.col("_own_file"), F.col("_own")), (3, F.when(made.isNotNull(), any_), made), (4, F.when(F.col("_member"), F.col("_base_bound")), any_),
         (7, F.col("file_path"), any_), (8, any_, any_),
     )
     probes = F.filter(F.array(*(F.struct(F.lit(r).alias("rule"), f.alias("in_file"), q.alias("as_name")) for r, f, q in asked)), lambda x: x["in_file"].isNotNull() & x["as_name"].isNotNull())
-    rows = e.select(*RELATION_KEY, member.alias("_member"), F.explode(probes).alias("_")).select(*RELATION_KEY, "_member", "_.*")
+    rows = q.select(*question, F.explode(probes).alias("_")).select(*question, "_.*")
     rows = rows.join(summaries(entities), ["target_hint", "in_file", "as_name"])
     alone = ~F.col("_member") & (F.col("n") == 1)
     rule = F.when(F.col("rule") == 7, F.when(alone, 5).when(F.col("_member"), 7)).when((F.col("rule") == 8) & alone, 6).otherwise(F.col("rule"))
-    best = rows.withColumn("_rule", rule).groupBy(*RELATION_KEY).agg(F.min(F.when(F.col("_rule").isNotNull(), F.struct("_rule", "best"))).alias("_best"), F.max(F.when(F.col("rule") == 8, F.col("n"))).alias("_n"))
+    answers = rows.withColumn("_rule", rule).groupBy(*question).agg(F.min(F.when(F.col("_rule").isNotNull(), F.struct("_rule", "best"))).alias("_best"), F.max(F.when(F.col("rule") == 8, F.col("n"))).alias("_n"))
+    answers = answers.select(*(F.col(c).alias(f"{c}_q") for c in question), "_best", "_n")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_q")) for c in question]
+    best = e.join(answers, same).groupBy(*RELATION_KEY).agg(F.min("_best").alias("_best"), F.max("_n").alias("_n"))  # edges that differ in nothing but their metadata are one
     tier = F.when(F.col("_best._rule") <= 3, "EXACT").when(F.col("_best._rule") <= 6, "SCOPED").otherwise("AMBIGUOUS")
     confidence = F.when(tier == "EXACT", 1.0).when(tier == "SCOPED", 0.75).otherwise(ambiguous_confidence(F.col("_n")))
     return best.select(*RELATION_KEY, F.col("_best.best.id").alias("new_target"), tier.alias("new_resolution"), confidence.alias("new_confidence"))

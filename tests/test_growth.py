@@ -1,10 +1,13 @@
 """Work that grows with the rows is dealt out by the row, and what a worker holds at once doesn't grow with them."""
 
+import re
+
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from corvane.extract import registry
 from corvane.functions import text
-from corvane.operators import search
+from corvane.operators import resolve, search
 from corvane.sources import scan
 
 
@@ -45,3 +48,15 @@ def test_the_best_of_a_query_are_chosen_where_documents_lie(spark):
     assert "hashpartitioning(query_id" not in full._jdf.queryExecution().executedPlan().toString()
     want = search.top(full.selectExpr("query_id", "id", "round(score, 9) score"), 9).select("query_id", "id", "score")
     assert sorted(map(tuple, best.collect())) == sorted(map(tuple, want.collect())) and best.count() == 18
+
+
+def test_edges_that_ask_the_same_are_resolved_once(spark):
+    entities = spark.createDataFrame([("e1", "run", "A.run", "a", True), ("e2", "run", "B.run", "b", False), ("s", "go", "B.go", "b", True)], "id string, name string, qualified_name string, file_path string, exported boolean")
+    edges = [("s", "CALLS", "run", i, "b", m) for i in range(50) for m in (None, '{"expression": "this.run"}', '{"expression": "x.run"}')[i % 3 :][:1]]
+    edges += [("s", "CALLS", "run", 0, "b", '{"expression": "this.run"}'), ("s", "CALLS", None, 0, "b", None)]  # one key, two calls; no hint
+    edges = spark.createDataFrame(edges, "source_id string, type string, target_hint string, line int, file_path string, metadata string").withColumn("target_id", F.lit(None).cast("string"))
+    bound = spark.createDataFrame([], "file_path string, local_name string, bound_path string")
+    got = resolve.resolve_symbols(edges, entities, bound)
+    rows = {r["line"]: (r["new_target"], r["new_resolution"], r["new_confidence"]) for r in got.collect()}
+    assert got.count() == 50 and rows == {i: (("e2", "EXACT", 1.0), ("e2", "EXACT", 1.0), ("e2", "AMBIGUOUS", 0.5))[i % 3] if i % 3 or not i else ("e2", "SCOPED", 0.75) for i in range(50)}
+    assert re.search(r"Aggregate \[target_hint[^\]]*_receiver", got._jdf.queryExecution().optimizedPlan().toString())  # questions, not edges, are probed
