@@ -14,19 +14,37 @@ from corvane.session import kept
 ENDINGS = (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".py")
 
 
-def import_candidates(file_path: Column, hint: Column) -> Column:
-    """Ordered paths that a relative specifier may mean; a Python module's leading dots are relative too."""
+def _base(file_path: Column, hint: Column) -> Column:
+    """What a relative specifier says, as a path; a Python module's leading dots are relative too."""
     folder = F.regexp_extract(file_path, r"^(.*/)?[^/]*$", 1)
     dotted = hint.rlike(r"^\.+[A-Za-z_][\w.]*$|^\.+$") & file_path.rlike(r"\.pyi?$")
     up = F.repeat(F.lit("../"), F.greatest(F.length(F.regexp_extract(hint, r"^(\.+)", 1)) - 1, F.lit(0)))
     python = F.concat(up, F.replace(F.regexp_replace(hint, r"^\.+", ""), F.lit("."), F.lit("/")))
-    base = normalize_path(F.concat(folder, F.when(dotted, python).otherwise(hint)))
-    bare = F.regexp_replace(base, r"\.[mc]?jsx?$", "")
+    return normalize_path(F.concat(folder, F.when(dotted, python).otherwise(hint)))
+
+
+def _bare(base: Column) -> Column:
+    return F.regexp_replace(base, r"\.[mc]?jsx?$", "")
+
+
+def _probes(base: Column, bare: Column) -> list[Column]:
     probes = [base, bare]
     for stem in (bare, base):
         probes += [F.concat(stem, F.lit(e)) for e in ENDINGS]
     probes += [F.concat(stem, F.lit("/index" + e)) for stem in (bare, base) for e in ENDINGS[:-1]] + [F.concat(base, F.lit("/__init__.py"))]
-    return F.array_distinct(F.array_compact(F.array(*probes)))
+    return probes
+
+
+def import_candidates(file_path: Column, hint: Column) -> Column:
+    """Ordered paths that a relative specifier may mean."""
+    base = _base(file_path, hint)
+    return F.array_distinct(F.array_compact(F.array(*_probes(base, _bare(base)))))
+
+
+def _told(path: Column) -> Column:
+    """The stems whose `import_candidates` may hold a path: itself and what is left of it without each ending that it has."""
+    ends = [*ENDINGS, *("/index" + e for e in ENDINGS[:-1]), "/__init__.py"]
+    return F.array_compact(F.array(path, *(F.when(path.endswith(e), F.substring(path, F.lit(1), F.length(path) - len(e))) for e in ends)))
 
 
 def path_suffixes(paths: DataFrame) -> DataFrame:
@@ -38,8 +56,13 @@ def path_suffixes(paths: DataFrame) -> DataFrame:
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(*key, path) for the imports (RELATION_KEY columns) that mean a file of `files` (column path)."""
     relative = F.col("target_hint").startswith(".")
-    near = imports.filter(relative).select(*RELATION_KEY, F.posexplode(import_candidates(F.col("file_path"), F.col("target_hint"))).alias("_at", "_path"))
-    near = near.join(files.select(F.col("path").alias("_path")).distinct(), "_path").groupBy(*RELATION_KEY).agg(F.min_by("_path", "_at").alias("path"))
+    # Files tell the few stems that may mean them, so an import asks for its two stems and not for every candidate.
+    near = imports.filter(relative).select(*RELATION_KEY, _base(F.col("file_path"), F.col("target_hint")).alias("_base")).withColumn("_bare", _bare(F.col("_base")))
+    near = near.select("*", F.explode(F.array_distinct(F.array("_base", "_bare"))).alias("_stem"))
+    told = files.select(F.col("path").alias("_path")).distinct().select("_path", F.explode(_told(F.col("_path"))).alias("_stem"))
+    place = F.coalesce(*(F.when(F.col("_path") == probe, i) for i, probe in enumerate(_probes(F.col("_base"), F.col("_bare")))))
+    near = near.join(told, "_stem").select(*RELATION_KEY, "_path", place.alias("_at")).filter("_at is not null")
+    near = near.groupBy(*RELATION_KEY).agg(F.min_by("_path", "_at").alias("path"))
     module = F.replace("target_hint", F.lit("."), F.lit("/"))
     dotted = imports.filter(~relative & ~F.col("target_hint").contains("/") & F.col("file_path").rlike(r"\.pyi?$"))
     dotted = dotted.select(*RELATION_KEY, F.explode(F.array(F.concat(module, F.lit(".py")), F.concat(module, F.lit("/__init__.py")))).alias("suffix"))

@@ -60,3 +60,15 @@ def test_edges_that_ask_the_same_are_resolved_once(spark):
     rows = {r["line"]: (r["new_target"], r["new_resolution"], r["new_confidence"]) for r in got.collect()}
     assert got.count() == 50 and rows == {i: (("e2", "EXACT", 1.0), ("e2", "EXACT", 1.0), ("e2", "AMBIGUOUS", 0.5))[i % 3] if i % 3 or not i else ("e2", "SCOPED", 0.75) for i in range(50)}
     assert re.search(r"Aggregate \[target_hint[^\]]*_receiver", got._jdf.queryExecution().optimizedPlan().toString())  # questions, not edges, are probed
+
+
+def test_imports_ask_for_their_stems(spark):
+    files = ["a/x.ts", "a/x.js", "a/x/index.tsx", "a/y.mjs", "a/y.mjs.ts", "b.d.ts", "b", "p/__init__.py", "p/q.py", "a/.ts", "a/z.js/index.js", "a/index.ts"]
+    asked = [("a/f.ts", h) for h in ("./x", "./x.js", "./y.mjs", "./y", "../b", "../p", "./z.js", ".", "./", "../../out", "./none", "..", "./.js")] + [("p/q.py", h) for h in (".", ".q", "..b", "..p")]
+    imports = spark.createDataFrame([(f, "IMPORTS", h, 1, f) for f, h in asked], "source_id string, type string, target_hint string, line int, file_path string")
+    table = spark.createDataFrame([(p,) for p in files], "path string")
+    plain = imports.select("file_path", "target_hint", F.posexplode(resolve.import_candidates(F.col("file_path"), F.col("target_hint"))).alias("at", "path")).join(table, "path")
+    want = {(r["file_path"], r["target_hint"]): r["path"] for r in plain.groupBy("file_path", "target_hint").agg(F.min_by("path", "at").alias("path")).collect()}
+    got = resolve.resolve_imports(imports, table)
+    assert {(r["file_path"], r["target_hint"]): r["path"] for r in got.collect()} == want and len(want) > 8
+    assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
