@@ -184,3 +184,32 @@ def test_multikey_order():
     got = [tuple(k[i] for k in keys) for i in order]
     assert got == sorted(got)
     assert all((got[i] == got[i + 1]) == (run[i] == run[i + 1]) for i in range(499))
+
+
+def test_suffix_workers_hold_a_bounded_share(spark, docs):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["".join(random.Random(i).choices("abcdefgh ", k=4_000)) for i in range(1_000)]
+    batch = pa.RecordBatch.from_pydict({"_uid": list(range(len(texts))), "_text": texts})
+    run = suffix_dedup._anchor_table(SimpleNamespace(mapInArrow=lambda f, _: f), 400)
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in run(iter([batch])))
+        assert found > len(texts) and tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+    # Spark hands over few rows at once, and the session is left as it was.
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, put = spark.conf.get(key), [], type(spark.conf).set
+    type(spark.conf).set = lambda self, k, v: (seen.append((k, v)), put(self, k, v))[1]
+    try:
+        suffix_dedup.deduplicated(docs([(1, texts[0])]))
+    finally:
+        type(spark.conf).set = put
+    assert any(k == key and int(v) <= 1_000 for k, v in seen) and spark.conf.get(key) == before
+    got = suffix_dedup.merged(*(np.array(x) for x in ([0, 1, 0, 0, 1, 1], [5, 0, 0, 9, 3, 0], [9, 2, 3, 12, 7, 1])))
+    assert [x.tolist() for x in got] == [[0, 0, 1, 1], [0, 5, 0, 3], [3, 12, 2, 7]]
