@@ -72,3 +72,23 @@ def test_imports_ask_for_their_stems(spark):
     got = resolve.resolve_imports(imports, table)
     assert {(r["file_path"], r["target_hint"]): r["path"] for r in got.collect()} == want and len(want) > 8
     assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nested_entities_are_charged_once(monkeypatch):
+    import random
+
+    draw, seen, plain = random.Random(5), [], text.estimate
+    for _ in range(400):
+        source = "".join(draw.choices(["a", "Bc", "aB", "HTTPServer", "somethinglonger", "Somethinglonger", "_", "$", ".", "3", "12.5", " ", "     ", "\t", "\n", "\r\n", "(", "\u00e9", "\u4e2d"], k=30))
+        spans = [tuple(sorted((draw.randint(0, len(source)), draw.randint(0, len(source))))) for _ in range(5)] + [(0, len(source)), (4, 2)]
+        assert text.estimates(source, spans) == [plain(source[a:b]) for a, b in spans]
+    monkeypatch.setattr(text, "estimate", lambda t: seen.append(len(t)) or plain(t))
+    source = 'class A:\n    def run(self):\n        return "' + "some words of a text " * 50 + '"\n'
+    got = registry.EXTRACTORS["python"]("a.py", source).entities
+    assert [e["token_estimate"] for e in got] == [plain(source[e["start_byte"] : e["end_byte"]]) for e in got] and len(got) == 3
+    assert got[1]["literals"] == got[2]["literals"] == text.literal_words(source) and sum(seen) <= len(source)
+
+
+def test_a_plain_word_is_charged_as_by_its_parts():
+    for unit in ("a", "word", "Word", "sevenly", "eightlon", "twelveletter", "thirteenletre", "HTTP", "aB", "HTTPServer", "\u00e9", "\u4e2d", "_", "a1"):
+        assert text.estimate(unit) == len(text._ONE_EACH.findall(text._BORDER.sub(" ", unit)))
