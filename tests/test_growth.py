@@ -1,5 +1,6 @@
 """Work that grows with the rows is dealt out by the row, and what a worker holds at once doesn't grow with them."""
 
+import json
 import re
 
 import pyarrow as pa
@@ -92,3 +93,13 @@ def test_nested_entities_are_charged_once(monkeypatch):
 def test_a_plain_word_is_charged_as_by_its_parts():
     for unit in ("a", "word", "Word", "sevenly", "eightlon", "twelveletter", "thirteenletre", "HTTP", "aB", "HTTPServer", "\u00e9", "\u4e2d", "_", "a1"):
         assert text.estimate(unit) == len(text._ONE_EACH.findall(text._BORDER.sub(" ", unit)))
+
+
+def test_only_named_columns_are_measured(monkeypatch):
+    source = "class A:\n    def run(self):\n        return 'words of it'\n"
+    full, names = registry.EXTRACTORS["python"]("a.py", source).entities, ("id", "start_line")
+    monkeypatch.setattr("corvane.extract.rows.estimates", None)
+    monkeypatch.setattr("corvane.extract.rows.content_words", None)
+    batch = pa.RecordBatch.from_pydict({"path": ["a.py"], "language": ["python"], "content": [source]})
+    (got,) = registry.rows_of(iter([batch]), ["path", "language", "content"], names)
+    assert json.loads(got.column("entities")[0].as_py()) == [{c: e[c] for c in names} for e in full] and len(full) == 3
