@@ -43,8 +43,9 @@ class Project:
         return own + scan.rules(self.spark, self.root, tuple(self.config["indexing"]["excludes"]))
 
     def _disk(self, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Sources get 0 for their token_estimate: their extraction tells it."""
         deny = tuple(self.config["security"]["deny_paths"])
-        return scan.scan(self.spark, self.root, known, self._rules(), deny, self.config["indexing"]["max_file_bytes"])
+        return scan.scan(self.spark, self.root, known, self._rules(), deny, self.config["indexing"]["max_file_bytes"], PARSED_LANGUAGES)
 
     def scan(self, rebuild: bool = False) -> dict[str, int]:
         """Brings the index in line with the disk; with `rebuild` everything is read and vanished files go too.
@@ -67,10 +68,10 @@ class Project:
 
     def _changed(self, base: dict | None, rebuild: bool) -> tuple[tuple[dict[str, DataFrame], dict] | None, dict[str, int]]:
         """The tables and postings after a scan from the version `base`, and how many files changed how."""
-        old = {t: self.store.read(t, base) if base else self.spark.createDataFrame([], TABLES[t]) for t in ("files", "entities", "relations")}
-        if rebuild:
-            old = {t: df.limit(0) for t, df in old.items()}
-        fresh, same = self._disk(old["files"])
+        anew = rebuild or not base
+        # With no rows by their plans, Spark drops the joins with them.
+        old = {t: self.spark.createDataFrame([], TABLES[t]).limit(0) if anew else self.store.read(t, base) for t in ("files", "entities", "relations")}
+        fresh, same = self._disk(None if anew else old["files"])
         fresh = kept(fresh)
         signatures = fresh.select("path", "content_hash").unionByName(same.join(old["files"].select("path", "content_hash"), "path"))
         diff = kept(changes.change_set(signatures, old["files"]))
@@ -82,14 +83,16 @@ class Project:
         # Where all that was read has changed, as in a first scan, the contents needn't meet the changes.
         rows = fresh if report["unchanged"] == same.count() else fresh.join(changed, "path", "left_semi")
         found = kept(registry.extracted(rows.filter(F.col("parse_state").isin("OK") & F.col("language").isin(*PARSED_LANGUAGES))))
+        new = kept(registry.entities(found).select(*old["entities"].columns))  # written, as is what follows of the edges: each is read many times
         states = found.select("path", F.col("parse_state").alias("_state"), F.col("parse_error").alias("_error"))
-        new_files = rows.drop("content").join(states, "path", "left")
-        new_files = new_files.withColumns({"parse_state": F.coalesce("_state", "parse_state"), "parse_error": F.coalesce("_error", "parse_error")}).select(*old["files"].columns)
+        own = new.filter("type = 'FILE'").select(F.col("file_path").alias("path"), F.col("token_estimate").alias("_tokens"))
+        new_files = rows.drop("content").join(states, "path", "left").join(own, "path", "left")
+        told = {"parse_state": F.coalesce("_state", "parse_state"), "parse_error": F.coalesce("_error", "parse_error"), "token_estimate": F.coalesce("_tokens", "token_estimate")}
+        new_files = new_files.withColumns(told).select(*old["files"].columns)
         files = changes.purge(old["files"], changed.unionByName(gone).distinct(), "path").unionByName(new_files)
-        new = registry.entities(found).select(*old["entities"].columns)
         entities = changes.purge(old["entities"], gone, "file_path").unionByName(new)
         still = changes.demote(old["relations"], old["entities"], gone)
-        relations = changes.dedup_relations(still.unionByName(registry.relations(found).select(*old["relations"].columns)))
+        relations = kept(changes.dedup_relations(still.unionByName(registry.relations(found).select(*old["relations"].columns))))
         relations = resolve.resolve_all(relations, entities, files)
         postings = self._postings(None if rebuild else base).added(search_documents(new), gone.select(F.col("path").alias("file_path")))
         stamp = [("schema_version", str(schemas.SCHEMA_VERSION)), ("last_scan_at", str(int(time.time() * 1000))), ("project_name", self.config["project"]["name"])]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import PREFIX
 from corvane.operators import search
+from corvane.session import kept
 
 BUCKETS, MERGE_AT = 64, 8
 POSTINGS = "term string, id string, file_path string, f double, length long, seq int, bucket int"
@@ -39,7 +40,7 @@ class Postings:
 
     def _table(self, name: str, ddl: str, buckets: list[int] | None = None) -> DataFrame:
         """A table's rows over all segments; of the postings only the folders of the asked buckets are read."""
-        out = self.spark.createDataFrame([], ddl)
+        out = self.spark.createDataFrame([], ddl).limit(0)
         for segment in self.state["segments"]:
             rows = self.spark.read.schema(ddl).parquet(f"{self.root}/{segment}/{name}")
             out = out.unionByName(rows if buckets is None else rows.filter(F.col("bucket").isin(*buckets)))
@@ -58,14 +59,15 @@ class Postings:
         state, seq, name = self.state, self.state["next"], f"segment-{uuid.uuid4().hex}"
         at = f"{self.root}/{name}"
         columns = columns or search.WEIGHTS
-        length = sum((F.size(search.tokens(F.col(c))) for c in columns), F.lit(0))
-        facts = docs.select(F.col("id").cast("string").alias("id"), "file_path", length.cast("long").alias("length"), F.lit(seq).alias("seq"))
+        # Each text is cut into words once, and the documents' lengths and the postings are both read from that.
+        words = kept(search.worded(docs, columns, ("file_path",)))
+        facts = words.select(F.col("id").cast("string").alias("id"), "file_path", F.col("length").cast("long").alias("length"), F.lit(seq).alias("seq"))
         facts.write.parquet(f"{at}/docs")
         facts = self.spark.read.schema(DOCS).parquet(f"{at}/docs")
         gone.select("file_path").distinct().withColumn("seq", F.lit(seq)).write.parquet(f"{at}/tombs")
         tombs = self.spark.read.schema(TOMBS).parquet(f"{at}/tombs")
         # Postings carry what is known of their document: only the write's own shuffle moves them.
-        found = search.counted(docs, columns, ("file_path",))
+        found = search.summed(words)
         rows = found.select("term", F.col("id").cast("string").alias("id"), "file_path", F.col("f").cast("double").alias("f"), F.col("length").cast("long").alias("length"), F.lit(seq).alias("seq"), bucket(F.col("term")).alias("bucket"))
         # A rebalance splits the bucket of a very common term over tasks, and puts small ones together.
         rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/postings")

@@ -138,7 +138,7 @@ def resolve_all(relations: DataFrame, entities: DataFrame, files: DataFrame) ->
     """The relations with every null target tried against the entities and files as they are now."""
     open_ = relations.filter("target_id is null")
     imports = relations.filter("type = 'IMPORTS'")
-    found = resolve_imports(imports.select(*RELATION_KEY), files)
+    found = kept(resolve_imports(imports.select(*RELATION_KEY), files))
     names = F.coalesce(F.from_json("metadata", RELATION_METADATA)["names"], F.array().cast("array<string>"))
     bound = bindings(imports.select(*RELATION_KEY, names.alias("names")).join(found, RELATION_KEY).select("file_path", "line", "path", "names"))
     to_files = found.join(entities.filter("type = 'FILE'").select(F.col("file_path").alias("path"), F.col("id").alias("new_target")), "path")

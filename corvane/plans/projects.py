@@ -34,9 +34,10 @@ def tree(spark: SparkSession, rows: DataFrame, root: str) -> None:
                 if os.path.dirname(at) not in made:
                     made.add(os.path.dirname(at))
                     os.makedirs(os.path.dirname(at), exist_ok=True)
-                with open(f"{at}.{os.getpid()}", "wb") as f:
+                # Attempts of a task write the same bytes, so one needs no file of its own: a folder's files are made one after another, and a rename doubles that.
+                with os.fdopen(os.open(at, os.O_WRONLY | os.O_CREAT, 0o666), "wb") as f:
                     f.write(content.encode())
-                os.replace(f"{at}.{os.getpid()}", at)
+                    f.truncate()
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
 
     rows.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()

@@ -44,6 +44,9 @@ def compile_lines(text: str) -> list[Rule]:
 def ignored(path: Column, rules: list[Rule], directory: bool = False) -> Column:
     """Whether the last rule that matches the path ignores it."""
     out = F.lit(False)
+    if not any(r.negated for r in rules):  # whichever matches, so one expression asks them all
+        some = "|".join(r.regex for r in rules if not r.directory_only or directory)
+        return path.rlike(some) if some else out
     for r in rules:
         if not r.directory_only or directory:
             out = F.when(path.rlike(r.regex), F.lit(not r.negated)).otherwise(out)
@@ -54,6 +57,5 @@ def ignored_file(path: Column, rules: list[Rule]) -> Column:
     """A file is ignored by itself, or by a folder above it when no rule is negated (a folder is then pruned whole)."""
     out = ignored(path, rules)
     if rules and not any(r.negated for r in rules):
-        folders = F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/"))), lambda i: F.array_join(F.slice(F.split(path, "/"), 1, i - 1), "/"))
-        out = out | F.exists(F.filter(folders, lambda x: x != ""), lambda x: ignored(x, rules, directory=True))
+        out = out | path.rlike("|".join(r.regex.removesuffix("$") + "/" for r in rules))
     return out

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.ids import content_hash, language
-from corvane.functions.text import estimate_tokens, line_count
+from corvane.functions.text import estimate, estimate_tokens, line_count
 from corvane.functions.words import DEFAULT_EXCLUDES, DENY_PATHS, PARSED_LANGUAGES
 from corvane.operators.changes import unread
 from corvane.session import kept
@@ -113,10 +113,11 @@ def walk(spark: SparkSession, root: str, ignores: list[ignore.Rule], quota: int
     return out.filter("kind <> 'open'")
 
 
-def opened(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+def opened(spark: SparkSession, root: str, files: DataFrame, measured: str | None = None) -> DataFrame:
     """`files` (path and other columns) with the bytes of each as `content`; only these files are opened, each by one task.
 
-    A file that is gone by now gives no row.
+    A file that is gone by now gives no row. With `measured`, the name of a boolean column, files where it holds also get their
+    `estimate` of tokens, null where they are no UTF-8.
     """
     base, names = local_path(root), files.columns
 
@@ -150,9 +151,21 @@ def opened(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
                 yield made(batch, found, held)
 
     def made(batch: pa.RecordBatch, found: list[int], held: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.take(pa.array(found)).columns, pa.array(held, pa.binary())], names=[*names, "content"])
+        own = batch.take(pa.array(found))
+        more = {"content": pa.array(held, pa.binary())}
+        if measured:
+            more["estimate"] = pa.array([tokens(h) if m else None for h, m in zip(held, own.column(measured).to_pylist(), strict=True)], pa.int32())
+        return pa.RecordBatch.from_arrays([*own.columns, *more.values()], names=[*names, *more])
 
-    return files.repartition(tasks(files, FILES)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in files.dtypes) + ", content binary")
+    ddl = ", ".join(f"`{n}` {t}" for n, t in files.dtypes) + ", content binary" + (", estimate int" if measured else "")
+    return files.repartition(tasks(files, FILES)).mapInArrow(run, ddl)
+
+
+def tokens(content: bytes) -> int | None:
+    try:
+        return estimate(content.decode("utf-8"))
+    except UnicodeDecodeError:
+        return None
 
 
 def tasks(rows: DataFrame, each: int) -> int:
@@ -183,35 +196,42 @@ def content_state(content: Column) -> Column:
 
 
 def file_rows(read: DataFrame, *keys: str) -> DataFrame:
-    """Index rows of files (path, mtime_ms, size_bytes, content bytes or null, state or null), with the columns `keys` as they are."""
+    """Index rows of files (path, mtime_ms, size_bytes, content bytes or null, state or null), with the columns `keys` as they are.
+
+    A column `estimate`, if there is one, has the tokens of those files for which it isn't null.
+    """
     text = F.decode("content", "UTF-8")
     lang, state, text_ = F.col("language"), F.col("_state"), F.col("_text")
     skipped = state.isNotNull()
+    spent = F.coalesce("estimate", estimate_tokens(text_)) if "estimate" in read.columns else estimate_tokens(text_)
     out = read.withColumns({"_state": F.coalesce("state", content_state(F.col("content"))), "language": language(F.col("path")), "_text": text})
     return out.select(
         *keys, "path", "language", "size_bytes", F.coalesce(F.when(~skipped, line_count(text_)), F.lit(0)).cast("int").alias("line_count"),
         F.when(skipped, F.concat(F.lit("skipped:"), state, F.lit(":"), F.col("size_bytes").cast("string"))).otherwise(content_hash(text_)).alias("content_hash"),
         F.coalesce("_state", F.when(lang.isin(*PARSED_LANGUAGES), "OK").otherwise("UNSUPPORTED_LANGUAGE")).alias("parse_state"), F.lit(None).cast("string").alias("parse_error"),
-        F.unix_millis(F.current_timestamp()).alias("indexed_at"), "mtime_ms", F.coalesce(F.when(~skipped, estimate_tokens(text_)), F.lit(0)).alias("token_estimate"), F.when(~skipped, text_).alias("content"),
+        F.unix_millis(F.current_timestamp()).alias("indexed_at"), "mtime_ms", F.coalesce(F.when(~skipped, spent), F.lit(0)).alias("token_estimate"), F.when(~skipped, text_).alias("content"),
     )
 
 
-def scan(spark: SparkSession, root: str, known: DataFrame | None = None, ignores: list[ignore.Rule] | None = None, deny: tuple[str, ...] = DENY_PATHS, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+def scan(
+    spark: SparkSession, root: str, known: DataFrame | None = None, ignores: list[ignore.Rule] | None = None, deny: tuple[str, ...] = DENY_PATHS, max_bytes: int = MAX_BYTES, later: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
     """(rows, unchanged): index rows with contents of new or touched files, and paths that time and size prove unchanged.
 
     Ignored files give no row, and folders that hold nothing else are not opened. `known` has path, mtime_ms and size_bytes. A
-    file is opened only if it has a row and no state of its path.
+    file is opened only if it has a row and no state of its path. Files in the languages `later`, which the caller measures, get 0 for their token_estimate.
     """
     ignores = ignores if ignores is not None else rules(spark, root)
     files = walk(spark, root, ignores).filter("kind = 'file'").select("path", "mtime_ms", "size_bytes")
     files = files.repartition(tasks(files, PATHS))  # a folder is listed by one task, but its paths are tested by many
-    found = files.withColumn("state", path_state(F.col("path"), F.col("size_bytes"), ignores, deny, max_bytes)).filter("state is null or state <> 'SKIPPED_IGNORED'")
-    found = kept(found)
+    # Written before it is filtered: Spark would move the filter, and the tests with it, to before the paths are dealt out.
+    found = kept(files.withColumn("state", path_state(F.col("path"), F.col("size_bytes"), ignores, deny, max_bytes))).filter("state is null or state <> 'SKIPPED_IGNORED'")
     fresh = kept(unread(found, known)) if known is not None else found
     same = found.join(known.select("path", "mtime_ms", "size_bytes"), ["path", "mtime_ms", "size_bytes"], "left_semi").select("path") if known is not None else found.select("path").limit(0)
-    wanted = opened(spark, root, fresh.filter("state is null"))
-    rest = fresh.filter("state is not null").withColumn("content", F.lit(None).cast("binary"))
-    names = ["path", "mtime_ms", "size_bytes", "content", "state"]
+    read = fresh.filter("state is null").withColumn("now", ~language(F.col("path")).isin(*later))
+    wanted = opened(spark, root, read, "now").withColumn("estimate", F.when(F.col("now"), F.col("estimate")).otherwise(0))
+    rest = fresh.filter("state is not null").withColumns({"content": F.lit(None).cast("binary"), "estimate": F.lit(0)})
+    names = ["path", "mtime_ms", "size_bytes", "content", "state", "estimate"]
     return file_rows(wanted.select(*names).unionByName(rest.select(*names))), same
 
 

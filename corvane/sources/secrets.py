@@ -28,10 +28,7 @@ NEEDLES = {
 
 
 def path_blocked(path: Column, deny: tuple[str, ...] = DENY_PATHS) -> Column:
-    out = F.lit(False)
-    for p in deny:
-        out = out | path.rlike(compile_line(p).regex)
-    return out
+    return path.rlike("|".join(compile_line(p).regex for p in deny)) if deny else F.lit(False)
 
 
 def content_reason(c: Column, patterns: tuple[tuple[str, str], ...] = PATTERNS) -> Column:
